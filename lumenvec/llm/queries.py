@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records
+from . import decontaminate, records, tree_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_tree_bpe": tree_bpe.op3_tree_bpe,
+    "op7_positional_index": decontaminate.op7_positional_index,
     "op8_length_delimited_records": records.op8_length_delimited_records,
 }
 
