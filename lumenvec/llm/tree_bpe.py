@@ -88,6 +88,25 @@ def encode_span(enc: Encoder, text: str, start: int, end: int) -> Node:
     return Node(start, end, np.array(e.ids, np.uint32), spans[:, 0], spans[:, 1])
 
 
+def pack_spans(first: np.ndarray, last: np.ndarray) -> bytes:
+    """Character spans in a byte each where gaps and lengths are small, else as they are."""
+    gap = first - np.concatenate([[0], last[:-1]]) + 1 if len(first) else first
+    length = last - first
+    if len(first) and min(gap.min(), length.min()) >= 0 and max(gap.max(), length.max()) < 16:
+        return b"\1" + (gap * 16 + length).astype(np.uint8).tobytes()
+    return b"\0" + np.stack([first, last]).astype("<i4").tobytes()
+
+
+def unpack_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if data[:1] == b"\0":
+        first, last = np.frombuffer(data, "<i4", offset=1).reshape(2, -1).astype(np.int64)
+        return first, last
+    both = np.frombuffer(data, np.uint8, offset=1).astype(np.int64)
+    gap, length = both // 16 - 1, both % 16
+    last = np.cumsum(gap + length)
+    return last - length, last
+
+
 def join(enc: Encoder, text: str, left: Node, right: Node, window: int = WINDOW) -> Node:
     """The encoding of left's and right's characters together."""
     at, specials = left.end, enc.specials
@@ -179,8 +198,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, leaf: int = LEAF_CHARS, wi
             for row in range(batch.num_rows):
                 piece = batch.column(4)[row].as_py()
                 n = encode_span(enc, piece, 0, len(piece))
-                spans = np.stack([n.first, n.last], axis=1).astype("<i4").tobytes()
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, 1) for k in range(5)), pa.array([n.ids.astype("<u4").tobytes()], pa.binary()), pa.array([spans], pa.binary())], ["key", "doc_id", "leaf", "start", "piece", "ids", "spans"])
+                small = n.ids.astype("<u2" if len(enc.pieces) <= 1 << 16 else "<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, 1) for k in range(5)), pa.array([small], pa.binary()), pa.array([pack_spans(n.first, n.last)], pa.binary())], ["key", "doc_id", "leaf", "start", "piece", "ids", "spans"])
 
     def tree(group: pa.Table) -> pa.Table:
         """One long text's leaves, joined."""
@@ -188,8 +207,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, leaf: int = LEAF_CHARS, wi
         parts = sorted(group.to_pylist(), key=lambda r: r["leaf"])
         whole, nodes = "".join(p["piece"] for p in parts), []
         for p in parts:
-            spans = np.frombuffer(p["spans"], "<i4").reshape(-1, 2).astype(np.int64) + p["start"]
-            nodes.append(Node(p["start"], p["start"] + len(p["piece"]), np.frombuffer(p["ids"], "<u4"), spans[:, 0], spans[:, 1]))
+            first, last = unpack_spans(p["spans"])
+            own = np.frombuffer(p["ids"], "<u2" if len(enc.pieces) <= 1 << 16 else "<u4").astype(np.uint32)
+            nodes.append(Node(p["start"], p["start"] + len(p["piece"]), own, first + p["start"], last + p["start"]))
         ids = concatenate(enc, whole, nodes, window)
         return pa.table([pa.array([parts[0]["doc_id"]], pa.int64()), *rows(enc, (ids, np.array([0, len(ids)]))), pa.array([len(parts)], pa.int32())], ["doc_id", "ids", "decoded", "leaves"])
 
@@ -213,13 +233,14 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select(
         "doc_id",
         F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
         "leaves",
+        *more,
     )
 
 
