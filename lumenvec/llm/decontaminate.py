@@ -5,6 +5,8 @@ after the other. Its rows are (segment, term, positions), so that a very common
 segment and no list that grows with the corpus; beside them lies a row for each document (its place
 in the segment and its words). Both are written tables.
 
+An index built for a stated benchmark keeps the postings of its terms only, as no other is asked for.
+
 Queries are windows: runs of a benchmark item's words. Each is looked up from its rarest terms: the
 counts of the benchmark's terms over the whole index give an order, windows with an absent term go,
 the others join the segments that hold their rarest term, and within a segment the position lists,
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +37,19 @@ from .common import ALNUM, ragged, staged, table, text_slices, tune, words
 #: Bytes of text in a segment, about; one long document may exceed it.
 SEGMENT_BYTES = 4 << 20
 WINDOW = 10
+#: With more distinct benchmark terms than this, the index keeps all terms and no list goes to the tasks.
+MAX_TERMS = 1_000_000
+
+
+def vocabulary_of(windows: DataFrame, most: int = MAX_TERMS) -> list[str] | None:
+    """The windows' distinct terms, or None if there are more than most."""
+    found = windows.select(F.explode("terms").alias("term")).distinct().limit(most + 1).toPandas()["term"].tolist()
+    return found if len(found) <= most else None
 
 
-def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(postings: segment, term, positions; documents: segment, doc, doc_id, start, n_words)."""
+def build_index(docs: DataFrame, terms: list[str] | None = None, segment_bytes: int = SEGMENT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(postings: segment, term, positions; documents: segment, doc, doc_id, start, n_words). With terms,
+    only theirs are kept: an index that serves queries of these terms alone. Without, all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
@@ -45,9 +57,14 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> tuple[Da
         for batch in batches:
             for part, texts in text_slices(batch, "text", segment_bytes):
                 index, ends, dictionary = words(texts, ALNUM)
-                n, m = len(texts), len(dictionary)
-                order = np.argsort(index, kind="stable")  # positions by term, ascending in each
-                place = (np.arange(len(index)) + np.repeat(np.arange(n), np.diff(ends)))[order].astype(np.int32)  # a gap after each document
+                n = len(texts)
+                place = np.arange(len(index)) + np.repeat(np.arange(n), np.diff(ends))  # a gap after each document
+                if wanted is not None:
+                    kept = pc.is_in(dictionary, value_set=wanted).to_numpy(zero_copy_only=False)
+                    place, index = place[kept[index]], (np.cumsum(kept) - 1)[index[kept[index]]]
+                    dictionary = dictionary.filter(pa.array(kept))
+                m = len(dictionary)
+                place = place[np.argsort(index, kind="stable")].astype(np.int32)  # by term, ascending in each
                 count = np.bincount(index, minlength=m)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(place))
                 yield pa.RecordBatch.from_arrays(
@@ -62,6 +79,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> tuple[Da
                     )
                 segment += 1
 
+    wanted = None if terms is None else pa.array(terms, pa.string())
     names = ["segment", "kind", "doc", "doc_id", "start", "n_words", "term", "positions"]
     schema = "segment long, kind string, doc int, doc_id long, start long, n_words long, term string, positions array<int>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -179,8 +197,18 @@ def near(documents: DataFrame, postings: DataFrame, windows: DataFrame, span: in
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """document_hits of docs against every window of benchmark."""
-    postings, documents = build_index(docs)
-    return document_hits(documents, phrase_matches(postings, staged(windows_of(benchmark, size), "windows")))
+    windows = staged(windows_of(benchmark, size), "windows")
+    postings, documents = build_index(docs, vocabulary_of(windows))
+    return document_hits(documents, phrase_matches(postings, windows))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """docs, with all their columns, without those that hold a window. A verdict depends on the text
+    alone, so rows are told apart by a hash of doc_id and text."""
+    key = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    hits = decontaminate(docs.select(key.alias("doc_id"), "text"), benchmark, size)
+    hit = hits.where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, key == F.col("_hit"), "left_anti")
 
 
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
