@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, records, tree_bpe
+from . import decontaminate, near_dup, quality, records, tree_bpe, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fourier_ridge_quality": quality.op2_fourier_ridge_quality,
     "op3_tree_bpe": tree_bpe.op3_tree_bpe,
+    "op4_odd_sketch_dedup": near_dup.op4_odd_sketch_dedup,
+    "op5_warc_revisits": warc.op5_warc_revisits,
     "op7_positional_index": decontaminate.op7_positional_index,
     "op8_length_delimited_records": records.op8_length_delimited_records,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_revisits": warc.OP5_SQL,
+}
