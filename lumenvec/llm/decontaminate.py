@@ -118,27 +118,52 @@ def _plans(postings: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def phrase_matches(postings: DataFrame, windows: DataFrame) -> DataFrame:
-    """segment, items, length, starts: where the words of a window stand one after the other."""
+    """segment, items, length, starts: where the words of a window stand one after the other. The segments
+    that hold a window's rarest term meet their own lists, once; a list is not copied for each window."""
     plans = _plans(postings, windows)
     vocabulary = plans.select(F.explode("plan.term").alias("term")).distinct()
-    near_lists = postings.join(vocabulary, "term", "left_semi")
-
-    def shifted(k: str) -> F.Column:
-        return F.transform("positions", lambda p: p - F.col(k))
-
-    by_rarest = plans.select("phrase", "plan", F.col("plan")[0]["term"].alias("term"), F.col("plan")[0]["offset"].alias("o"))
-    first = near_lists.join(by_rarest, "term").select("segment", "phrase", "plan", shifted("o").alias("starts"))
-    two = first.where(F.size("plan") > 1).select("segment", "phrase", "plan", "starts", F.col("plan")[1]["term"].alias("term"), F.col("plan")[1]["offset"].alias("o"))
-    two = two.join(near_lists, ["segment", "term"]).select("segment", "phrase", "plan", F.array_intersect("starts", shifted("o")).alias("starts")).where(F.size("starts") > 0)
-    both = staged(two.unionByName(first.where(F.size("plan") == 1)), "starts")
-    rest = both.select("segment", "phrase", F.explode(F.slice("plan", F.lit(3), F.greatest(F.size("plan") - 2, F.lit(0)))).alias("t")).select("segment", "phrase", F.col("t.term").alias("term"), F.col("t.offset").alias("o"))
-    lists = rest.join(near_lists, ["segment", "term"]).groupBy("segment", "phrase").agg(F.collect_list(shifted("o")).alias("lists"), F.count(F.lit(1)).alias("n"))
-    done = both.join(lists, ["segment", "phrase"], "left").where(F.coalesce("n", F.lit(0)) == F.greatest(F.size("plan") - 2, F.lit(0)))
-    starts = F.aggregate(F.coalesce("lists", F.array().cast("array<array<int>>")), F.col("starts"), F.array_intersect)
-    found = done.select("segment", "phrase", F.size("plan").alias("length"), starts.alias("starts")).where(F.size("starts") > 0)
+    lists = postings.join(vocabulary, "term", "left_semi")
+    by_rarest = plans.select("phrase", F.col("plan.offset").alias("order"), F.col("plan")[0]["term"].alias("term"))
+    candidates = postings.select("segment", "term").join(by_rarest, "term").select("segment", "phrase", "order")
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        segment = asked.column("segment")[0].as_py() if asked.num_rows else 0
+        of = _lists_of(held)
+        out: list[tuple] = []
+        for phrase, order in zip(asked.column("phrase").to_pylist(), asked.column("order").to_pylist(), strict=True):
+            terms = phrase.split(" ")
+            starts = of[terms[order[0]]] - order[0]
+            for o in order[1:]:
+                one = of.get(terms[o])
+                if one is None or not len(starts):
+                    starts = starts[:0]
+                    break
+                at = np.searchsorted(one, starts + o)
+                starts = starts[one[np.minimum(at, len(one) - 1)] == starts + o]
+            if len(starts):
+                out.append((segment, phrase, len(terms), starts))
+        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.list_(pa.int32()))], ["segment", "phrase", "length", "starts"])
+
+    found = _together(lists, candidates).applyInArrow(run, "segment long, phrase string, length int, starts array<int>")
     return found.join(plans.select("phrase", "items"), "phrase").select("segment", "items", "length", "starts")
 
 
+def _together(left: DataFrame, right: DataFrame):
+    """Rows of both by segment; columns are named anew, as both may come from one index."""
+    return left.groupBy("segment").cogroup(right.select(*(F.col(c).alias(c) for c in right.columns)).groupBy("segment"))
+
+
+def _lists_of(held: pa.Table) -> dict[str, np.ndarray]:
+    """Positions by term of one segment's rows."""
+    out: dict[str, np.ndarray] = {}
+    for batch in held.to_batches():
+        lists = batch.column(batch.schema.names.index("positions"))
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for k, term in enumerate(batch.column(batch.schema.names.index("term")).to_pylist()):
+            out[term] = flat[at[k] : at[k + 1]]
+    return out
+
+
 def document_hits(documents: DataFrame, matches: DataFrame) -> DataFrame:
     """segment, doc, doc_id, n_words, n_hit (words inside any match), item_ids, for every document."""
 
@@ -160,7 +185,7 @@ def document_hits(documents: DataFrame, matches: DataFrame) -> DataFrame:
 
     names = ["segment", "doc", "doc_id", "n_words", "n_hit", "item_ids"]
     empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))], names)
-    return documents.groupBy("segment").cogroup(matches.groupBy("segment")).applyInArrow(run, "segment long, doc int, doc_id long, n_words long, n_hit long, item_ids array<long>")
+    return _together(documents, matches).applyInArrow(run, "segment long, doc int, doc_id long, n_words long, n_hit long, item_ids array<long>")
 
 
 def near(documents: DataFrame, postings: DataFrame, windows: DataFrame, span: int) -> DataFrame:
@@ -192,7 +217,7 @@ def near(documents: DataFrame, postings: DataFrame, windows: DataFrame, span: in
             out += [(ids[d], phrase, int(b - start[d])) for d, b in zip(doc[good].tolist(), begins[good].tolist(), strict=True)]
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["doc_id", "phrase", "at"])
 
-    return documents.groupBy("segment").cogroup(lists.groupBy("segment")).applyInArrow(run, "doc_id long, phrase string, at long")
+    return _together(documents, lists).applyInArrow(run, "doc_id long, phrase string, at long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
