@@ -283,3 +283,37 @@ def smoothed(v: Column) -> Column:
     return unit(F.aggregate(pairs, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q)))
 
 
+
+
+def cross_means(gallery: DataFrame) -> DataFrame:
+    """J10, exact: a, b, pairs, mean of all pairs of two identities, by the product of their sums; each pair of
+    identities counts once, as in drawing identities first."""
+    sums = gallery.select("identity", F.posexplode("embedding").alias("k", "x")).groupBy("identity", "k").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    s = sums.groupBy("identity").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda t: t["x"]).alias("s"))
+    a, b = (s.select(F.col("identity").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("n_a") * F.col("n_b")).alias("pairs"), (dot(F.col("s_a"), F.col("s_b")) / (F.col("n_a") * F.col("n_b"))).alias("mean"))
+
+
+def cross_sample(gallery: DataFrame, draws: int = 50_000, seed: int = 7) -> DataFrame:
+    """J10, sampled: draw, a, b, sim: two different identities drawn uniformly, then a vector of each."""
+    names = gallery.groupBy("identity").agg(F.count(F.lit(1)).alias("n"))
+    ranked = names.withColumn("r", F.row_number().over(Window.orderBy("identity")) - 1)  # a row for each identity
+    count = names.count()
+    if count < 2:
+        return gallery.select(F.lit(0).cast("long").alias("draw"), F.col("identity").alias("a"), F.col("identity").alias("b"), F.lit(0.0).alias("sim")).limit(0)
+    u = [F.rand(seed + i) for i in range(4)]
+    drawn = gallery.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(u[0] * count).alias("ra"), F.floor(u[1] * (count - 1)).alias("rb"), u[2].alias("ua"), u[3].alias("ub"))
+    drawn = drawn.withColumn("rb", F.when(F.col("rb") >= F.col("ra"), F.col("rb") + 1).otherwise(F.col("rb")))
+    for x in "ab":
+        side = ranked.select(F.col("r").cast("long").alias(f"r{x}"), F.col("identity").alias(x), F.col("n").alias(f"n{x}"))
+        drawn = drawn.join(side, f"r{x}").withColumn(f"p{x}", F.floor(F.col(f"u{x}") * F.col(f"n{x}")))
+    for x in "ab":
+        side = gallery.select(F.col("identity").alias(x), F.col("pos").alias(f"p{x}"), F.col("embedding").alias(f"v{x}"))
+        drawn = drawn.join(side, [x, f"p{x}"])
+    return drawn.select("draw", "a", "b", dot(F.col("va"), F.col("vb")).alias("sim"))
+
+
+def gallery_summary(raw: DataFrame) -> DataFrame:
+    """Identity, vectors, dim of its first vector, empty. raw: identity, vectors."""
+    v = F.coalesce(F.col("vectors"), F.array().cast("array<array<double>>"))
+    return raw.select("identity", F.size(v).cast("long").alias("vectors"), F.when(F.size(v) > 0, F.size(F.get(v, F.lit(0)))).alias("dim"), (F.size(v) == 0).alias("empty"))
