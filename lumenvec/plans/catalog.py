@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, scalars
+from . import evaluation, maintenance, relational, scalars, streams
 from .registry import ORACLE_SQL, QUERIES
 
-MODULES = (scalars, relational)
+MODULES = (scalars, relational, evaluation, maintenance, streams)
 
 __all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]

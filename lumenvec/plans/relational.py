@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -276,9 +276,9 @@ def w6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t1_cast_order", f"with {DETECTION}, n as (select {_NAMES} as name, count(*) as n from detection group by 1) select name, n, row_number() over (order by name = 'Unknown', starts_with(name, 'Misafir'), n desc, name) as place from n")
 def t1(spark: SparkSession, d: str) -> DataFrame:
-    ordered = c.cast_order(c.appearance_counts(named(spark, d)))
-    rows = [(r["name"], r["n"], i + 1) for i, r in enumerate(ordered.collect())]  # a name list of one cast
-    return spark.createDataFrame(rows, "name string, n long, place int")
+    counts = c.appearance_counts(named(spark, d))
+    place = Window.orderBy(F.col("name") == "Unknown", text.is_guest(F.col("name")), F.desc("n"), "name")  # a row for each name
+    return c.cast_order(counts.select("name", "n", F.row_number().over(place).alias("place")))
 
 
 @query("t2_default_order", f"with {_GROUPS} select movie_id, group_id from face_group order by movie_id, group_id")
