@@ -10,7 +10,7 @@ WEIGHTS = {"blur": 0.30, "brightness": 0.20, "pose": 0.25, "det": 0.25}
 
 
 def clamp(v: Column) -> Column:
-    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
 
 
 def risk_level(similarity: Column) -> Column:
