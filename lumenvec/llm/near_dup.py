@@ -62,7 +62,7 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     flat, factors = of[index], _numbers(size, 7) | _U(1)
     n = len(flat)
     run = np.zeros(n, _U)
-    for k in range(size):
+    for k in range(min(size, n)):
         run[: n - k] += flat[k:] * factors[k]
     run, out = _mix(run), []
     for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False):
