@@ -6,7 +6,7 @@ rare among many siblings (fewer than MIN_SHARE of the node's pages, at a node wi
 distinct children). Sibling branches whose kinds of children are distributed alike (a chi-squared
 distance under MERGE_DISTANCE) are merged into one name. A page's template is its host and the path so
 generalised. Pages whose verdict a rule gives are the labels; a template's share of blocked pages is
-smoothed towards its host's, and the host's towards the whole; from REJECT on, the template is blocked.
+smoothed towards its host's, and the host's towards the whole; above REJECT, the template is blocked.
 
 All counts are partial sums per node, so a host with any share of the pages is one row a task.
 
@@ -104,7 +104,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, de
     host_share = (F.col("host_blocked") + F.lit(PRIOR * prior)) / (F.col("host_labelled") + PRIOR)
     share = (F.col("blocked") + PRIOR * host_share) / (F.col("labelled") + PRIOR)
     rated = by_template.join(by_host, "host").select("host", "template", "labelled", share.alias("purity"))
-    method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
+    method = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
     return urls.join(rated, ["host", "template"]).select("page_id", "host", "path", "rule", F.coalesce("_rule_verdict", method).alias("verdict"), "template", F.round("purity", 9).alias("purity"), "labelled")
 
 
