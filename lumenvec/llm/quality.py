@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, staged, table, text_slices, tune, words
 
-FEATURES = ("log_words", "word_length", "word_length_sd", "upper", "digits", "punctuation", "marks", "pipes", "end_marks", "lines", "distinct", "distinct_lines", "top_word", "repeats", "symbol_words", "non_ascii", "spaces", "short_words")
+FEATURES = ("log_words", "word_length", "word_length_sd", "upper", "digits", "punctuation", "marks", "pipes", "end_marks", "lines", "distinct", "distinct_lines", "top_word", "repeats", "non_ascii", "spaces", "short_words")
 DIMENSIONS = 256
 #: Kernel width in standard deviations, for all features together.
 WIDTH = 3.0
@@ -35,7 +35,6 @@ RIDGE = 1e-3
 MAX_TRAIN = 200_000
 BINS = 500
 THRESHOLD = 0.3
-_SD = FEATURES.index("word_length_sd")
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
@@ -56,7 +55,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         out[row] = (
             np.log(n), one.mean(), one.std(), c[65:91].sum() / max(1, letters), c[48:58].sum() / total, (c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum()) / total,
             marks / n, c[124] / n, (c[46] + c[63] + c[44]) / n, len(lines) / n, len(times) / n, len(set(lines)) / len(lines), times.max() / n,
-            (w[1:] == w[:-1]).mean() if n > 1 else 0.0, 0.0, c[128:].sum() / total, c[32] / total, (one <= 2).mean(),
+            (w[1:] == w[:-1]).mean() if n > 1 else 0.0, c[128:].sum() / total, c[32] / total, (one <= 2).mean(),
         )
     return out
 

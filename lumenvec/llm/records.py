@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,9 +39,9 @@ NO_ID = -(1 << 63)
 SHARDS = "shard int, path string, records long, tokens long, bytes long, width int"
 
 
-def encode_column(df: DataFrame, tokenizer: str, end_id: int | None, width: int) -> DataFrame:
-    """doc_id, ids (binary) of every whole text, the end id appended."""
-    dtype = f"<u{width}"
+def encode_column(df: DataFrame, tokenizer: str, end_id: int | None, width: int, cuts: list[int]) -> DataFrame:
+    """doc_id, ids (binary) of every whole text, the end id appended, and shard: the cuts below doc_id."""
+    dtype, bounds = f"<u{width}", np.array(cuts, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -51,9 +52,11 @@ def encode_column(df: DataFrame, tokenizer: str, end_id: int | None, width: int)
                 if end_id is not None:
                     ids = np.insert(ids, offsets[1:], np.array(end_id, dtype))
                     offsets = offsets + np.arange(len(offsets))
-                yield pa.RecordBatch.from_arrays([part.column(0), binaries(ids.view(np.uint8), offsets * width)], ["doc_id", "ids"])
+                keys = pc.fill_null(part.column(0), NO_ID).to_numpy(zero_copy_only=False)
+                shard = np.searchsorted(bounds, keys, side="left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), binaries(ids.view(np.uint8), offsets * width), pa.array(shard)], ["doc_id", "ids", "shard"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, shard int")
 
 
 def frame(payloads: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -113,10 +116,8 @@ def write_records(docs: DataFrame, root: str, tokenizer: str, end_id: int | None
     spark = docs.sparkSession
     width = 2 if len(encoder(tokenizer).pieces) <= 1 << 16 else 4
     n = shuffle_partitions(spark)
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    shard = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    dealt = encode_column(docs, tokenizer, end_id, width).withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int"))
+    found = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("c")).first()["c"] if n > 1 else None
+    dealt = encode_column(docs, tokenizer, end_id, width, sorted(set(found or [])))
     dealt = dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,14 @@
 """URL verdicts: rules by host and path, then path templates judged by smoothed labelled purity.
 
-Each host has a tree of path segments. Level by level, the children of a node are counted: a segment is
-variable, and becomes the wildcard *, if it holds a digit-only, hexadecimal or long token or if it is
-rare among many siblings (fewer than MIN_SHARE of the node's pages, at a node with over MAX_CHILDREN
-distinct children). Sibling branches whose kinds of children are distributed alike (a chi-squared
-distance under MERGE_DISTANCE) are merged into one name. A page's template is its host and the path so
-generalised. Pages whose verdict a rule gives are the labels; a template's share of blocked pages is
-smoothed towards its host's, and the host's towards the whole; above REJECT, the template is blocked.
+Each host has a tree of path segments. A segment is variable, and becomes the wildcard *, if it is a
+number, hexadecimal, long or holds three digits in a row, or if it is rare among many siblings (fewer than
+MIN_SHARE of the node's pages, at a node with over MAX_CHILDREN distinct children). Level by level, sibling
+branches are then merged: among the children of a node that are alike in their labels (none, mostly
+blocked, mostly allowed), each is tested against the largest one, and takes its name if a two-sample test
+at the MERGE_Z level finds no difference in the shares of pages that end there, that go on with a wildcard,
+and that are blocked. A page's template is its host and the path so named. Pages whose verdict a rule gives
+are the labels; a template's share of blocked pages is smoothed towards its host's, and the host's towards
+the whole; above REJECT, the template is blocked.
 
 All counts are partial sums per node, so a host with any share of the pages is one row a task.
 
@@ -28,7 +30,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DEPTH = 4
 MAX_CHILDREN = 20
 MIN_SHARE = 0.02
-MERGE_DISTANCE = 0.05
+#: Squared normal deviate at the one per cent level.
+MERGE_Z = 6.63
 #: Pages that a parent's share counts for.
 PRIOR = 5.0
 REJECT = 0.5
@@ -64,40 +67,50 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
 
 
 def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """urls (host, path and more) with template, the generalised path. Distinct (host, generalised prefix,
-    rest) are counted, not pages: level by level, each node's children decide their names."""
+    """urls (host, path, _rule_verdict and more) with template, the generalised path. Distinct shapes of
+    paths are counted once; level by level, each node's children decide their names."""
     general = F.transform(segments(F.col("path"), depth), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
     keyed = urls.withColumn("_raw", F.concat_ws("/", general))
-    shapes = staged(keyed.groupBy("host", "_raw").agg(F.count(F.lit(1)).alias("n")), "shapes")
-    tree = shapes.withColumn("parts", F.filter(F.split("_raw", "/"), lambda s: s != "")).withColumn("prefix", F.lit(""))
+    tree = staged(keyed.groupBy("host", "_raw").agg(F.count(F.lit(1)).alias("n"), *_label_counts()), "shapes")
+    tree = tree.withColumn("parts", F.filter(F.split("_raw", "/"), lambda s: s != "")).withColumn("prefix", F.lit(""))
     for level in range(depth):
-        child = F.coalesce(F.get("parts", F.lit(level)), F.lit(""))
-        tree = tree.withColumn("child", child)
         after = F.coalesce(F.get("parts", F.lit(level + 1)), F.lit(""))
-        node = tree.groupBy("host", "prefix", "child").agg(F.sum("n").alias("pages"), F.sum(F.when(after == "*", F.col("n")).otherwise(0)).alias("wild"), F.sum(F.when(after == "", F.col("n")).otherwise(0)).alias("leaf"))
-        total = node.groupBy("host", "prefix").agg(F.sum("pages").alias("all"), F.sum(F.when(F.col("child").isin("", "*"), 0).otherwise(1)).alias("children"), F.sum("wild").alias("all_wild"), F.sum("leaf").alias("all_leaf"))
-        named = node.join(total, ["host", "prefix"])
+        tree = tree.withColumn("child", F.coalesce(F.get("parts", F.lit(level)), F.lit("")))
+        shares = [F.sum(F.when(after == end, F.col("n")).otherwise(0)).alias(name) for end, name in (("*", "wild"), ("", "leaf"))]
+        node = tree.groupBy("host", "prefix", "child").agg(F.sum("n").alias("pages"), *shares, F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        node = node.withColumn("kind", F.when(F.col("labelled") == 0, 0).when(2 * F.col("blocked") > F.col("labelled"), 1).otherwise(2))
+        free = ~F.col("child").isin("", "*", REST)
+        total = node.groupBy("host", "prefix").agg(F.sum("pages").alias("all"), F.sum(free.cast("int")).alias("children"))
+        largest = node.where(free).groupBy("host", "prefix", "kind").agg(F.max(F.struct("pages", "child", "wild", "leaf", "labelled", "blocked")).alias("top"))
+        named = node.join(total, ["host", "prefix"]).join(largest, ["host", "prefix", "kind"], "left")
         rare = (F.col("children") > MAX_CHILDREN) & (F.col("pages") < MIN_SHARE * F.col("all"))
-        distance = F.lit(0.0)
-        for own, every in (("wild", "all_wild"), ("leaf", "all_leaf")):
-            p, q = F.col(own) / F.col("pages"), F.col(every) / F.col("all")
-            distance = distance + F.when(p + q > 0, (p - q) * (p - q) / (p + q)).otherwise(0.0)
-        # Branches like the node's whole population are like each other, and take one name if they are many.
-        alike = (F.col("children") > MAX_CHILDREN) & (distance <= MERGE_DISTANCE)
-        kept = F.col("child").isin("", "*", REST)
-        named = named.select("host", "prefix", "child", F.when(kept, F.col("child")).when(rare | alike, F.lit("*")).otherwise(F.col("child")).alias("as"))
-        tree = tree.join(named, ["host", "prefix", "child"]).withColumn("prefix", F.when(F.col("as") == "", F.col("prefix")).otherwise(F.concat_ws("/", "prefix", "as")))
-        tree = staged(tree.select("host", "_raw", "n", "parts", "prefix"), "tree")
+        alike = _no_difference("wild", "pages") & _no_difference("leaf", "pages") & _no_difference("blocked", "labelled")
+        name = F.when(~free, F.col("child")).when(rare, "*").when(alike, F.col("top.child")).otherwise(F.col("child"))
+        tree = tree.join(named.select("host", "prefix", "child", name.alias("as")), ["host", "prefix", "child"])
+        tree = tree.withColumn("prefix", F.when(F.col("as") == "", F.col("prefix")).otherwise(F.concat_ws("/", "prefix", "as")))
+        tree = staged(tree.select("host", "_raw", "n", "labelled", "blocked", "parts", "prefix"), "tree")
     deep = F.when(F.size("parts") > depth, F.concat("prefix", F.lit("/" + REST))).otherwise(F.col("prefix"))
     return keyed.join(tree.select("host", "_raw", deep.alias("template")), ["host", "_raw"]).drop("_raw")
 
 
+def _label_counts() -> list[Column]:
+    return [F.count("_rule_verdict").alias("labelled"), F.sum(F.when(F.col("_rule_verdict") == "block", 1).otherwise(0)).alias("blocked")]
+
+
+def _no_difference(part: str, whole: str) -> Column:
+    """Two-sample test of a child's share against the largest sibling's: true without evidence of a difference."""
+    n, m = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in (whole, f"top.{whole}"))
+    p, q = F.col(part) / n, F.col(f"top.{part}") / m
+    both = (F.col(part) + F.col(f"top.{part}")) / (n + m)
+    spread = both * (1 - both) * (1 / n + 1 / m)
+    return F.coalesce((p - q) * (p - q) <= MERGE_Z * spread, F.lit(True))
+
+
 def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, depth: int = DEPTH) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity (smoothed share of blocked pages), labelled."""
     name, verdict = rule_of(rules)
-    urls = templates(parsed(pages), depth).withColumn("rule", name).withColumn("_rule_verdict", verdict)
-    counted = [F.count("_rule_verdict").alias("labelled"), F.sum(F.when(F.col("_rule_verdict") == "block", 1).otherwise(0)).alias("blocked")]
-    by_template = staged(urls.groupBy("host", "template").agg(*counted), "purity")
+    urls = templates(parsed(pages).withColumns({"rule": name, "_rule_verdict": verdict}), depth)
+    by_template = staged(urls.groupBy("host", "template").agg(*_label_counts()), "purity")
     by_host = by_template.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
     labelled, blocked = by_host.agg(F.sum("host_labelled"), F.sum("host_blocked")).first()
     prior = blocked / labelled if labelled else 0.0

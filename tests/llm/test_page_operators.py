@@ -79,6 +79,13 @@ def test_op10_purity(spark):
         assert r.host == "other.net" or r.template.endswith("/*")
 
 
+def test_op10_similar_branches_merge(spark):
+    """Branches of one shape and label take the largest one's name; one that ends otherwise stays apart."""
+    urls = [f"http://h.net/{k}/{i}" for k, n in (("en", 60), ("fr", 30), ("es", 25)) for i in range(n)] + [f"http://h.net/about/{i}x/y" for i in range(40)]
+    got = {r.path.split("/")[1]: r.template for r in url_tree.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got["fr"] == got["es"] == got["en"] == "/en/*" and got["about"].startswith("/about/")
+
+
 def test_op10_rare_siblings_become_one(spark):
     urls = [f"http://h.net/{chr(97 + i // 26)}{chr(97 + i % 26)}/x" for i in range(200)] + ["http://h.net/keep/x"] * 100
     got = url_tree.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
