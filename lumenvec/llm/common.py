@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch handed to Python; texts may be long, so batches stay small.
 ARROW_ROWS = 1000
+ARROW_BYTES = "8m"
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 4 << 20
 
@@ -20,14 +21,21 @@ SLICE_BYTES = 4 << 20
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that Python workers keep a flat memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+#: Of sessions that name no folder, by application.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder; a temporary one if none is set (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+        base = _own[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
