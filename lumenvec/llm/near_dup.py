@@ -129,7 +129,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node with an edge a - b, by alternating
-    large and small stars; each round is a written table, and a hub's edges are never one group."""
+    large and small stars; each round is a written table, and a hub's edges are never one group: they meet
+    partial minima, and their join has one row on the other side, which Spark's skew join may repeat."""
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def name(e: DataFrame) -> tuple:
@@ -138,7 +139,8 @@ def connected(edges: DataFrame) -> DataFrame:
     before, known = None, name(now)
     while known != before and known[0]:
         both = now.union(now.select("v", "u")).toDF("n", "m")
-        least = both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo"))
+        # A table of its own, so that both sides of the join are shuffled for it and a hub's rows can be split.
+        least = staged(both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo")), "least")
         large = both.join(least, "n").where("m > n").select(F.col("m").alias("u"), F.col("lo").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("lo"))
         small = large.join(least, "u").where("v <> lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
