@@ -111,7 +111,7 @@ def _plans(postings: DataFrame, windows: DataFrame) -> DataFrame:
     with a term that does not occur are left out."""
     phrases = windows.groupBy(F.concat_ws(" ", "terms").alias("phrase"), "terms").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
-    counts = postings.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.sum(F.size("positions")).alias("count"))
+    counts = staged(postings.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.sum(F.size("positions")).alias("count")), "counts")
     placed = phrases.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term")).join(counts, "term")
     plans = placed.groupBy("phrase", "length").agg(F.sort_array(F.collect_list(F.struct("count", "term", "offset"))).alias("plan")).where(F.size("plan") == F.col("length"))
     return staged(plans.join(phrases.select("phrase", "items"), "phrase"), "plans")
