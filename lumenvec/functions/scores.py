@@ -29,7 +29,7 @@ def detection_status(is_outlier: Column, is_valid: Column) -> Column:
 
 
 def distance(a: Column, b: Column) -> Column:
-    return F.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]))
+    return F.hypot(a[0] - b[0], a[1] - b[1])
 
 
 def pose_ratio(landmarks: Column) -> Column:
@@ -50,12 +50,11 @@ def pose_score(landmarks: Column) -> Column:
     """0.6 horizontal symmetry + 0.4 vertical place of the nose; 0.5 with fewer than 5 points, 0 without eye distance."""
     left, right, nose = landmarks[0], landmarks[1], landmarks[2]
     eye = distance(left, right)
-    safe = F.when(eye >= 1e-6, eye)
-    horizontal = F.greatest(F.lit(0.0), 1 - 2 * F.abs(nose[0] - (left[0] + right[0]) / 2) / safe)
-    drop = (nose[1] - (left[1] + right[1]) / 2) / safe
-    vertical = F.when((drop >= 0.4) & (drop <= 1.0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(drop - 0.7)))
+    horizontal = F.greatest(F.lit(0.0), 1 - 2 * F.try_divide(F.abs(nose[0] - (left[0] + right[0]) / 2), eye))
+    drop = F.try_divide(nose[1] - (left[1] + right[1]) / 2, eye)
+    vertical = F.when(drop.between(0.4, 1.0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(drop - 0.7)))
     few = F.coalesce(F.size(landmarks) < 5, F.lit(True))
-    return F.when(few, 0.5).otherwise(F.coalesce(0.6 * horizontal + 0.4 * vertical, F.lit(0.0)))
+    return F.when(few, 0.5).when(eye < 1e-6, 0.0).otherwise(0.6 * horizontal + 0.4 * vertical)
 
 
 def blur_score(variance: Column) -> Column:
