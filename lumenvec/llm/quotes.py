@@ -1,15 +1,17 @@
 """Chat formatting by quotation linking, in DataFrame functions only.
 
-A line's quote level is the number of '>' that it begins with (a blank may stand before each). Quoted
-lines are normalised (A-Z lower-cased, white space runs to one blank, trimmed) and hashed; within a
-conversation, each is joined to its original: the first message that holds the line unquoted, if that is
-an earlier one. The message that most of a message's level-one lines come from (the later one of equals)
-is its parent; deeper levels are linked and counted likewise. Following parents by pointer doubling gives
-each message its thread and depth, and (conv_id, thread, depth, turn) orders a conversation by replies.
-The body is the message without quoted lines and without the "On ... wrote:" lines before them.
-
-Originals are one row for each distinct line of a conversation, by partial minimum, so a line repeated
-without end, or a conversation that holds a third of all messages, is no group of one task.
+A line's quote level is the number of '>' that it begins with (a blank may stand before each). A passage is
+a run of lines of one level without a blank line between. Passages, and their single lines for those that
+quote a part, are normalised (A-Z lower-cased, white space and line ends run to one blank, trimmed) and
+hashed; within a conversation, each is joined to its original: the first message that holds it unquoted, if
+that is an earlier one. The message that most of a message's level-one passages and lines come from (the
+later one of equals) is its parent; deeper levels are linked and counted likewise. Following parents by
+pointer doubling gives each message its thread and depth, and (conv_id, thread, depth, turn) orders a
+conversation by replies. The body is the message without quoted lines and without the "On ... wrote:" lines
+before them.
+
+Originals are one row for each distinct passage or line of a conversation, by partial minimum, so one that
+is repeated without end, or a conversation that holds a third of all messages, is no group of one task.
 
 Defined cases: null text is an empty message; blank quoted lines are counted in no level; a null conv_id
 or turn links with nothing; repeated rows give a row each and are one message for linking; an empty table
@@ -18,7 +20,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -32,33 +34,52 @@ def _norm(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), r"[ \t\r\f]+", " "))
 
 
+def _level(line: Column) -> Column:
+    return F.length(F.translate(F.regexp_extract(line, PREFIX, 0), " \t", ""))
+
+
+def _lines(text: str = "text") -> Column:
+    return F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
+
+
 def parsed(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, own (hashes of its unquoted lines), quoted (array of level, h)."""
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    level = lambda x: F.length(F.translate(F.regexp_extract(x, PREFIX, 0), " \t", ""))
-    plain = F.filter(lines, lambda x: ~x.rlike(PREFIX))
+    """conv_id, turn, role, body, n_quoted (distinct quoted lines), max_level."""
+    lines = _lines()
     has = F.exists(lines, lambda x: x.rlike(PREFIX))
-    body = F.when(has, F.filter(plain, lambda x: ~x.rlike(WROTE))).otherwise(lines)
-    own = F.filter(F.transform(plain, _norm), lambda x: x != "")
-    quoted = F.when(has, F.transform(F.filter(lines, lambda x: x.rlike(PREFIX)), lambda x: F.struct(level(x).alias("level"), _norm(F.regexp_replace(x, PREFIX, "")).alias("line"))))
-    kept = F.transform(F.filter(quoted, lambda q: q["line"] != ""), lambda q: F.struct(q["level"].alias("level"), F.xxhash64(q["line"]).alias("h"), F.hash(q["line"]).alias("g")))
+    body = F.when(has, F.filter(lines, lambda x: ~x.rlike(PREFIX) & ~x.rlike(WROTE))).otherwise(lines)
+    told = F.transform(F.filter(lines, lambda x: x.rlike(PREFIX)), lambda x: F.struct(_level(x).alias("level"), _norm(F.regexp_replace(x, PREFIX, "")).alias("line")))
+    quoted = F.when(has, F.array_distinct(F.filter(told, lambda q: q["line"] != "")))
     return conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"),
         F.trim(F.array_join(body, "\n"), F.lit("\n")).alias("body"),
-        F.transform(own, lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"))).alias("own"),
-        F.coalesce(kept, F.array().cast("array<struct<level:int,h:bigint,g:int>>")).alias("quoted"),
+        F.coalesce(F.size(quoted), F.lit(0)).cast("long").alias("n_quoted"),
+        F.coalesce(F.array_max(F.transform(quoted, lambda q: q["level"])), F.lit(0)).cast("long").alias("max_level"),
     )
 
 
-def links(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, origin, lines: how many distinct quoted lines of a level come from a message."""
-    asked = messages.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.h", "q.g").distinct()
-    wanted = asked.select("conv_id").distinct()
-    own = messages.join(wanted, "conv_id", "left_semi").select("conv_id", "turn", F.explode("own").alias("o"))
-    first = own.groupBy("conv_id", "o.h", "o.g").agg(F.min("turn").alias("origin"))
-    return asked.join(first, ["conv_id", "h", "g"]).where("origin < turn").groupBy("conv_id", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("lines"))
+def passages(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, level, h, g: hashes of the distinct passages and lines (level 0: unquoted) of all messages."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.posexplode(_lines()).alias("n", "line"))
+    lines = rows.select("conv_id", "turn", "n", _level(F.col("line")).alias("level"), _norm(F.regexp_replace("line", PREFIX, "")).alias("norm")).distinct()
+    order = Window.partitionBy("conv_id", "turn").orderBy("n", "level", "norm")  # the lines of one message
+    before, last = F.lag("level").over(order), F.lag("norm").over(order)
+    runs = lines.withColumn("start", (before.isNull() | (before != F.col("level")) | (F.col("norm") == "") | (last == "")).cast("int"))
+    runs = runs.withColumn("run", F.sum("start").over(order)).where("norm <> ''")
+    whole = runs.groupBy("conv_id", "turn", "run", "level").agg(F.sort_array(F.collect_list(F.struct("n", "norm"))).alias("p"))
+    texts = runs.select("conv_id", "turn", "level", F.col("norm").alias("t")).union(whole.where(F.size("p") > 1).select("conv_id", "turn", "level", F.array_join(F.transform("p", lambda x: x["norm"]), " ").alias("t")))
+    return texts.select("conv_id", "turn", "level", F.xxhash64("t").alias("h"), F.hash("t").alias("g")).distinct()
+
+
+def links(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, level, origin, passages: how many distinct quoted passages and lines come from a message.
+    Conversations without quotes are left out at once."""
+    quoting = conversations.where(F.exists(_lines(), lambda x: x.rlike(PREFIX))).select("conv_id").distinct()
+    every = staged(passages(conversations.join(quoting, "conv_id", "left_semi")), "passages")
+    first = every.where("level = 0").groupBy("conv_id", "h", "g").agg(F.min("turn").alias("origin"))
+    asked = every.where("level > 0")
+    return asked.join(first, ["conv_id", "h", "g"]).where("origin < turn").groupBy("conv_id", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("passages"))
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -76,17 +97,12 @@ def threads(parents: DataFrame) -> DataFrame:
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, body, n_quoted, max_level, n_linked, parent_turn, thread, depth."""
-    messages = staged(parsed(conversations), "messages")
-    found = staged(links(messages), "links")
-    best = found.where("level = 1").groupBy("conv_id", "turn").agg(F.max(F.struct("lines", "origin")).alias("b")).select("conv_id", "turn", F.col("b.origin").alias("parent"))
-    counted = found.groupBy("conv_id", "turn").agg(F.sum("lines").alias("n_linked"))
+    found = staged(links(conversations), "links")
+    best = found.where("level = 1").groupBy("conv_id", "turn").agg(F.max(F.struct("passages", "origin")).alias("b")).select("conv_id", "turn", F.col("b.origin").alias("parent"))
+    counted = found.groupBy("conv_id", "turn").agg(F.sum("passages").alias("n_linked"))
     placed = counted.join(threads(best), ["conv_id", "turn"], "left").join(best, ["conv_id", "turn"], "left")
-    out = messages.join(placed, ["conv_id", "turn"], "left")
-    distinct = F.array_distinct("quoted")
-    return out.select(
-        "conv_id", "turn", "role", "body",
-        F.size(distinct).cast("long").alias("n_quoted"),
-        F.coalesce(F.array_max(F.transform("quoted", lambda q: q["level"])), F.lit(0)).cast("long").alias("max_level"),
+    return parsed(conversations).join(placed, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "role", "body", "n_quoted", "max_level",
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
         F.col("parent").alias("parent_turn"),
         F.coalesce("thread", "turn").alias("thread"),
@@ -107,17 +123,27 @@ OP9_SQL = r"""
 with recursive m as (
   select conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) as lines from conversations
 ), l as (
-  select conv_id, turn, unnest(lines) as line from m
+  select conv_id, turn, unnest(lines) as line, generate_subscripts(lines, 1) as i from m
 ), n as (
-  select conv_id, turn, regexp_extract(line, '^([ \t]?>)+') as prefix,
+  select conv_id, turn, i, regexp_extract(line, '^([ \t]?>)+') as prefix,
     trim(regexp_replace(translate(regexp_replace(line, '^([ \t]?>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\f]+', ' ', 'g')) as norm
   from l
+), v as (
+  select distinct conv_id, turn, i, length(prefix) - length(replace(prefix, '>', '')) as level, norm from n
+), s as (
+  select *, case when lag(level) over w is null or lag(level) over w <> level or norm = '' or lag(norm) over w = '' then 1 else 0 end as start
+  from v window w as (partition by conv_id, turn order by i, level, norm)
+), r0 as (
+  select *, sum(start) over (partition by conv_id, turn order by i, level, norm rows unbounded preceding) as run from s
 ), q as (
-  select distinct conv_id, turn, length(prefix) - length(replace(prefix, '>', '')) as level, norm from n where prefix <> '' and norm <> ''
+  select distinct conv_id, turn, level, norm from v where level > 0 and norm <> ''
+), u as (
+  select conv_id, turn, level, norm from r0 where norm <> '' union
+  select conv_id, turn, level, string_agg(norm, ' ' order by i) from r0 where norm <> '' group by conv_id, turn, run, level
 ), o as (
-  select conv_id, norm, min(turn) as origin from n where prefix = '' and norm <> '' group by all
+  select conv_id, norm, min(turn) as origin from u where level = 0 group by all
 ), k as (
-  select q.conv_id, q.turn, q.level, o.origin, count(*) as lines from q join o using (conv_id, norm) where o.origin < q.turn group by all
+  select u.conv_id, u.turn, u.level, o.origin, count(*) as lines from u join o using (conv_id, norm) where u.level > 0 and o.origin < u.turn group by all
 ), p as (
   select conv_id, turn, arg_max(origin, lines * 1000000 + origin) as parent from k where level = 1 group by all
 ), t as (
