@@ -240,4 +240,28 @@ def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     hits = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.concat_ws(",", F.sort_array(F.transform("item_ids", lambda i: i.cast("string"))))
-    return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids")
+    return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP7_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null
+), x as (
+  select distinct item_id, list_slice(w, i, i + 9) as g from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)
+), n as (
+  select distinct len(g) as n from x
+), p as (
+  select rid, i, n, list_slice(w, i, i + n - 1) as g from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, n where len(w) >= n)
+), m as (
+  select p.rid, p.i, p.n, x.item_id from p join x using (g)
+), h as (
+  select rid, count(distinct place) as n_hit from (select rid, unnest(range(i, i + n)) as place from m) group by 1
+), t as (
+  select rid, count(distinct item_id) as n_items, array_to_string(list_sort(list_distinct(list(item_id::varchar))), ',') as items from m group by 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (rid) left join t using (rid)
+"""

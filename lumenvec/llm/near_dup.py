@@ -241,3 +241,27 @@ def op4_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP4_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, list_slice(w, i, i + 2) as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) as i from d where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by 1
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 85 * (x.n + y.n - common)
+), e as (
+  select a, b from l union select b, a from l
+), r as (
+  select a as doc_id, a as z from e
+  union
+  select r.doc_id, e.b from r join e on e.a = r.z
+), c as (
+  select doc_id, min(z) as c from r group by 1
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(c, doc_id) as component_id, doc_id = coalesce(c, doc_id) as kept from d left join n using (doc_id) left join c using (doc_id)
+"""

@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_odd_sketch_dedup": near_dup.OP4_SQL,
     "op5_warc_revisits": warc.OP5_SQL,
+    "op7_positional_index": decontaminate.OP7_SQL,
     "op9_quotation_links": quotes.OP9_SQL,
 }
