@@ -438,3 +438,49 @@ def test_op6_against_python_rules(spark, sf):
         n += len(keep)
         assert got[r.doc_id] == keep
     assert n > 20
+
+
+def forms(tree) -> list[str]:
+    """Strings that an expression matches: every branch, optional parts left out and taken, blanks as a line break."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            parts = [chr(arg)]
+        elif op == "IN":
+            kind, x = arg[0]
+            parts = [{"CATEGORY_SPACE": "\n", "CATEGORY_NOT_SPACE": "u"}.get(str(x), "a") if str(kind) == "CATEGORY" else chr(x[0] if str(kind) == "RANGE" else x)]
+        elif op == "NOT_LITERAL":
+            parts = ["x"]
+        elif op == "BRANCH":
+            parts = [f for b in arg[1] for f in forms(b)]
+        elif op == "SUBPATTERN":
+            parts = forms(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            parts = [f * k for k in {arg[0], max(arg[0], 1)} for f in forms(arg[2])]
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+            continue
+        out = [a + b for a in out for b in parts]
+    return out
+
+
+def test_op6_filters_drop_no_form_of_a_rule():
+    for r in licenses.rules():
+        grant = r["regex"].startswith(licenses.GRANT)
+        for f in forms(re._parser.parse(r["regex"].removeprefix(licenses.GRANT))):
+            f = "released under " + f if grant else f
+            assert re.search(r["regex"], f), (r, f)
+            assert r["keyword"] in f and re.search(licenses.GATE, f), (r, f)
+
+
+def test_op6_without_filters(spark):
+    """Names and grants without the word licence, wrapped names and other forms, against all rules run on every text."""
+    texts = ["Released under the 3-clause BSD", "released under the simplified BSD.", "Distributed under Apache 2.0", "available under Apache-2.0", "Published under CeCILL 2.1", "MIT No Attribution", "MIT\x01No Attribution", "GNU General\nPublic\n License,\n version 2", "Business\n Source License", "PSF license", "beer-ware license", "Creative Commons Attribution 4.0", "into the public\n domain", "into the public\x02domain", "nothing at all"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        t = texts[r.doc_id].lower().translate({1: " ", 2: " "})
+        every = [(x["priority"], m.start() - m.end(), x["rank"], m.start(), m.end()) for x in licenses.rules() for m in re.finditer(x["regex"], t)]
+        want = sorted(e[2:] for e in every if not any(o[3] <= e[3] and o[4] >= e[4] and o[:3] < e[:3] for o in every))
+        assert bool(want) == (t != "nothing at all")
+        assert sorted((d.rank, d.start, d.end) for d in (r.found or [])) == want, texts[r.doc_id]
