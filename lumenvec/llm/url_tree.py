@@ -1,14 +1,16 @@
 """URL verdicts: rules by host and path, then path templates judged by smoothed labelled purity.
 
 Each host has a tree of path segments. A segment is variable, and becomes the wildcard *, if it is a
-number, hexadecimal, long or holds three digits in a row, or if it is rare among many siblings (fewer than
-MIN_SHARE of the node's pages, at a node with over MAX_CHILDREN distinct children). Level by level, sibling
-branches are then merged: among the children of a node that are alike in their labels (none, mostly
-blocked, mostly allowed), each is tested against the largest one, and takes its name if a two-sample test
-at the MERGE_Z level finds no difference in the shares of pages that end there, that go on with a wildcard,
-and that are blocked. A page's template is its host and the path so named. Pages whose verdict a rule gives
-are the labels; a template's share of blocked pages is smoothed towards its host's, and the host's towards
-the whole; above REJECT, the template is blocked.
+number, hexadecimal, long or holds three digits in a row. Children that are rare among many siblings (fewer
+than MIN_SHARE of the node's pages, at a node with over MAX_CHILDREN distinct children) are pooled, those of
+each kind of labels (none, mostly blocked, mostly allowed) for themselves: a rare child joins if it has under
+FEW pages or if the two-sample test below finds no difference from its kind's other rare children. One kind's
+pool is the wildcard, another's takes the name of its largest child. Level by level, sibling branches are
+then merged: among the other children of a node that are of one kind, each is tested against the largest
+one, and takes its name if a two-sample test at the MERGE_Z level finds no difference in the shares of pages
+that end there, that go on with a wildcard, and that are blocked. A page's template is its host and the path
+so named. Pages whose verdict a rule gives are the labels; a template's share of blocked pages is smoothed
+towards its host's, and the host's towards the whole; above REJECT, the template is blocked.
 
 All counts are partial sums per node, so a host with any share of the pages is one row a task.
 
@@ -30,6 +32,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DEPTH = 4
 MAX_CHILDREN = 20
 MIN_SHARE = 0.02
+#: A rare child with fewer pages is too small for a two-sample test.
+FEW = 10
 #: Squared normal deviate at the one per cent level.
 MERGE_Z = 6.63
 #: Pages that a parent's share counts for.
@@ -84,8 +88,9 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         largest = node.where(free).groupBy("host", "prefix", "kind").agg(F.max(F.struct("pages", "child", "wild", "leaf", "labelled", "blocked")).alias("top"))
         named = node.join(total, ["host", "prefix"]).join(largest, ["host", "prefix", "kind"], "left")
         rare = (F.col("children") > MAX_CHILDREN) & (F.col("pages") < MIN_SHARE * F.col("all"))
+        named = _pooled(named.withColumn("near", F.coalesce(free & rare, F.lit(False)) | (F.col("child") == "*")))
         alike = _no_difference("wild", "pages") & _no_difference("leaf", "pages") & _no_difference("blocked", "labelled")
-        name = F.when(~free, F.col("child")).when(rare, "*").when(alike, F.col("top.child")).otherwise(F.col("child"))
+        name = F.when(~free, F.col("child")).when(F.col("pool").isNotNull(), F.col("pool")).when(alike, F.col("top.child")).otherwise(F.col("child"))
         tree = tree.join(named.select("host", "prefix", "child", name.alias("as")), ["host", "prefix", "child"])
         tree = tree.withColumn("prefix", F.when(F.col("as") == "", F.col("prefix")).otherwise(F.concat_ws("/", "prefix", "as")))
         tree = staged(tree.select("host", "_raw", "n", "labelled", "blocked", "parts", "prefix"), "tree")
@@ -97,11 +102,27 @@ def _label_counts() -> list[Column]:
     return [F.count("_rule_verdict").alias("labelled"), F.sum(F.when(F.col("_rule_verdict") == "block", 1).otherwise(0)).alias("blocked")]
 
 
-def _no_difference(part: str, whole: str) -> Column:
-    """Two-sample test of a child's share against the largest sibling's: true without evidence of a difference."""
-    n, m = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in (whole, f"top.{whole}"))
-    p, q = F.col(part) / n, F.col(f"top.{part}") / m
-    both = (F.col(part) + F.col(f"top.{part}")) / (n + m)
+def _pooled(nodes: DataFrame) -> DataFrame:
+    """nodes with pool, the common name of a node's rare children (near) of one kind that cannot be told apart;
+    null for others. The kind of the node's own *, or else the one with most pages, is named *; the pool of
+    another kind takes the name of its largest member, so that labels never reach branches without them."""
+    at, sums = ["host", "prefix", "kind"], ["pages", "wild", "leaf", "labelled", "blocked"]
+    whole = nodes.where("near").groupBy(*at).agg(F.struct(*(F.sum(c).alias(c) for c in sums)).alias("whole"))
+    rest = F.struct(*((F.col(f"whole.{c}") - F.col(c)).alias(c) for c in sums))
+    told = nodes.join(whole, at, "left").withColumn("rest", rest)
+    same = _no_difference("wild", "pages", "rest") & _no_difference("leaf", "pages", "rest") & _no_difference("blocked", "labelled", "rest")
+    told = told.withColumn("near", F.col("near") & ((F.col("child") == "*") | (F.col("pages") < FEW) | same)).drop("whole", "rest")
+    pools = told.where("near").groupBy(*at).agg(F.max(F.struct("pages", "child")).alias("head"), F.max((F.col("child") == "*").cast("int")).alias("star"), F.sum("pages").alias("size"))
+    first = pools.groupBy("host", "prefix").agg(F.max(F.struct("star", "size", "kind"))["kind"].alias("first"))
+    names = pools.join(first, ["host", "prefix"]).select(*at, F.when(F.col("kind") == F.col("first"), "*").otherwise(F.col("head.child")).alias("name"))
+    return told.join(names, at, "left").withColumn("pool", F.when(F.col("near"), F.col("name"))).drop("near", "name")
+
+
+def _no_difference(part: str, whole: str, other: str = "top") -> Column:
+    """Two-sample test of a child's share against another's: true without evidence of a difference."""
+    n, m = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in (whole, f"{other}.{whole}"))
+    p, q = F.col(part) / n, F.col(f"{other}.{part}") / m
+    both = (F.col(part) + F.col(f"{other}.{part}")) / (n + m)
     spread = both * (1 - both) * (1 / n + 1 / m)
     return F.coalesce((p - q) * (p - q) <= MERGE_Z * spread, F.lit(True))
 

@@ -92,6 +92,27 @@ def test_op10_rare_siblings_become_one(spark):
     assert {r.template for r in got.collect()} <= {"/*/x", "/keep/x"}
 
 
+def test_op10_rare_siblings_keep_their_labels(spark):
+    """A small blocked section does not block other small sections; a rare one with a structure of its own stays apart."""
+    names = ["n" + chr(97 + i // 5) + chr(97 + i % 5) for i in range(28)]
+    urls = [f"http://x.com/fr/{i}" for i in range(3000)] + [f"http://x.com/de/{i}" for i in range(30)] + [f"http://x.com/{k}/{i}" for k in names for i in range(30)] + ["http://x.com/own/a/b"] * 50
+    got = url_tree.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {r.verdict for r in got if r.path.startswith("/de/")} == {"block"} and {r.verdict for r in got if not r.path.startswith("/de/")} == {"allow"}
+    assert {(r.template, r.labelled) for r in got if r.path.split("/")[1] in names} == {("/*/*", 0)}
+    assert {(r.template, r.labelled) for r in got if r.path.startswith("/de/")} == {("/de/*", 30)}
+    assert {r.template for r in got if r.path.startswith("/own/")} == {"/own/a/b"}
+
+
+def test_op10_rare_kinds_stay_apart_beside_a_wildcard(spark):
+    """Rare children without labels do not join labelled numbers, nor the other way round."""
+    names = [chr(97 + i // 5) + chr(97 + i % 5) for i in range(25)]
+    rules = (("block", "h.net", "/1"), ("block", "h.net", "/a"), ("allow", "h.net", "/keep"))
+    urls = [f"http://h.net/{i}/x" for i in range(100, 120)] * 5 + [f"http://h.net/{k}/x" for k in names] * 3 + ["http://h.net/keep/x"] * 5000
+    got = url_tree.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert all((r.verdict == "block") == (r.path[1] in "1a") for r in got)
+    assert not {r.template for r in got if r.path[1] in "1a"} & {r.template for r in got if r.path[1] not in "1a"}
+
+
 TALK = [
     (4, 0, "u", "A long line that\nis wrapped here\n\nand more"), (4, 1, "a", "> A long line\n> that is Wrapped here\n\nYes"),
     (1, 0, "u", "Hello there\nSecond line"), (1, 1, "a", "On Monday A wrote:\n> hello  There\nMy reply"), (1, 2, "u", ">> Hello there\n> My Reply\nmore"),
