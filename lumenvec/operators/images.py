@@ -72,19 +72,34 @@ def audit(images: DataFrame) -> DataFrame:
 
 def drop_similar_images(images: DataFrame, group: str, threshold: float = 0.92) -> DataFrame:
     """Origin, kept: an image that correlates by more than threshold with the last kept one of its group
-    (by origin) goes. Images are compared as 64 by 64 grey means. images: group, image."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, kept = None, []
-        pdf = pdf.sort_values("origin")
-        for r in pdf.itertuples(index=False):
-            x = area_mean(grey(r.data, r.height, r.width, r.nChannels), 64)
-            x = x - x.mean()
-            n = np.sqrt((x * x).sum())
-            x = x / n if n > 0 else x
-            keep = last is None or float((x * last).sum()) <= threshold
-            kept.append(keep)
-            last = x if keep else last
-        return pd.DataFrame({"origin": pdf["origin"], "kept": kept})
-
-    return images.select(group, "image.origin", "image.height", "image.width", "image.nChannels", "image.data").groupBy(group).applyInPandas(run, "origin string, kept boolean")
+    (by origin) goes. Images are compared as 64 by 64 grey means. images: group, image. A group is one chain,
+    so one task's work, but read as a sorted stream of at most 32 KB a picture."""
+
+    def small(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pictures larger than their means are carried as means (float64)."""
+        for pdf in parts:
+            large = [len(r.data) > 8 * 64 * 64 for r in pdf.itertuples(index=False)]
+            data = [area_mean(grey(r.data, r.height, r.width, r.nChannels), 64).tobytes() if big else r.data for r, big in zip(pdf.itertuples(index=False), large)]
+            yield pdf.assign(data=data, means=large)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last = None, None
+        for pdf in parts:
+            kept = []
+            for r in pdf.itertuples(index=False):
+                x = np.frombuffer(r.data).reshape(64, 64) if r.means else area_mean(grey(r.data, r.height, r.width, r.nChannels), 64)
+                x = x - x.mean()
+                n = np.sqrt((x * x).sum())
+                x = x / n if n > 0 else x
+                if r.key != group:
+                    group, last = r.key, None
+                keep = last is None or float((x * last).sum()) <= threshold
+                kept.append(keep)
+                last = x if keep else last
+            yield pd.DataFrame({"origin": pdf["origin"], "kept": kept})
+
+    # json keeps null, every type and every value of the group apart
+    key = F.to_json(F.struct(F.col(group).alias("g"))).alias("key")
+    rows = images.select(key, "image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    carried = rows.mapInPandas(small, "key string, origin string, height int, width int, nChannels int, data binary, means boolean")
+    return carried.repartition("key").sortWithinPartitions("key", "origin").mapInPandas(run, "origin string, kept boolean")

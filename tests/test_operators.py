@@ -326,6 +326,31 @@ def test_images(spark, tmp_path):
     assert kept["right.png"] and not kept["right2.png"] and kept["left.png"]
 
 
+def test_similar_images_are_a_stream(spark):
+    """Groups of many batches and of large pictures, one of them null, against the chain in plain Python; no group is one frame."""
+    r = np.random.RandomState(1)
+    rows = []
+    for i in range(120):
+        base = r.randint(0, 256, (8, 8)) if i % 3 == 0 else base
+        side = 200 if i % 5 == 0 else 24
+        x = np.kron(base, np.ones((side // 8, side // 8))).astype(np.uint8)
+        rows.append((None if i % 40 < 9 else f"g{i // 60}", (f"{i:03}", side, side, 1, 0, x.tobytes())))
+    df = spark.createDataFrame(rows, "g string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>").repartition(5)
+    last, want = {}, {}
+    for g, (origin, h, w, c, _, data) in rows:
+        x = images.area_mean(images.grey(data, h, w, c), 64)
+        x = (x - x.mean()) / np.sqrt(((x - x.mean()) ** 2).sum())
+        want[origin] = g not in last or float((x * last[g]).sum()) <= 0.92
+        last[g] = x if want[origin] else last[g]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = images.drop_similar_images(df, "g")
+        assert {x.origin: x.kept for x in got.collect()} == want and 0 < sum(want.values()) < 120
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_hash_bears_noise():
     r = np.random.RandomState(0)
     x = r.randint(0, 256, (100, 100)).astype(float)
