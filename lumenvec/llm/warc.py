@@ -1,15 +1,19 @@
 """WARC archives with revisit records for repeated payloads.
 
-Headers alone (page, digest, size) are shuffled by payload digest: a partial minimum per digest names
-the response, and the other pages of that digest become revisits. Archives hold one gzip member per
-record, as the format advises: response and revisit records with fresh headers, a revisit naming its
-response by WARC-Refers-To and keeping no payload. Reading parses members back, recomputes digests of
-the stored payloads and joins revisits to the responses that they refer to.
+Headers alone (page, url, digest, size) are shuffled by payload digest: a partial minimum per digest names
+the response, and the headers of the other pages of that digest, joined to it, become revisits. The scan of
+the payloads makes each page's response record, a gzip member of its own as the format advises; members of
+pages that revisit are taken out by an anti-join on (page_id, digest), so no task meets all copies of a
+payload and what moves is compressed. Revisit records name their response by WARC-Refers-To and keep no
+payload; every archive begins with a warcinfo record, and all headers are written anew, dated by the run.
+Reading parses members back, recomputes the digests of stored payloads, compares them with the headers, and
+joins revisits to the responses that they refer to.
 
 Defined cases: null html is an empty payload; null url gives an empty WARC-Target-URI; pages with a null
-page_id are records of their own (never a response that others refer to unless no page of that payload
-has an id); rows that repeat the smallest page_id of a payload are responses, too; an empty table gives
-no archive and no rows; other columns are ignored. A task writes under a name of its own and renames.
+page_id are records of their own (never a response that others refer to; responses all if no page of that
+payload has an id); rows that repeat the smallest page_id of a payload are responses, too, under one record
+id; one page_id with several payloads is resolved for each payload; an empty table gives no archive and no
+rows; other columns are ignored. A task writes under a name of its own and renames.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -30,19 +35,26 @@ from .common import shared_dir, shuffle_partitions, staged, table, tune
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
-DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def resolve(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html, digest, refers_to (null: a response) for every page."""
+def headers(pages: DataFrame) -> DataFrame:
+    """page_id, url, digest, size (of the payload) and html of every page."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
-    large = F.octet_length("html") >= least_bytes
-    first = named.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    # Only digests that repeat take part in the join back; the other pages are left alone.
-    joined = named.join(first, "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(large & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
+    return named.select("page_id", "url", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.octet_length("html").cast("long").alias("size"), "html")
+
+
+def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """page_id, url, digest, refers_to, refers_to_url of the pages whose payload a smaller page_id holds."""
+    large = headers(pages).drop("html").where(F.col("size") >= least_bytes)
+    own = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = large.groupBy("digest").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    # A table of its own, so that the join's sides are plain exchanges and a hot digest's rows can be split.
+    first = staged(first.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_to_url")), "responses")
+    again = large.select("page_id", "url", "digest").join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return again.select("page_id", "url", "digest", "refers_to", "refers_to_url")
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -50,17 +62,21 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record, uncompressed: WARC header, HTTP header, payload (responses only)."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    revisit = refers_to is not None
-    block = http if revisit else http + payload
-    uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+def _uri(url: str) -> str:
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+
+
+def record(kind: str, page_id: int | None, url: str, digest: str, date: str, block: bytes, more: tuple[str, ...] = ()) -> bytes:
+    """One response or revisit record, uncompressed."""
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
-    if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
+    return "\r\n".join([*head, *more]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warcinfo(name: str, date: str) -> bytes:
+    block = b"software: Spark job\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, name)}", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -69,8 +85,33 @@ def member(data: bytes, level: int = 1) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_archives(records: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write resolve()'s rows below root; a row for each archive (path, records, bytes), a written table."""
+def records(pages: DataFrame, date: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """member: the gzip member of every page's record, response or revisit."""
+    again = staged(revisits(pages, least_bytes), "revisits")
+
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, urls, digests, htmls = (batch.column(k).to_pylist() for k in range(4))
+            made = [member(record("response", i, u, d, date, HTTP + h.encode())) for i, u, d, h in zip(ids, urls, digests, htmls, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["page_id", "digest", "member"])
+
+    def referring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                more = (f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(r['refers_to'], r['digest'])}", f"WARC-Refers-To-Target-URI: {_uri(r['refers_to_url'])}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-Id: {r['refers_to']}")
+                made.append(member(record("revisit", r["page_id"], r["url"], r["digest"], date, HTTP, more)))
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
+
+    every = headers(pages).select("page_id", "url", "digest", "html").mapInArrow(responses, "page_id long, digest string, member binary")
+    gone = again.select(F.col("page_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    kept = every.join(gone, F.col("page_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
+    return kept.select("member").union(again.mapInArrow(referring, "member binary"))
+
+
+def write_archives(pages: DataFrame, root: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write a record for each page below root; a row for each archive (path, records, bytes), a written table."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(root)
@@ -84,12 +125,13 @@ def write_archives(records: DataFrame, root: str, archive_bytes: int = ARCHIVE_B
             done.append((f"{root}/{name}", count, size))
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for data in batch.column(0).to_pylist():
                 if out is None:
                     store.create_dir(base, recursive=True)
                     name, own = f"pages-{part:05d}-{number:03d}.warc.gz", f"{base}/.part-{part:05d}-{number:03d}-{attempt}"
-                    out, size, count, number = store.open_output_stream(own, compression=None), 0, 0, number + 1
-                data = member(record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"]))
+                    out, info = store.open_output_stream(own, compression=None), member(warcinfo(name, date))
+                    out.write(info)
+                    size, count, number = len(info), 0, number + 1
                 out.write(data)
                 size, count = size + len(data), count + 1
                 if size >= archive_bytes:
@@ -99,7 +141,7 @@ def write_archives(records: DataFrame, root: str, archive_bytes: int = ARCHIVE_B
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return staged(records.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "path string, records long, bytes long"), "archives")
+    return staged(records(pages, date, least_bytes).mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
 def members(stream, read_bytes: int = READ_BYTES) -> Iterator[bytes]:
@@ -130,12 +172,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record: page_id, url, record_type, refers_to, payload (null for revisits)."""
+    """Every response and revisit: page_id, url, record_type, refers_to, digest (as the header says), payload
+    (null for revisits). Raises ValueError where a payload has another digest than its header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(found: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], ["page_id", "url", "record_type", "refers_to", "payload"])
+            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], ["page_id", "url", "record_type", "refers_to", "digest", "payload"])
 
         number = lambda x: None if x is None else int(x)
         for batch in batches:
@@ -145,8 +188,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 with store.open_input_stream(at, compression=None) as f:
                     for data in members(f):
                         fields, block = parse(data)
-                        payload = block.partition(b"\r\n\r\n")[2] if fields["warc-type"] == "response" else None
-                        found.append((number(fields.get("x-page-id")), fields["warc-target-uri"], fields["warc-type"], number(fields.get("x-refers-to-page-id")), payload))
+                        if fields["warc-type"] not in ("response", "revisit"):
+                            continue
+                        payload, digest = block.partition(b"\r\n\r\n")[2], fields["warc-payload-digest"].removeprefix("sha256:")
+                        if fields["warc-type"] == "revisit":
+                            payload = None
+                        elif hashlib.sha256(payload).hexdigest() != digest:
+                            raise ValueError(f"{fields['warc-record-id']}: the payload fails its digest")
+                        found.append((number(fields.get("x-page-id")), fields["warc-target-uri"], fields["warc-type"], number(fields.get("x-refers-to-page-id")), digest, payload))
                         size += len(data)
                         if size >= 4 * READ_BYTES:
                             yield rows(found)
@@ -154,23 +203,25 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 yield rows(found)
 
     n = shuffle_partitions(archives.sparkSession)
-    return archives.select("path").repartition(n).mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary")
+    return archives.select("path").repartition(n).mapInArrow(run, "page_id long, url string, record_type string, refers_to long, digest string, payload binary")
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits take theirs from the
-    response that they refer to."""
-    # Digests are computed as the archives are read, so that payloads are not kept.
-    told = staged(records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")), "records")
-    response, revisit = told.where("record_type = 'response'"), told.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
-    named = response.join(revisit.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to")).agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("p"))
-    back = revisit.join(named, "refers_to", "left").select("page_id", F.col("p.payload_bytes").alias("payload_bytes"), F.col("p.payload_digest").alias("payload_digest"), "record_type", "refers_to")
-    return response.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(back)
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits take the size from the response
+    that they refer to (null if the archives hold none such)."""
+    told = staged(records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest")), "records")
+    response, revisit = told.where("record_type = 'response'"), told.where("record_type = 'revisit'").drop("payload_bytes")
+    target = response.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    asked = revisit.select("refers_to", "payload_digest").distinct()
+    target = staged(target.join(asked, ["refers_to", "payload_digest"], "left_semi").distinct(), "targets")
+    back = revisit.join(target, ["refers_to", "payload_digest"], "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return response.select(columns).unionByName(back.select(columns))
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    archives = write_archives(resolve(table(spark, sf_dir, "pages")), shared_dir(spark, "warc"))
+    archives = write_archives(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
     return resolved(read_archives(archives))
 
 

@@ -17,7 +17,7 @@ PAGES = [(1, "http://a.org/x", "p" * 120), (2, "http://a.org/y", "p" * 120), (0,
 
 def test_op5_rows(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "'x' as digest", "1 as refers_to")
-    archives = warc.write_archives(warc.resolve(pages), shared_dir(spark, "warc"), archive_bytes=200)
+    archives = warc.write_archives(pages, shared_dir(spark, "warc"), archive_bytes=200)
     assert archives.count() > 2
     got = warc.resolved(warc.read_archives(archives)).collect()
     assert len(got) == len(PAGES)
@@ -26,15 +26,25 @@ def test_op5_rows(spark):
     assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in same) == [("0", "response", None), ("0", "response", None), ("1", "revisit", 0), ("2", "revisit", 0), ("None", "revisit", 0)]
     assert all(r.payload_bytes == 120 for r in same)
     assert {r.page_id for r in got if r.record_type == "response"} == {0, 3, 4, 5, 6, 7, 8}
-    assert warc.resolved(warc.read_archives(warc.write_archives(warc.resolve(pages.limit(0)), shared_dir(spark, "warc")))).count() == 0
+    assert warc.resolved(warc.read_archives(warc.write_archives(pages.limit(0), shared_dir(spark, "warc")))).count() == 0
+
+
+def test_op5_one_id_with_two_payloads(spark):
+    """Resolved for each payload; equal rows that revisit stay as many."""
+    rows = [(1, "u", "p" * 120), (2, "u", "p" * 120), (2, "u", "q" * 120), (2, "u", "p" * 120), (3, "u", "q" * 120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.resolved(warc.read_archives(warc.write_archives(pages, shared_dir(spark, "warc")))).collect()
+    of = {hashlib.sha256(c.encode() * 120).hexdigest(): c for c in "pq"}
+    assert sorted((r.page_id, of[r.payload_digest], r.record_type, r.refers_to) for r in got) == [(1, "p", "response", None), (2, "p", "revisit", 1), (2, "p", "revisit", 1), (2, "q", "response", None), (3, "q", "revisit", 2)]
 
 
 def test_op5_records_parse():
-    data = warc.record(3, "http://x/\n", b"\r\n\r\nbody", "d", None)
+    date = "2020-02-02T02:02:02Z"
+    data = warc.record("response", 3, "http://x/\n", "d", date, warc.HTTP + b"\r\n\r\nbody")
     fields, block = warc.parse(data)
-    assert fields["warc-type"] == "response" and block.partition(b"\r\n\r\n")[2] == b"\r\n\r\nbody"
-    both = warc.member(data) + warc.member(warc.record(4, "u", b"x", "d", 3))
-    assert [warc.parse(m)[0]["warc-type"] for m in warc.members(io.BytesIO(both), 7)] == ["response", "revisit"]
+    assert fields["warc-type"] == "response" and fields["warc-date"] == date and block.partition(b"\r\n\r\n")[2] == b"\r\n\r\nbody"
+    both = warc.member(warc.warcinfo("a.warc.gz", date)) + warc.member(data) + warc.member(warc.record("revisit", 4, "u", "d", date, warc.HTTP))
+    assert [warc.parse(m)[0]["warc-type"] for m in warc.members(io.BytesIO(both), 7)] == ["warcinfo", "response", "revisit"]
     with pytest.raises(ValueError):
         list(warc.members(io.BytesIO(both[:-4])))
 
