@@ -5,9 +5,11 @@ cos(W x + b) with W normal and b uniform, whose inner products approximate a Gau
 Z'Z and Z'y over their rows; the sums, of a size that does not depend on the data, are added up by Spark
 and solved for ridge weights. Raw scores are calibrated by isotonic regression on their histogram.
 
-Labels are learnt from at most MAX_TRAIN rows, those of the smallest hashes of doc_id. Rows whose
-crc32(doc_id as text) mod 5 is 0 are never learnt from; of the others, remainder 1 fits the calibration
-and the rest the weights. Labels, lang, source and doc_id are never inputs of a score.
+Labels are learnt from at most MAX_TRAIN rows, those of the smallest hashes of doc_id; that bound is what
+lets their ids be broadcast to the scan, so no text is shuffled. Rows whose crc32(doc_id as text) mod 5 is 0
+are never learnt from; of the others, remainder 1 fits the calibration and the rest the weights (if none has
+remainder 1, the calibration is fitted on the rows of the weights). Labels, lang, source and doc_id are never
+inputs of a score.
 
 Defined cases: null, empty and wordless texts have all statistics 0 and are scored like any; a document
 without a label or with a null doc_id is scored and never learnt from; repeated documents get a row each;
@@ -115,13 +117,26 @@ def isotonic(x: np.ndarray, positives: np.ndarray, counts: np.ndarray) -> tuple[
     return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.01) / (b[2] + 0.02) for b in blocks])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, dimensions: int = DIMENSIONS, seed: int = 7) -> Model:
-    """What goes to the driver: moments, sums of dimensions ** 2 numbers and a histogram, whatever the input."""
+def training_labels(labels: DataFrame, label: str, max_train: int) -> DataFrame:
+    """doc_id, y, fold of at most max_train labelled rows outside the held-out fold: those of the smallest
+    hashes. Hashes over a cut that leaves some more than max_train rows are put aside before rows are ordered,
+    so that what is ordered is bounded, too."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = known.where(fold != 0).withColumn("fold", fold.cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    known = known.where(fold != 0).select("doc_id", "y", fold.cast("int").alias("fold"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)).alias("h"))
+    cells = known.groupBy(F.shiftright("h", 62 - 12).alias("cell")).agg(F.count(F.lit(1)).alias("n")).orderBy("cell").toPandas()  # 4,096 rows at most
+    over = np.flatnonzero(cells["n"].cumsum().to_numpy() >= max_train)
+    if len(over):
+        known = known.where(F.shiftright("h", 62 - 12) <= int(cells["cell"][over[0]]))
+    return known.orderBy("h", "doc_id").limit(max_train).select("doc_id", "y", "fold")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, dimensions: int = DIMENSIONS, seed: int = 7) -> Model:
+    """What goes to the driver: moments, sums of dimensions ** 2 numbers and histograms, whatever the input."""
+    known = staged(training_labels(labels, label, max_train), "labels")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(with_statistics(text.join(known, "doc_id"), ["doc_id", "y", "fold"]), "statistics")
+    # At most max_train rows of 20 bytes: a broadcast of proven size.
+    rows = staged(with_statistics(text.join(F.broadcast(known), "doc_id"), ["doc_id", "y", "fold"]), "statistics")
     d = len(FEATURES)
     cells = [F.col("x")[k] for k in range(d)]
     found = rows.agg(F.count(F.lit(1)), F.avg("y"), F.min("y"), F.max("y"), *(f(c) for c in cells for f in (F.avg, F.stddev_pop))).first()

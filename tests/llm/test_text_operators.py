@@ -388,6 +388,38 @@ def test_op2_odd_rows(spark, sf, odd, none):
     assert quality.fit(none, labels).score.tolist() == [0.5]
 
 
+def test_op2_against_dense_algebra(spark, sf):
+    """Weights and scores by plain formulas over all training rows at once, and how well held-out rows rank."""
+    docs, labels = (table(spark, sf.replace("0.001", "0.01"), t).toPandas() for t in ("documents", "labels"))
+    both = docs.merge(labels, on="doc_id").sort_values("doc_id")
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in both["doc_id"]])
+    x, y = quality.statistics(pa.array(both["text"].fillna(""))), both["quality"].to_numpy(float)
+    train = fold != 0
+    mean, std = x[train].mean(axis=0), x[train].std(axis=0)
+    model = quality.fit(table(spark, sf.replace("0.001", "0.01"), "documents"), table(spark, sf.replace("0.001", "0.01"), "labels"))
+    z = np.clip((x - mean) / np.where(std > 1e-9, std, 1), -8, 8)
+    phi = np.hstack([np.ones((len(z), 1)), np.sqrt(2 / quality.DIMENSIONS) * np.cos(z @ model.w + model.b)])
+    of = fold > 1
+    ridge = quality.RIDGE * of.sum() / quality.DIMENSIONS
+    w = np.linalg.solve(phi[of].T @ phi[of] + ridge * np.eye(phi.shape[1]), phi[of].T @ y[of])
+    assert np.allclose(phi @ w, model.raw_scores(x), atol=1e-6)
+    kernel = np.exp(-((z[:40, None] - z[None, :40]) ** 2).sum(axis=2) / (2 * quality.WIDTH**2))
+    assert np.abs(phi[:40, 1:] @ phi[:40, 1:].T - kernel).mean() < 0.1
+    held = fold == 0
+    s = model.scores(x)[held]
+    wins = (s[y[held] == 1][:, None] > s[y[held] == 0][None, :]).mean() + 0.5 * (s[y[held] == 1][:, None] == s[y[held] == 0][None, :]).mean()
+    assert wins > 0.95
+
+
+def test_op2_training_rows_are_bounded(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)] + [(7, 1), (None, 1), (9000, None)], "doc_id long, quality int")
+    every = {r.doc_id: r for r in quality.training_labels(labels, "quality", 10**6).collect()}
+    assert set(every) == {i for i in range(5000) if zlib.crc32(str(i).encode()) % 5} and all(r.fold == zlib.crc32(str(i).encode()) % 5 for i, r in every.items())
+    few = [r.doc_id for r in quality.training_labels(labels, "quality", 300).collect()]
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in every], "doc_id long").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))).collect()]
+    assert few == order[:300]
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 8, 2, 10]), np.array([10, 10, 10, 10]))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and y[1] == pytest.approx(0.5, abs=0.01)
