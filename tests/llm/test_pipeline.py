@@ -50,6 +50,18 @@ def test_odd_rows(spark, sf, k):
     assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), sf).count() == 0
 
 
+@pytest.mark.parametrize("k", range(3))
+def test_clashing_names(spark, sf, k):
+    """Columns with the names that stages use inside change nothing."""
+    docs = table(spark, sf, "documents")
+    names = ["_hit", "_gone", "_digest", "_text", "_c0", "rep", "set", "segment", "y", "fold", "x"]
+    wide = docs.selectExpr("*", *(f"'v' as `{n}`" for n in names))
+    stage = corpus_pipeline.STAGES[k][1]
+    out = stage(spark, wide, sf)
+    assert out.columns == wide.columns
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in stage(spark, docs, sf).select("doc_id").collect())
+
+
 def test_digests_name_their_columns(spark, sf):
     docs = table(spark, sf, "documents").limit(3)
     assert tree_bpe.digests(tree_bpe.encode_documents(docs, vocabulary_path("word_bpe_49k.json")), "ids").columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "leaves", "ids"]

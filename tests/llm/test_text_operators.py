@@ -319,7 +319,7 @@ def test_components_of_chains_and_stars(spark):
 # ---- decontamination
 
 
-def hits(docs, items, size):
+def hits(docs, items, size, span=2):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     windows = {}
     for i, t in items:
@@ -329,37 +329,52 @@ def hits(docs, items, size):
     out = []
     for i, t in docs:
         w = word(t)
-        mark, found = [0] * len(w), set()
+        mark, found, near = [0] * len(w), set(), 0
         for win, ids in windows.items():
+            near += any(set(win) <= set(w[k : k + span * len(win)]) for k in range(len(w)))
             for k in range(len(w) - len(win) + 1):
                 if tuple(w[k : k + len(win)]) == win:
                     found |= ids
                     mark[k : k + len(win)] = [1] * len(win)
-        out.append((str(i), len(w), sum(mark), sorted(found)))
+        out.append((str(i), len(w), sum(mark), near, sorted(found)))
     return sorted(out)
 
 
 def test_op7_against_all_windows(spark, odd):
     r = random.Random(8)
-    docs = [(i, " ".join(r.choice("abcd") for _ in range(r.randint(0, 60)))) for i in range(60)] + [(100 + i, t) for i, t in enumerate(ODD)]
-    items = [(i, " ".join(r.choice("abcd") for _ in range(r.randint(0, 9)))) for i in range(15)] + [(50, None), (51, "..."), (52, "Same, TEXT here"), (53, "a b a"), (53, "b b")]
+    docs = [(i, " ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 60)))) for i in range(60)] + [(100 + i, t) for i, t in enumerate(ODD[:5] + ODD[7:])]
+    items = [(i, " ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 9)))) for i in range(15)] + [(50, None), (51, "..."), (52, "Same, TEXT here"), (53, "a b a"), (53, "b b"), (54, "a b a"), (55, "absent word"), (56, docs[5][1]), (57, docs[5][1])]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame(items, "item_id long, text string").withColumn("segment", F.lit(1))
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("segment", F.lit(1)).withColumn("set", F.lit("x"))
     got = decontaminate.decontaminate(d, b, 5).collect()
-    assert sorted((str(x.doc_id), x.n_words, x.n_hit, sorted(x.item_ids)) for x in got) == hits(docs, items, 5)
+    want = hits(docs, items, 5)
+    assert sorted((str(x.doc_id), x.n_words, x.n_hit, x.n_near, x.item_ids) for x in got) == want and any(h[3] > len(h[4]) for h in want)
     clean = decontaminate.clean_documents(d, b, 5)
-    assert sorted(x.doc_id for x in clean.collect()) == sorted(int(x[0]) for x in hits(docs, items, 5) if not x[2])
-    assert decontaminate.decontaminate(d, b.limit(0)).where("n_hit > 0").count() == 0
+    assert sorted(x.doc_id for x in clean.collect()) == sorted(int(x[0]) for x in want if not x[2])
+    assert decontaminate.decontaminate(d, b.limit(0)).where("n_hit > 0 or n_near > 0 or size(item_ids) > 0").count() == 0
     assert decontaminate.decontaminate(odd.limit(0), b).count() == 0
     assert decontaminate.clean_documents(odd, b.limit(0)).columns == odd.columns
 
 
-def test_op7_whole_index_and_proximity(spark):
-    d = spark.createDataFrame([(1, "x one y two three z"), (2, "three one two"), (3, "one two"), (4, "one a b c d e two three")], "doc_id long, text string")
-    windows = decontaminate.windows_of(spark.createDataFrame([(1, "one two three")], "item_id long, text string"))
-    postings, documents = decontaminate.build_index(d)
-    assert postings.where("term = 'z'").count() == 1
-    assert {(r.doc_id, r.at) for r in decontaminate.near(documents, postings, windows, 4).collect()} == {(1, 1), (2, 0)}
+def test_op7_long_texts_and_segments(spark, monkeypatch):
+    """Documents over many segments, one longer than a segment, and a window that all items share."""
+    monkeypatch.setattr(decontaminate.build_index, "__defaults__", (300,))
+    shared = "these ten words stand in each of the items here"
+    items = [(i, f"item {i} begins {shared} and ends") for i in range(30)]
+    docs = [(i, "filler text " * (i % 7)) for i in range(40)] + [(90, "word " * 5000 + shared + " tail " * 5000), (91, shared), (92, shared.replace("stand", "now stand")), (93, items[7][1].upper())]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_hit, x.n_near, x.item_ids) for x in got) == hits(docs, items, 10)
+    by = {x.doc_id: x for x in got}
+    assert by[90].item_ids == list(range(30)) and by[92].n_hit == 0 and by[92].n_near == 1 and by[93].n_hit == 15
+
+
+def test_op7_index_holds_every_term(spark):
+    d = spark.createDataFrame([(1, "x one y one z"), (2, "one"), (None, None)], "doc_id long, text string")
+    postings, documents = decontaminate.build_index(d.coalesce(1))
+    assert {r.term: r["count"] for r in postings.groupBy("term").agg(F.sum("count").alias("count")).collect()} == {"x": 1, "one": 3, "y": 1, "z": 1}
+    assert sorted(str(r.doc_id) for r in documents.collect()) == ["1", "2", "None"]
+    values = np.array([0, 1, 127, 128, 16383, 16384, 1 << 21, 1 << 28, 1 << 36, 5])
+    assert decontaminate.unpack(decontaminate.pack(values)[0]).tolist() == values.tolist() and decontaminate.unpack(np.zeros(0, np.uint8)).tolist() == []
 
 
 # ---- quality
