@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; texts may be long, so batches stay small.
 ARROW_ROWS = 1000
@@ -48,6 +49,22 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Slots of a membership bitmap: 262,144 words of 64.
+SLOTS = 1 << 24
+
+
+def likely_in(df: DataFrame, members: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of df that may have a key of members, by a bitmap of hashed keys, ahead of the join that decides. The
+    bitmap has at most SLOTS / 64 rows of 16 bytes, whatever the input, so it is broadcast; the more keys, the
+    fewer rows it saves from the join's shuffle."""
+    word, bit, slot = (f"{x}_{uuid.uuid4().hex}" for x in ("word", "bit", "slot"))
+    place = F.pmod(F.xxhash64(*key), F.lit(SLOTS))
+    bits = members.select(place.alias(slot)).groupBy(F.shiftright(slot, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} % 64 as int))")).alias(bit))
+    wide = df.withColumn(slot, place)
+    held = wide.join(F.broadcast(bits), F.shiftright(F.col(slot), 6) == F.col(word)).where(F.expr(f"getbit({bit}, cast({slot} % 64 as int)) = 1"))
+    return held.select(df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,6 +116,11 @@ def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def fixed_lists(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
 def _table(keep) -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32

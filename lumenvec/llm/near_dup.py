@@ -1,45 +1,56 @@
 """Near-duplicate documents: MinHash bands for candidates, odd sketches to weigh them, full sets to confirm.
 
 A document is its set of word shingles. Documents with equal sets are one node from the start. Each
-node has MinHash samples (the least value of each of bands * rows hash functions over its shingles).
-Nodes that share all samples of a band are candidates; candidate groups are the connected components
-of sharing a band, found with one edge for each member and bucket, so no bucket is expanded into
-pairs. A group is cut into blocks of bounded rows and bytes, and each two blocks meet in one tile.
-In a tile the samples, folded into parity bitmaps (odd sketches), are compared by XOR and population
-count: a sample that differs flips two bits, so the count gives the similarity with a small error.
-Pairs within MARGIN of the threshold or above it are confirmed on the full shingle sets, unless the
-tile has linked them already, so a tile returns fewer links than it has documents.
+node has MinHash samples (the least value of each of bands * rows hash functions over its shingles),
+folded into a parity bitmap (odd sketch): a sample that differs flips two bits, so the population count of
+two sketches' XOR gives the similarity with a small error.
+
+Nodes that share all samples of a band are a bucket; buckets of the same nodes are one. Sketches are
+compared inside buckets, before any text moves: a bucket of two is an expression, larger ones are cut into
+blocks of TILE nodes (80 bytes each), each two blocks are one tile, and a tile returns a spanning forest of
+the pairs whose sketches agree to within MARGIN below the threshold, never all pairs. The connected
+components of these are the groups that may hold links, and only their texts are read.
+
+Within a group, cut into blocks of bounded rows and bytes, links are confirmed on the full shingle sets:
+first inside each block, which is all for most groups; then among one document of each component found so
+far; and only in groups that are still apart, between each two blocks. Pairs already connected are not
+confirmed again, so a tile returns fewer links than it has documents, and a group of near copies, however
+large, is read about once.
 
 A link of similarity s is missed if no band agrees, (1 - s**rows) ** bands: 1e-9 at 0.85, 4e-7 at
 0.8, or if the sketch errs by more than MARGIN, over five standard deviations.
 
-A group of m nodes takes about (m / BLOCK)**2 / 2 tiles: the price of losing no link between
+A bucket of m nodes takes (m / TILE)**2 / 2 tiles of sketches, a group of m that falls into parts which no
+two representatives link takes (m / BLOCK)**2 / 2 tiles of texts: the price of losing no link between
 different texts. Exact copies, however many, cost nothing here.
 
 Defined cases: null, empty or wordless texts have an empty set and are linked with nothing; fewer
 words than a shingle make one shingle; rows with a null doc_id are linked with nothing (component
 null, kept); rows of one doc_id count as one document, whatever their texts; an empty table gives
-none; other columns are ignored.
+none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, shuffle_partitions, staged, table, text_slices, tune, words
+from .common import SPACED, fixed_lists, likely_in, shuffle_partitions, staged, table, text_slices, tune, words
 
 ROWS, BANDS = 4, 28
 SKETCH_BITS = 512
 #: Estimated similarities this much below the threshold are still confirmed.
 MARGIN = 0.2
+#: Nodes of a block of sketches; a tile holds two.
+TILE = 1024
 #: Documents and bytes of text of a block; a tile holds two.
-BLOCK, BLOCK_BYTES = 96, 4 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 _U = np.uint64
 
 
@@ -113,13 +124,13 @@ def signatures(docs: DataFrame, shingle: int, rows: int = ROWS, bands: int = BAN
                 samples = minima(sets, n)
                 keys = _mix((samples.reshape(len(sets), bands, rows) * fold).sum(axis=2, dtype=_U) + salt).view(np.int64)
                 names = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for k in (1, 2)] for s in sets], _U).view(np.int64)
-                band = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-                sketch = [x.tobytes() for x in odd_sketches(samples)]
+                band = fixed_lists(keys)
+                sketch = fixed_lists(odd_sketches(samples).view(np.int64))
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
                 length = [len(t) for t in texts.cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(names[:, 0]), pa.array(names[:, 1]), band, pa.array(sketch, pa.binary()), pa.array(length, pa.int64())], ["doc_id", "digest", "n_shingles", "k1", "k2", "bands", "sketch", "bytes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(names[:, 0]), pa.array(names[:, 1]), band, sketch, pa.array(length, pa.int64())], ["doc_id", "digest", "n_shingles", "k1", "k2", "bands", "sketch", "bytes"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, digest long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary, bytes long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, digest long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>, bytes long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -149,81 +160,181 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def _tiles(percent: int, shingle: int, n: int):
-    """Confirmed links of each tile; rows come sorted by tile."""
-    least = percent / 100 - MARGIN
+def most_flips(percent: int, n: int) -> int:
+    """The largest population count at which two sketches of n samples may still reach the threshold."""
+    flips = np.arange(SKETCH_BITS + 1)
+    return int(flips[estimated(flips, n) >= percent / 100 - MARGIN].max())
+
+
+def _alike(size: Column, other: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be as similar as that."""
+    return 100 * F.least(size, other) >= percent * F.greatest(size, other)
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix of flags."""
+    out, rest = [], np.ones(len(near), bool)
+    for first in range(len(near)):
+        if not rest[first]:
+            continue
+        rest[first], queue = False, [first]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(near[i] & rest)
+            rest[new] = False
+            out += [(i, j) for j in new.tolist()]
+            queue += new.tolist()
+    return out
+
+
+def _sketch_tiles(percent: int, n: int):
+    """A spanning forest of each tile's likely pairs; rows come sorted by tile."""
+    most = most_flips(percent, n)
+
+    def likely(rows: list[dict]) -> list[tuple[int, int]]:
+        x = np.array([r["sketch"] for r in rows], np.int64).view(_U)
+        size, low = np.array([r["n_shingles"] for r in rows]), np.array([r["block"] == r["lo"] for r in rows])
+        near = np.zeros((len(rows), len(rows)), bool)
+        for i in range(len(rows)):
+            near[i] = (np.bitwise_count(x[i] ^ x).sum(axis=1) <= most) & (100 * np.minimum(size[i], size) >= percent * np.maximum(size[i], size))
+        if rows[0]["lo"] != rows[0]["hi"]:
+            near &= low[:, None] != low[None, :]
+        return [(rows[i]["rep"], rows[j]["rep"]) for i, j in forest(near) if rows[i]["rep"] != rows[j]["rep"]]
+
+    return _by_tile(("key", "lo", "hi"), likely)
+
+
+def _by_tile(key: tuple[str, ...], pairs):
+    """A mapInArrow function that gives pairs() of each run of rows with one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if (now := tuple(r[k] for k in key)) != last:
+                    out += pairs(held) if held else []
+                    held, last = [], now
+                held.append(r)
+            yield told(out)
+        if held:
+            yield told(pairs(held))
+
+    def told(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _text_tiles(percent: int, shingle: int, n: int):
+    """Confirmed links of each tile between documents of different components; rows come sorted by tile."""
+    most = most_flips(percent, n)
 
     def links(rows: list[dict]) -> list[tuple[int, int]]:
         rows = list({(r["rep"], r["digest"]): r for r in rows}.values())
         sets = shingle_sets(pa.array([r["text"] for r in rows], pa.string()), shingle)
-        sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), _U).reshape(len(rows), -1)
-        low = np.array([r["block"] == r["lo"] for r in rows])
+        sketch = np.array([r["sketch"] for r in rows], np.int64).view(_U)
+        size, low = np.fromiter(map(len, sets), np.int64, len(sets)), np.array([r["block"] == r["lo"] for r in rows])
         left = np.flatnonzero(low)
         right = left if rows[0]["lo"] == rows[0]["hi"] else np.flatnonzero(~low)
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        found = []
+        flips, first, second = [], [], []
         for i in left.tolist():
             js = right[right > i] if right is left else right
-            if len(js):
-                like = estimated(np.bitwise_count(sketch[i] ^ sketch[js]).sum(axis=1), n)
-                near = (like >= least) & (100 * np.minimum(size[i], size[js]) >= percent * np.maximum(size[i], size[js]))
-                found += zip(like[near].tolist(), [i] * int(near.sum()), js[near].tolist(), strict=True)
-        found.sort(reverse=True)
-        root, out = list(range(len(rows))), []
+            f = np.bitwise_count(sketch[i] ^ sketch[js]).sum(axis=1)
+            near = (f <= most) & (100 * np.minimum(size[i], size[js]) >= percent * np.maximum(size[i], size[js]))
+            flips.append(f[near])
+            first.append(np.full(int(near.sum()), i))
+            second.append(js[near])
+        order = np.argsort(np.concatenate(flips), kind="stable") if flips else []
+        of: dict[int, int] = {}
+        root, out = [of.setdefault(r["component"], k) for k, r in enumerate(rows)], []
+        apart = len(of)
 
         def find(x: int) -> int:
             while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
 
-        for _, i, j in found:
+        for i, j in zip(np.concatenate(first)[order].tolist(), np.concatenate(second)[order].tolist(), strict=True) if len(order) else ():
+            if apart == 1:
+                break
             if (x := find(i)) != (y := find(j)):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (size[i] + size[j] - both):
-                    root[x] = y
+                    root[x], apart = y, apart - 1
                     out.append((rows[i]["rep"], rows[j]["rep"]))
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if (now := (r["group"], r["lo"], r["hi"])) != key:
-                    out += links(held) if held else []
-                    held, key = [], now
-                held.append(r)
-            yield pairs(out)
-        if held:
-            yield pairs(links(held))
-
-    def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return run
+    return _by_tile(("group", "lo", "hi"), links)
+
+
+def likely_pairs(nodes: DataFrame, percent: int, n: int) -> DataFrame:
+    """a, b: pairs of nodes that connect all nodes which share a bucket and whose sketches agree."""
+    parts = shuffle_partitions(nodes.sparkSession)
+    band = nodes.select(F.explode("bands").alias("key"), "rep")
+    # Tables of their own, so that the joins' sides are plain exchanges and a large bucket's rows can be split.
+    shared = staged(band.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key"), "shared")
+    held = staged(band.join(shared, "key"), "held")
+    name = [F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("z"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(1 << 31))).alias("s")]
+    buckets = staged(held.groupBy("key").agg(*name).groupBy("n", "a", "z", "x", "s").agg(F.min("key").alias("key")), "buckets")
+    side = nodes.select("rep", "sketch", "n_shingles")
+    two = buckets.where("n = 2").select("a", "z").distinct()
+    both = two.join(side.toDF("a", "sa", "na"), "a").join(side.toDF("z", "sz", "nz"), "z")
+    flips = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sz")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    pairs = both.where((flips <= most_flips(percent, n)) & _alike(F.col("na"), F.col("nz"), percent)).select("a", F.col("z").alias("b"))
+    blocks = buckets.where("n > 2").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    placed = held.join(blocks, "key").distinct().join(side, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "sketch", "n_shingles")
+    dealt = tiled.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return pairs.unionByName(dealt.mapInArrow(_sketch_tiles(percent, n), "a long, b long"))
+
+
+def confirmed(texts: DataFrame, percent: int, shingle: int, n: int, tiles: str) -> DataFrame:
+    """Links a, b of texts (group, rep, digest, bytes, sketch, component, text), blocks of each group with
+    themselves (tiles own), with each other (cross), or both (all)."""
+    parts = shuffle_partitions(texts.sparkSession)
+    blocks = texts.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = texts.join(staged(blocks, "blocks"), "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    others = F.array("block") if tiles == "own" else F.sequence(F.lit(0), F.col("blocks") - 1)
+    tiled = placed.withColumn("other", F.explode(others)).where(F.lit(tiles != "cross") | (F.col("block") != F.col("other")))
+    tiled = tiled.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "digest", "sketch", "component", "text")
+    dealt = tiled.repartition(parts, "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+    return staged(dealt.mapInArrow(_text_tiles(percent, shingle, n), "a long, b long"), "links")
+
+
+def links(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int, n: int) -> DataFrame:
+    """a, b: confirmed links that connect all linked nodes."""
+    groups = staged(connected(likely_pairs(nodes, percent, n)).select(F.col("node").alias("rep"), F.col("component").alias("group")), "groups")
+    member = staged(nodes.select("rep", "digest", "bytes", "sketch").join(groups, "rep"), "members")
+    text = likely_in(_keyed(docs).withColumnRenamed("doc_id", "rep"), member, ["rep", "digest"])
+    texts = staged(text.join(member, ["rep", "digest"]).withColumn("component", F.col("rep")), "texts")
+    found = confirmed(texts, percent, shingle, n, "own")
+    size = texts.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
+    large = staged(size.where((F.col("m") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("group"), "large")
+    for tiles in ("all", "cross"):
+        parts = connected(found).withColumnRenamed("node", "rep")
+        now = texts.drop("component").join(large, "group", "left_semi").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        now = now.select(texts.columns)
+        apart = now.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("group")
+        large = staged(apart, "large")
+        if not large.limit(1).count():
+            break
+        now = now.join(large, "group", "left_semi")
+        found = found.union(confirmed(now.where("rep = component") if tiles == "all" else now, percent, shingle, n, tiles))
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, digest, n_shingles, component_id, kept: one row for each row of docs."""
-    n = shuffle_partitions(docs.sparkSession)
     sig = staged(signatures(docs, shingle, rows, bands), "signatures")
     sets = sig.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     sets = staged(sets, "sets")
-    one = sig.join(sets, ["k1", "k2"]).where("doc_id = rep")
-    band = one.select(F.explode("bands").alias("key"), "rep")
-    shared = band.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
-    groups = connected(band.join(shared, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    member = staged(one.select("rep", "digest", "sketch", "bytes").join(groups.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep"), "members")
-    blocks = member.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = member.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = _keyed(docs).withColumnRenamed("doc_id", "rep").join(placed, ["rep", "digest"])
-    tiled = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "digest", "sketch", "text")
-    dealt = tiled.repartition(n, "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
-    links = dealt.mapInArrow(_tiles(percent, shingle, rows * bands), "a long, b long")
-    component = connected(links)
+    nodes = staged(sig.join(sets, ["k1", "k2"]).where("doc_id = rep").select("rep", "digest", "n_shingles", "bands", "sketch", "bytes"), "nodes")
+    component = connected(links(docs, nodes, percent, shingle, rows * bands))
     named = sets.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
-    out = sig.select("doc_id", "digest", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    # A table of its own: the rows of a set with very many copies can be split in the join.
+    out = sig.select("doc_id", "digest", "n_shingles", "k1", "k2").join(staged(named, "named"), ["k1", "k2"], "left")
     alone = F.col("n_shingles") == 0
     component_id = F.when(F.col("doc_id").isNull(), None).when(alone, F.col("doc_id")).otherwise(F.col("c"))
     return out.select("doc_id", "digest", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -232,9 +343,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without the near-duplicates of a smaller doc_id. Repeated rows of one doc_id are one document
     and stay together."""
-    gone = near_duplicates(docs, shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
+    name = f"gone_{uuid.uuid4().hex}"
+    gone = near_duplicates(docs, shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name), F.col("digest").alias(f"{name}_digest")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(text) == gone["_digest"]), "left_anti")
+    return docs.join(gone, (F.col("doc_id") == F.col(name)) & (F.xxhash64(text) == F.col(f"{name}_digest")), "left_anti")
 
 
 def op4_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, staged, table, text_slices, tune, words
+from .common import SPACED, fixed_lists, staged, table, text_slices, tune, words
 
 FEATURES = ("log_words", "word_length", "word_length_sd", "upper", "digits", "punctuation", "marks", "pipes", "end_marks", "lines", "distinct", "distinct_lines", "top_word", "repeats", "non_ascii", "spaces", "short_words")
 DIMENSIONS = 256
@@ -69,16 +69,12 @@ def with_statistics(df: DataFrame, keep: list[str]) -> DataFrame:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 x = statistics(texts)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _lists(x)], [*keep, "x"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), fixed_lists(x)], [*keep, "x"])
 
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, "text").mapInArrow(run, f"{schema}, x array<double>")
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-
-
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
@@ -156,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
             a += z.T @ z
             b += z.T @ y
         both = np.concatenate([a, b[:, None]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int32)), _lists(both)], ["row", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int32)), fixed_lists(both)], ["row", "v"])
 
     other = rows.where("fold <> 1")
     parts = other.select("x", "y").mapInArrow(sums, "row int, v array<double>").select("row", F.posexplode("v").alias("col", "v"))

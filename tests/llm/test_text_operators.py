@@ -281,6 +281,7 @@ def mutated(n, seed=4):
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
 def test_op4_against_all_pairs(spark, monkeypatch, size, percent):
     monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "TILE", 10)
     docs = list(enumerate(mutated(150)))
     got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(docs, size, percent)
