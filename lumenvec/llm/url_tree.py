@@ -4,12 +4,18 @@ Each host has a tree of path segments. A segment is variable, and becomes the wi
 number, hexadecimal, long or holds three digits in a row. Children that are rare among many siblings (fewer
 than MIN_SHARE of the node's pages, at a node with over MAX_CHILDREN distinct children) are pooled, those of
 each kind of labels (none, mostly blocked, mostly allowed) for themselves: a rare child joins if it has under
-FEW pages or if the two-sample test below finds no difference from its kind's other rare children. One kind's
-pool is the wildcard, another's takes the name of its largest child. Level by level, sibling branches are
-then merged: among the other children of a node that are of one kind, each is tested against the largest
-one, and takes its name if a two-sample test at the MERGE_Z level finds no difference in the shares of pages
-that end there, that go on with a wildcard, and that are blocked. A page's template is its host and the path
-so named. Pages whose verdict a rule gives are the labels; a template's share of blocked pages is smoothed
+FEW pages or if it is like its kind's other rare children. One kind's pool is the wildcard, another's takes
+the name of its largest child. Sibling branches are then merged: among the other children of a node that are
+of one kind, each is tested against the largest one, and takes its name if it is like it.
+
+Two branches are alike on evidence only: each has FEW pages at least, both have FEW labelled pages at least
+or none at all, and two-sample tests at the MERGE_Z level find no difference in the shares of pages that end
+there, that go on with a wildcard, and that are blocked. Smaller branches keep their names, and their purity
+is smoothed instead.
+
+Levels are named one after the other, down to the deepest place where paths of a host still share a branch;
+a path that is alone at its node keeps the rest of its names. A page's template is its host and the path so
+named. Pages whose verdict a rule gives are the labels; a template's share of blocked pages is smoothed
 towards its host's, and the host's towards the whole; above REJECT, the template is blocked.
 
 All counts are partial sums per node, so a host with any share of the pages is one row a task.
@@ -29,10 +35,9 @@ from .common import staged, table
 
 #: Fixed values of the task: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DEPTH = 4
 MAX_CHILDREN = 20
 MIN_SHARE = 0.02
-#: A rare child with fewer pages is too small for a two-sample test.
+#: Pages, or labelled pages, below which a two-sample test has no power.
 FEW = 10
 #: Squared normal deviate at the one per cent level.
 MERGE_Z = 6.63
@@ -40,7 +45,6 @@ MERGE_Z = 6.63
 PRIOR = 5.0
 REJECT = 0.5
 VARIABLE = r"^[0-9]+$|^[0-9a-f]{8,}$|[0-9]{3,}|^.{33,}$"
-REST = "**"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -64,38 +68,56 @@ def rule_of(rules: tuple[tuple[str, str, str], ...] = RULES) -> tuple[Column, Co
     return name, verdict
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The first depth segments; what follows is one more, REST. A trailing slash adds none."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit(REST)))).otherwise(parts)
+def segments(path: Column) -> Column:
+    """Non-empty segments; a trailing slash adds none."""
+    return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame) -> DataFrame:
     """urls (host, path, _rule_verdict and more) with template, the generalised path. Distinct shapes of
     paths are counted once; level by level, each node's children decide their names."""
-    general = F.transform(segments(F.col("path"), depth), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
+    general = F.transform(segments(F.col("path")), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
     keyed = urls.withColumn("_raw", F.concat_ws("/", general))
-    tree = staged(keyed.groupBy("host", "_raw").agg(F.count(F.lit(1)).alias("n"), *_label_counts()), "shapes")
-    tree = tree.withColumn("parts", F.filter(F.split("_raw", "/"), lambda s: s != "")).withColumn("prefix", F.lit(""))
-    for level in range(depth):
-        after = F.coalesce(F.get("parts", F.lit(level + 1)), F.lit(""))
-        tree = tree.withColumn("child", F.coalesce(F.get("parts", F.lit(level)), F.lit("")))
-        shares = [F.sum(F.when(after == end, F.col("n")).otherwise(0)).alias(name) for end, name in (("*", "wild"), ("", "leaf"))]
-        node = tree.groupBy("host", "prefix", "child").agg(F.sum("n").alias("pages"), *shares, F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-        node = node.withColumn("kind", F.when(F.col("labelled") == 0, 0).when(2 * F.col("blocked") > F.col("labelled"), 1).otherwise(2))
-        free = ~F.col("child").isin("", "*", REST)
-        total = node.groupBy("host", "prefix").agg(F.sum("pages").alias("all"), F.sum(free.cast("int")).alias("children"))
-        largest = node.where(free).groupBy("host", "prefix", "kind").agg(F.max(F.struct("pages", "child", "wild", "leaf", "labelled", "blocked")).alias("top"))
-        named = node.join(total, ["host", "prefix"]).join(largest, ["host", "prefix", "kind"], "left")
-        rare = (F.col("children") > MAX_CHILDREN) & (F.col("pages") < MIN_SHARE * F.col("all"))
-        named = _pooled(named.withColumn("near", F.coalesce(free & rare, F.lit(False)) | (F.col("child") == "*")))
-        alike = _no_difference("wild", "pages") & _no_difference("leaf", "pages") & _no_difference("blocked", "labelled")
-        name = F.when(~free, F.col("child")).when(F.col("pool").isNotNull(), F.col("pool")).when(alike, F.col("top.child")).otherwise(F.col("child"))
-        tree = tree.join(named.select("host", "prefix", "child", name.alias("as")), ["host", "prefix", "child"])
-        tree = tree.withColumn("prefix", F.when(F.col("as") == "", F.col("prefix")).otherwise(F.concat_ws("/", "prefix", "as")))
-        tree = staged(tree.select("host", "_raw", "n", "labelled", "blocked", "parts", "prefix"), "tree")
-    deep = F.when(F.size("parts") > depth, F.concat("prefix", F.lit("/" + REST))).otherwise(F.col("prefix"))
-    return keyed.join(tree.select("host", "_raw", deep.alias("template")), ["host", "_raw"]).drop("_raw")
+    shapes = staged(keyed.groupBy("host", "_raw").agg(F.count(F.lit(1)).alias("n"), *_label_counts()), "shapes")
+    tree = shapes.withColumn("parts", F.filter(F.split("_raw", "/"), lambda s: s != "")).withColumn("prefix", F.lit(""))
+    named, level = [], 0
+    while True:
+        node = tree.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("shapes"), F.max(F.size("parts")).alias("deepest"))
+        over = (F.col("shapes") == 1) | (F.col("deepest") <= level)
+        rest = F.concat_ws("/", F.when(F.col("prefix") != "", F.col("prefix")), F.slice("parts", level + 1, F.greatest(F.size("parts") - level, F.lit(0))))
+        # A table of its own: the shapes of a host with a large share of all can be split in the join.
+        tree = staged(tree.join(staged(node, "shares"), ["host", "prefix"]).withColumn("template", F.when(over, rest)).drop("shapes", "deepest"), "tree")
+        named.append(tree.where("template is not null").select("host", "_raw", "template"))
+        tree = tree.where("template is null").drop("template")
+        if not tree.limit(1).count():
+            break
+        tree, level = _one_level(tree, level), level + 1
+    every = named[0]
+    for one in named[1:]:
+        every = every.union(one)
+    # A table of its own: the pages of a very common shape can be split in the join.
+    every = staged(every, "templates").select("host", "_raw", F.concat(F.lit("/"), F.col("template")).alias("template"))
+    return keyed.join(every, ["host", "_raw"]).drop("_raw")
+
+
+def _one_level(tree: DataFrame, level: int) -> DataFrame:
+    """tree with the prefix of each shape one segment longer, by the name that its node gives to it."""
+    after = F.coalesce(F.get("parts", F.lit(level + 1)), F.lit(""))
+    tree = tree.withColumn("child", F.coalesce(F.get("parts", F.lit(level)), F.lit("")))
+    shares = [F.sum(F.when(after == end, F.col("n")).otherwise(0)).alias(name) for end, name in (("*", "wild"), ("", "leaf"))]
+    node = tree.groupBy("host", "prefix", "child").agg(F.sum("n").alias("pages"), *shares, F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    node = node.withColumn("kind", F.when(F.col("labelled") == 0, 0).when(2 * F.col("blocked") > F.col("labelled"), 1).otherwise(2))
+    node = staged(node, "nodes")
+    free = ~F.col("child").isin("", "*")
+    total = node.groupBy("host", "prefix").agg(F.sum("pages").alias("all"), F.sum(free.cast("int")).alias("children"))
+    largest = node.where(free).groupBy("host", "prefix", "kind").agg(F.max(F.struct("pages", "child", "wild", "leaf", "labelled", "blocked")).alias("top"))
+    named = node.join(total, ["host", "prefix"]).join(largest, ["host", "prefix", "kind"], "left")
+    rare = (F.col("children") > MAX_CHILDREN) & (F.col("pages") < MIN_SHARE * F.col("all"))
+    named = _pooled(named.withColumn("near", F.coalesce(free & rare, F.lit(False)) | (F.col("child") == "*")))
+    name = F.when(~free, F.col("child")).when(F.col("pool").isNotNull(), F.col("pool")).when(_alike("top"), F.col("top.child")).otherwise(F.col("child"))
+    tree = tree.join(staged(named.select("host", "prefix", "child", name.alias("as")), "names"), ["host", "prefix", "child"])
+    prefix = F.when(F.col("as") == "", F.col("prefix")).otherwise(F.concat_ws("/", F.when(F.col("prefix") != "", F.col("prefix")), F.col("as")))
+    return tree.select("host", "_raw", "n", "labelled", "blocked", "parts", prefix.alias("prefix"))
 
 
 def _label_counts() -> list[Column]:
@@ -110,27 +132,35 @@ def _pooled(nodes: DataFrame) -> DataFrame:
     whole = nodes.where("near").groupBy(*at).agg(F.struct(*(F.sum(c).alias(c) for c in sums)).alias("whole"))
     rest = F.struct(*((F.col(f"whole.{c}") - F.col(c)).alias(c) for c in sums))
     told = nodes.join(whole, at, "left").withColumn("rest", rest)
-    same = _no_difference("wild", "pages", "rest") & _no_difference("leaf", "pages", "rest") & _no_difference("blocked", "labelled", "rest")
-    told = told.withColumn("near", F.col("near") & ((F.col("child") == "*") | (F.col("pages") < FEW) | same)).drop("whole", "rest")
+    told = told.withColumn("near", F.col("near") & ((F.col("child") == "*") | (F.col("pages") < FEW) | _alike("rest"))).drop("whole", "rest")
     pools = told.where("near").groupBy(*at).agg(F.max(F.struct("pages", "child")).alias("head"), F.max((F.col("child") == "*").cast("int")).alias("star"), F.sum("pages").alias("size"))
     first = pools.groupBy("host", "prefix").agg(F.max(F.struct("star", "size", "kind"))["kind"].alias("first"))
     names = pools.join(first, ["host", "prefix"]).select(*at, F.when(F.col("kind") == F.col("first"), "*").otherwise(F.col("head.child")).alias("name"))
     return told.join(names, at, "left").withColumn("pool", F.when(F.col("near"), F.col("name"))).drop("near", "name")
 
 
-def _no_difference(part: str, whole: str, other: str = "top") -> Column:
-    """Two-sample test of a child's share against another's: true without evidence of a difference."""
+def _alike(other: str) -> Column:
+    """Whether there is evidence enough, and none of it tells a child from the other."""
+    def both(whole: str, least: int) -> Column:
+        return (F.col(whole) >= least) & (F.col(f"{other}.{whole}") >= least)
+
+    labels = (F.col("labelled") + F.col(f"{other}.labelled") == 0) | (both("labelled", FEW) & _no_difference("blocked", "labelled", other))
+    return F.coalesce(both("pages", FEW) & _no_difference("wild", "pages", other) & _no_difference("leaf", "pages", other) & labels, F.lit(False))
+
+
+def _no_difference(part: str, whole: str, other: str) -> Column:
+    """Two-sample test of a child's share against another's."""
     n, m = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in (whole, f"{other}.{whole}"))
     p, q = F.col(part) / n, F.col(f"{other}.{part}") / m
     both = (F.col(part) + F.col(f"{other}.{part}")) / (n + m)
     spread = both * (1 - both) * (1 / n + 1 / m)
-    return F.coalesce((p - q) * (p - q) <= MERGE_Z * spread, F.lit(True))
+    return (p - q) * (p - q) <= MERGE_Z * spread
 
 
-def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, depth: int = DEPTH) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity (smoothed share of blocked pages), labelled."""
     name, verdict = rule_of(rules)
-    urls = templates(parsed(pages).withColumns({"rule": name, "_rule_verdict": verdict}), depth)
+    urls = templates(parsed(pages).withColumns({"rule": name, "_rule_verdict": verdict}))
     by_template = staged(urls.groupBy("host", "template").agg(*_label_counts()), "purity")
     by_host = by_template.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
     labelled, blocked = by_host.agg(F.sum("host_labelled"), F.sum("host_blocked")).first()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import random
 import re
 
 import duckdb
@@ -96,6 +97,113 @@ def test_op10_similar_branches_merge(spark):
     assert got["fr"] == got["es"] == got["en"] == "/en/*" and got["about"].startswith("/about/")
 
 
+def test_op10_deep_paths(spark):
+    """Labels below any depth count; a path of its own may be very deep."""
+    rules = (("block", "d.net", "/a/b/c/d/spam/"), ("allow", "d.net", "/a/b/c/d/news/"))
+    urls = [f"http://d.net/a/b/c/d/{k}/x{i}" for k in ("spam", "news") for i in range(40)] + ["http://d.net/" + "e/" * 500, "http://d.net/" + "f/" * 8 + "1", "http://d.net/" + "f/" * 8 + "2"]
+    got = url_tree.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    for k in ("spam", "news"):
+        assert {r.verdict for r in got if f"/{k}/" in r.path} == {"block" if k == "spam" else "allow"}
+    assert not {r.template for r in got if "/spam/" in r.path} & {r.template for r in got if "/news/" in r.path}
+    assert "/e" * 500 in {r.template for r in got} and "/f" * 8 + "/*" in {r.template for r in got}
+
+
+def test_op10_no_merge_without_evidence(spark):
+    """Three pages of a branch say nothing of their likeness to another's three."""
+    rules = (("block", "s.net", "/spam/"), ("allow", "s.net", "/news/"))
+    urls = [f"http://s.net/{k}/{i}" for k in ("spam", "news", "talk") for i in range(3)]
+    got = url_tree.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert {r.template for r in got} == {"/spam/*", "/news/*", "/talk/*"}
+
+
+def tree_by_hand(rows, rules):
+    """The same definition on dictionaries: {page_id: (template, labelled, purity)}."""
+
+    def verdict(host, path):
+        fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2] if fit else None
+
+    def differ(a, b, part, whole):
+        n, m = a[whole], b[whole]
+        p, q, both = a[part] / n, b[part] / m, (a[part] + b[part]) / (n + m)
+        return (p - q) ** 2 > url_tree.MERGE_Z * both * (1 - both) * (1 / n + 1 / m)
+
+    def like(a, b):
+        if min(a["pages"], b["pages"]) < url_tree.FEW or differ(a, b, "wild", "pages") or differ(a, b, "leaf", "pages"):
+            return False
+        if a["labelled"] + b["labelled"] == 0:
+            return True
+        return min(a["labelled"], b["labelled"]) >= url_tree.FEW and not differ(a, b, "blocked", "labelled")
+
+    sums = ("pages", "wild", "leaf", "labelled", "blocked")
+    shapes = {}
+    for _, host, path in rows:
+        parts = tuple("*" if re.search(url_tree.VARIABLE, s) else s for s in path.split("/") if s)
+        v = verdict(host, path)
+        c = shapes.setdefault((host, parts), [0, 0, 0])
+        c[0], c[1], c[2] = c[0] + 1, c[1] + (v is not None), c[2] + (v == "block")
+    prefix = {k: () for k in shapes}
+    for level in range(max((len(p) for _, p in shapes), default=0)):
+        nodes = {}
+        for (host, parts), (n, labelled, blocked) in shapes.items():
+            child = parts[level] if level < len(parts) else ""
+            after = parts[level + 1] if level + 1 < len(parts) else ""
+            node = nodes.setdefault((host, prefix[host, parts]), {}).setdefault(child, dict.fromkeys(sums, 0))
+            for k, x in zip(sums, (n, n * (after == "*"), n * (after == ""), labelled, blocked), strict=True):
+                node[k] += x
+        names = {}
+        for at, children in nodes.items():
+            free = [c for c in children if c not in ("", "*")]
+            kind = {c: 0 if not x["labelled"] else 1 if 2 * x["blocked"] > x["labelled"] else 2 for c, x in children.items()}
+            every = sum(x["pages"] for x in children.values())
+            near = {c for c in free if len(free) > url_tree.MAX_CHILDREN and children[c]["pages"] < url_tree.MIN_SHARE * every} | ({"*"} & set(children))
+            whole = {k: {f: sum(children[c][f] for c in near if kind[c] == k) for f in sums} for k in range(3)}
+            pool = {c for c in near if c == "*" or children[c]["pages"] < url_tree.FEW or like(children[c], {f: whole[kind[c]][f] - children[c][f] for f in sums})}
+            pools = {k: [c for c in pool if kind[c] == k] for k in range(3) if any(kind[c] == k for c in pool)}
+            first = max(pools, key=lambda k: ("*" in pools[k], sum(children[c]["pages"] for c in pools[k]), k), default=None)
+            for c in children:
+                top = max((o for o in free if kind[o] == kind[c]), key=lambda o: (children[o]["pages"], o), default=None)
+                if c in ("", "*"):
+                    names[at, c] = c
+                elif c in pool:
+                    names[at, c] = "*" if kind[c] == first else max(pools[kind[c]], key=lambda o: (children[o]["pages"], o))
+                else:
+                    names[at, c] = top if like(children[c], children[top]) else c
+        for host, parts in shapes:
+            child = parts[level] if level < len(parts) else ""
+            name = names[(host, prefix[host, parts]), child]
+            prefix[host, parts] += (name,) if name else ()
+    by_template, by_host = {}, {}
+    for (host, parts), (_, labelled, blocked) in shapes.items():
+        for d, k in ((by_template, (host, prefix[host, parts])), (by_host, host)):
+            x = d.setdefault(k, [0, 0])
+            x[0], x[1] = x[0] + labelled, x[1] + blocked
+    labelled, blocked = (sum(x[i] for x in by_host.values()) for i in (0, 1))
+    share = lambda x, prior: (x[1] + url_tree.PRIOR * prior) / (x[0] + url_tree.PRIOR)
+    out = {}
+    for i, host, path in rows:
+        parts = tuple("*" if re.search(url_tree.VARIABLE, s) else s for s in path.split("/") if s)
+        x = by_template[host, prefix[host, parts]]
+        out[i] = ("/" + "/".join(prefix[host, parts]), x[0], round(share(x, share(by_host[host], blocked / labelled if labelled else 0.0)), 6))
+    return out
+
+
+@pytest.mark.parametrize("given", [True, False])
+def test_op10_against_a_tree_by_hand(spark, sf, given):
+    rules = url_tree.RULES
+    if given:
+        pages = spark.read.parquet(sf.replace("0.001", "0.01") + "/pages.parquet").select("page_id", "url")
+    else:  # many siblings of all kinds, small and large, under rules that reach deep
+        r = random.Random(6)
+        rules = (("block", "h.net", "/a/bad"), ("allow", "h.net", "/a/b"), ("block", "h.net", "/z"), ("allow", "g.net", "/"))
+        words = [c + d for c in "abcdz" for d in "adkxz"]
+        urls = [f"http://{r.choice(['h.net', 'h.net', 'g.net', 'k.net'])}/" + "/".join(r.choice([r.choice(words), r.choice(words[:4]), "a", str(r.randint(1, 20)), "bad"]) for _ in range(r.randint(0, 5))) for _ in range(3000)]
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_tree.judged(pages, rules).collect()
+    want = tree_by_hand([(r.page_id, r.host, r.path) for r in got], rules)
+    assert {r.page_id: (r.template, r.labelled, round(r.purity, 6)) for r in got} == want
+
+
 def test_op10_rare_siblings_become_one(spark):
     urls = [f"http://h.net/{chr(97 + i // 26)}{chr(97 + i % 26)}/x" for i in range(200)] + ["http://h.net/keep/x"] * 100
     got = url_tree.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
