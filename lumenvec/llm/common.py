@@ -40,12 +40,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: later steps survive the loss of executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    (writer.option("compression", compression) if compression else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,18 +1,23 @@
 """FLAC media columns: 8-bit mono streams encoded and decoded a batch of documents at a time.
 
-All frames of a batch go in step: frame by frame in NumPy's lanes, sample after sample in time, so the
-bit-serial Rice codes and linear predictors cost a few array operations a sample step.
+A batch's frames, at most LANES samples at once and whoever's they are, go in step: frame by frame in NumPy's
+lanes, sample after sample in time, so the bit-serial Rice codes and linear predictors cost a few array
+operations a sample step, and one very long text takes no more memory than many short ones besides its bytes.
 
 Encoding: blocks of BLOCK samples; a subframe is constant, verbatim, a fixed predictor of order 0 to 4 or
 a linear predictor of order LPC_ORDER, whichever has the least residual; residuals are Rice codes with
-the best parameter. Every frame has a seek point. Integer arithmetic decides, so equal payloads give
-equal streams, whatever stands beside them in a batch.
+the best parameter. Every frame has a seek point. A frame's coefficients depend on its own samples alone (exact
+integer autocorrelations, then one fixed order of floating-point steps), so equal payloads give equal streams,
+whatever stands beside them in a batch.
 
 Decoding: constant, verbatim, fixed and linear predictors of any order, both Rice methods, partitions,
 escaped partitions, wasted bits, fixed and variable block sizes; CRC-8 of headers, CRC-16 of frames and
 the stream's MD5 are verified (ValueError). Without a seek point for each frame, the frames of a stream
 are decoded one after the other, streams side by side. Streams of one channel with 8 bits a sample.
 
+A decoded stream is its samples and its blocks' places among them, so a block is a slice, and a range of samples
+is found by its blocks' offsets (write_blocks, read_samples) or, in a stream, by its seek points (samples_at).
+
 Defined cases: null and empty texts are a payload of 64 bytes 0; repeated rows give equal streams; an
 empty table gives no rows; other columns are ignored.
 """
@@ -27,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, buffers, ragged, table, text_slices, tune
+from .common import binaries, buffers, ragged, staged, table, text_slices, tune
 from .crc import CRC8, CRC16
 
-BLOCK = 1024
+BLOCK = 2048
 LPC_ORDER, PRECISION = 4, 7
 RATE = 8000
 UNIT = 64
-#: Bytes of payload that go in step.
+#: Samples that go in step.
 LANES = 3 << 20
 
 
@@ -138,7 +143,7 @@ def encode_frames(data: np.ndarray, start: np.ndarray, size: np.ndarray, number:
     num, num_len = _number(number)
     short = size != BLOCK
     head = np.zeros((n, 13), np.uint8)
-    head[:, 0], head[:, 1], head[:, 2], head[:, 3] = 0xFF, 0xF8, np.where(short, 0x70, 0xA0), 0x02
+    head[:, 0], head[:, 1], head[:, 2], head[:, 3] = 0xFF, 0xF8, np.where(short, 0x70, 0x80 | (BLOCK.bit_length() - 9) << 4), 0x02
     for j in range(6):
         m = num_len > j
         head[m, 4 + j] = num[m, j]
@@ -202,8 +207,12 @@ def encode_streams(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     number = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     start = np.repeat(offsets[:-1], blocks) + number * BLOCK
     size = np.minimum(BLOCK, np.repeat(offsets[1:], blocks) - start)
-    frames, at = encode_frames(data, start, size, number)
-    raw, out = frames.tobytes(), []
+    parts, places, step = [], [np.zeros(1, np.int64)], LANES // BLOCK
+    for k in range(0, len(start), step):
+        frames, at = encode_frames(data, start[k : k + step], size[k : k + step], number[k : k + step])
+        parts.append(frames.tobytes())
+        places.append(at[1:] + places[-1][-1])
+    raw, at, out = b"".join(parts), np.concatenate(places), []
     first = np.concatenate([[0], np.cumsum(blocks)]).tolist()
     for i, (x, y) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
         a, b = first[i], first[i + 1]
@@ -431,22 +440,28 @@ def _restore(x: np.ndarray, size: np.ndarray, order: np.ndarray, fixed: np.ndarr
         x[linear] = y.T
 
 
-def _open(stream: bytes) -> tuple[int, int, bytes, np.ndarray]:
-    """First frame's byte, samples, MD5, seek points (sample, byte, size)."""
+def _open(stream: bytes) -> tuple[int, int, bytes, np.ndarray, int]:
+    """First frame's byte, samples, MD5, seek points (sample, byte, size), largest frame (0: not said)."""
     if stream[:4] != b"fLaC":
         raise ValueError("no FLAC stream")
-    at, last, total, md5, points = 4, False, 0, b"", np.zeros((0, 3), np.int64)
+    at, last, total, md5, points, most = 4, False, 0, b"", np.zeros((0, 3), np.int64), 0
     while not last:
         last, kind, size = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
         block = stream[at + 4 : at + 4 + size]
         if kind == 0:
-            total, md5 = int.from_bytes(block[10:18], "big") & ((1 << 36) - 1), block[18:34]
+            most, total, md5 = int.from_bytes(block[7:10], "big"), int.from_bytes(block[10:18], "big") & ((1 << 36) - 1), block[18:34]
         elif kind == 3:
             raw = np.frombuffer(block, np.uint8).reshape(-1, 18)
             points = np.stack([np.ascontiguousarray(raw[:, :8]).view(">u8").ravel(), np.ascontiguousarray(raw[:, 8:16]).view(">u8").ravel(), np.ascontiguousarray(raw[:, 16:]).view(">u2").ravel()], axis=1).astype(np.int64)
             points = points[points[:, 0] >= 0]  # placeholders are all ones
         at += 4 + size
-    return at, total, md5, points
+    return at, total, md5, points, most
+
+
+def _pcm(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unsigned samples (frames, widest) of frames that lie within data[start:start + length], sizes, bytes taken."""
+    x, size, _, end = decode_frames(data[ragged(start, length)], at := np.cumsum(length) - length)
+    return (x.astype(np.int16) + 128).astype(np.uint8), size, end - at
 
 
 def decode_streams(streams: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
@@ -455,25 +470,33 @@ def decode_streams(streams: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]
     base = np.cumsum([0, *map(len, streams)])
     heads = [_open(s) for s in streams]
     parts: list[dict[int, bytes]] = [{} for _ in streams]
-    known, serial = [], []
-    for i, (first, total, _, points) in enumerate(heads):
+    known, serial = [], []  # stream, byte, bytes, sample
+    for i, (first, total, _, points, most) in enumerate(heads):
+        at, to = int(base[i]) + first, int(base[i + 1])
         if len(points) and points[0, 0] == 0 and (np.cumsum(points[:, 2])[:-1] == points[1:, 0]).all() and points[:, 2].sum() == total:
-            known += [(i, int(base[i]) + first + int(o), int(s)) for s, o in points[:, :2].tolist()]
+            starts = at + points[:, 1]
+            known += zip([i] * len(points), starts.tolist(), np.diff(np.append(starts, to)).tolist(), points[:, 0].tolist(), strict=True)
         elif total:
-            serial.append((i, int(base[i]) + first, 0))
-    while known or serial:
-        todo = known + serial
-        x, size, _, end = decode_frames(data, np.array([t[1] for t in todo], np.int64))
-        pcm = (x.astype(np.int16) + 128).astype(np.uint8)
-        again = []
-        for row, (i, _, sample) in enumerate(todo):
+            serial.append((i, at, min(most or to - at, to - at), 0))
+    step = max(1, LANES // BLOCK)
+    for k in range(0, len(known), step):
+        todo = known[k : k + step]
+        pcm, size, _ = _pcm(data, *(np.array([t[c] for t in todo], np.int64) for c in (1, 2)))
+        for row, (i, _, _, sample) in enumerate(todo):
             parts[i][sample] = pcm[row, : size[row]].tobytes()
-            after = sample + int(size[row])
-            if row >= len(known) and after < heads[i][1]:
-                again.append((i, int(end[row]), after))
-        known, serial = [], again
+    while serial:
+        again = []
+        for k in range(0, len(serial), step):
+            todo = serial[k : k + step]
+            pcm, size, taken = _pcm(data, *(np.array([t[c] for t in todo], np.int64) for c in (1, 2)))
+            for row, (i, at, _, sample) in enumerate(todo):
+                parts[i][sample] = pcm[row, : size[row]].tobytes()
+                after, now = sample + int(size[row]), at + int(taken[row])
+                if after < heads[i][1]:
+                    again.append((i, now, min(heads[i][4] or 1 << 62, int(base[i + 1]) - now), after))
+        serial = again
     out, firsts = [], []
-    for (_, total, md5, _), part in zip(heads, parts, strict=True):
+    for (_, total, md5, *_), part in zip(heads, parts, strict=True):
         at = sorted(part)
         pcm = b"".join(part[k] for k in at)
         if len(pcm) != total:
@@ -485,6 +508,16 @@ def decode_streams(streams: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]
     return out, firsts
 
 
+def samples_at(stream: bytes, first: int, n: int) -> bytes:
+    """n samples from the first one on, of a stream with a seek point for each frame: only their frames are decoded."""
+    begin, total, _, points, _ = _open(stream)
+    k, to = int(np.searchsorted(points[:, 0], first, side="right")) - 1, int(np.searchsorted(points[:, 0], min(first + n, total)))
+    starts = np.append(begin + points[:, 1], len(stream))
+    pcm, size, _ = _pcm(np.frombuffer(stream, np.uint8), starts[k:to], np.diff(starts)[k:to])
+    whole = b"".join(pcm[i, : size[i]].tobytes() for i in range(to - k))
+    return whole[first - int(points[k, 0]) :][:n]
+
+
 # ---- columns
 
 
@@ -506,55 +539,64 @@ def encode_column(docs: DataFrame) -> DataFrame:
 
 
 def _groups(streams: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of streams of about LANES bytes."""
+    """Runs of streams of about LANES samples, as their headers say."""
     at = 0
+    size = [int.from_bytes(s[18:26], "big") & ((1 << 36) - 1) for s in streams]
     while at < len(streams):
-        to, size = at + 1, len(streams[at])
-        while to < len(streams) and size + len(streams[to]) <= LANES:
-            size += len(streams[to])
+        to, total = at + 1, size[at]
+        while to < len(streams) and total + size[to] <= LANES:
+            total += size[to]
             to += 1
         yield at, to
         at = to
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, block, first_sample, n_samples, pcm (unsigned 8-bit): a row for each frame."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, streams = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _groups(streams):
-                rows = []
-                for key, pcm, first in zip(ids[a:b], *decode_streams(streams[a:b]), strict=True):
-                    ends = [*first.tolist()[1:], len(pcm)]
-                    rows += [(key, k, x, y - x, pcm[x:y]) for k, (x, y) in enumerate(zip(first.tolist(), ends, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "block", "first_sample", "n_samples", "pcm"])
-
-    return media.select("doc_id", "flac").mapInArrow(run, "doc_id long, block int, first_sample long, n_samples int, pcm binary")
-
-
 def decode_column(media: DataFrame) -> DataFrame:
-    """media with payload (the samples read back), blocks, and feature: mean, mean square, crossings of
-    the middle and mean step, as whole numbers."""
+    """media with payload (the samples read back), blocks (first_sample, n_samples: where each lies in payload), and
+    feature: mean, mean square, crossings of the middle and mean step, as whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             streams = batch.column(2).to_pylist()
             for a, b in _groups(streams):
                 pcm, first = decode_streams(streams[a:b])
-                told = []
+                told, sizes = [], [np.diff(np.append(f, len(p))) for f, p in zip(first, pcm, strict=True)]
                 for p, f in zip(pcm, first, strict=True):
-                    x = np.frombuffer(p, np.uint8).astype(np.int32) - 128
-                    n, step = max(1, len(x)), np.diff(x)
-                    told.append(f"frames={len(f)};mean={int(x.sum()) * 1000 // n};power={int((x * x).sum()) * 1000 // n};crossings={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))};step={int(np.abs(step).sum()) * 1000 // n}")
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(pcm, pa.binary()), pa.array([len(f) for f in first], pa.int32()), pa.array(told)], ["doc_id", "n_bytes", "flac", "payload", "blocks", "feature"])
+                    x = np.frombuffer(p, np.uint8).astype(np.int16) - 128
+                    n, step, power = max(1, len(x)), np.abs(np.diff(x)), int(np.square(x, dtype=np.int32).sum(dtype=np.int64))
+                    told.append(f"frames={len(f)};mean={int(x.sum(dtype=np.int64)) * 1000 // n};power={power * 1000 // n};crossings={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))};step={int(step.sum(dtype=np.int64)) * 1000 // n}")
+                places = pa.StructArray.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(sizes).astype(np.int32))], ["first_sample", "n_samples"])
+                blocks = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32)), places)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(pcm, pa.binary()), blocks, pa.array(told)], ["doc_id", "n_bytes", "flac", "payload", "blocks", "feature"])
+
+    return media.select("doc_id", "n_bytes", "flac").mapInArrow(run, "doc_id long, n_bytes long, flac binary, payload binary, blocks array<struct<first_sample:long,n_samples:int>>, feature string")
+
+
+def pcm_blocks(decoded: DataFrame) -> DataFrame:
+    """doc_id, block, first_sample, n_samples, pcm (unsigned 8-bit): a row for each block of decode_column's rows."""
+    rows = decoded.select("doc_id", "payload", F.posexplode("blocks").alias("block", "b"))
+    return rows.select("doc_id", "block", "b.first_sample", "b.n_samples", F.expr("substring(payload, cast(b.first_sample + 1 as int), b.n_samples)").alias("pcm"))
+
+
+def write_blocks(decoded: DataFrame, path: str) -> DataFrame:
+    """Write pcm_blocks, ordered by document and sample, and return the table that was written."""
+    pcm_blocks(decoded).sortWithinPartitions("doc_id", "first_sample").write.parquet(path)
+    return decoded.sparkSession.read.parquet(path)
+
 
-    return media.select("doc_id", "n_bytes", "flac").mapInArrow(run, "doc_id long, n_bytes long, flac binary, payload binary, blocks int, feature string")
+def read_samples(blocks: DataFrame, first: int, n: int) -> DataFrame:
+    """doc_id, first_sample, pcm: the blocks' parts of samples first to first + n - 1, found by their offsets."""
+    low, high = F.greatest(F.col("first_sample"), F.lit(first)), F.least(F.col("first_sample") + F.col("n_samples"), F.lit(first + n))
+    held = blocks.where((F.col("first_sample") < first + n) & (F.col("first_sample") + F.col("n_samples") > first))
+    return held.select("doc_id", low.alias("first_sample"), F.substring("pcm", (low - F.col("first_sample") + 1).cast("int"), (high - low).cast("int")).alias("pcm"))
 
 
 def op1_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams are a written table that is read back; last_block_crc32 is of the last PCM block, by its offset."""
     tune(spark)
-    read = decode_column(encode_column(table(spark, sf_dir, "documents")))
+    media = staged(encode_column(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    read = decode_column(media)
+    last = F.element_at("blocks", -1)
     return read.select(
         "doc_id",
         "n_bytes",
@@ -564,5 +606,7 @@ def op1_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("flac").cast("long").alias("media_bytes"),
         F.sha2("flac", 256).alias("media_sha256"),
         "feature",
-        "blocks",
+        F.size("blocks").alias("blocks"),
+        last["first_sample"].alias("last_sample"),
+        F.crc32(F.substring("payload", (last["first_sample"] + 1).cast("int"), last["n_samples"])).alias("last_block_crc32"),
     )

@@ -5,9 +5,13 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,7 @@ from lumenvec.llm.common import shared_dir, table
 from lumenvec.llm.crc import CRC8, CRC16, CRC32C
 from lumenvec.llm.tokens import encoder, vocabulary_path
 
+ROOT = Path(__file__).resolve().parent.parent.parent
 VOCABULARY = vocabulary_path("word_bpe_49k.json")
 ODD = ["", None, " \n\t ", "a", "Ünïcode ÉCOLE naïve 中文字 😀 e\u0301", "x" * 40_000, "word " * 9_000, "a<|endoftext|>b", "same text here", "same text here", "\x00\x01 control \x85\xa0", "MIT license 'll we've"]
 
@@ -237,11 +242,41 @@ def test_op1_rows(odd, none):
     for r, t in zip(sorted(got, key=lambda r: (str(r.doc_id), r.n_bytes)), sorted(texts_of(odd), key=lambda x: (str(x[0]), len(x[1].encode()))), strict=True):
         raw = t[1].encode()
         assert bytes(r.payload) == raw + b"\0" * (max(1, -(-len(raw) // 64)) * 64 - len(raw)) and r.n_bytes == len(raw)
-    blocks = flac.pcm_blocks(media.where("doc_id = 6")).orderBy("first_sample").collect()
-    assert b"".join(bytes(b.pcm) for b in blocks)[:45_000].decode() == ODD[6] and blocks[1].first_sample == flac.BLOCK
+    last = [r for r in got if r.doc_id == 6][0]
+    assert [b.first_sample for b in last.blocks] == list(range(0, len(last.payload), flac.BLOCK)) and sum(b.n_samples for b in last.blocks) == len(last.payload)
     assert flac.decode_column(flac.encode_column(none)).count() == 0
 
 
+def test_op1_blocks_are_seekable(spark, odd, tmp_path):
+    media = flac.encode_column(odd.where("doc_id in (4, 6)"))
+    blocks = flac.write_blocks(flac.decode_column(media), f"{tmp_path}/blocks")
+    raw = {i: t.encode() for i, t in texts_of(odd) if i in (4, 6)}
+    assert blocks.where("doc_id = 6").count() == -(-45_056 // flac.BLOCK)
+    for first, n in ((0, 5), (2000, 100), (40_000, 9000), (flac.BLOCK, flac.BLOCK)):
+        got = flac.read_samples(blocks, first, n).where("doc_id = 6").orderBy("first_sample").collect()
+        assert b"".join(bytes(r.pcm) for r in got) == (raw[6] + b"\0" * 56)[first : first + n]
+        stream = bytes(media.where("doc_id = 6").first().flac)
+        assert flac.samples_at(stream, first, n) == (raw[6] + b"\0" * 56)[first : first + n]
+
+
+def test_op1_long_texts_take_bounded_memory():
+    """One text of 12 MB, both ways, in a process of its own."""
+    code = """
+import resource, numpy as np
+from lumenvec.llm import flac
+def peak(): return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+words = np.random.RandomState(0).randint(97, 110, 3 << 20).astype(np.uint8)
+x, small = np.tile(words, 4), words[: 1 << 16]
+flac.decode_streams(flac.encode_streams(small, np.array([0, len(small)])))
+before = peak()
+s = flac.encode_streams(x, np.array([0, len(x)]))
+assert flac.decode_streams(s)[0] == [x.tobytes()]
+print(peak() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)})
+    assert int(out.stdout) < 700, out.stderr
+
+
 # ---- near-duplicates
 
 
