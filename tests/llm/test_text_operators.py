@@ -113,6 +113,20 @@ def test_op8_records(spark, odd, none):
     assert records.read_records(records.write_records(none, shared_dir(spark, "rec"), VOCABULARY)).count() == 0
 
 
+def test_op8_shuffled_reads_and_files(spark, odd):
+    """Files are cut by bytes, also among rows of one doc_id; any order reads the same records."""
+    many = odd.unionByName(spark.createDataFrame([(5, "one of many rows " * (k % 4 + 1), "x", 1, "c") for k in range(40)], odd.schema))
+    files = records.write_records(many, shared_dir(spark, "rec"), VOCABULARY, file_bytes=400)
+    told = files.collect()
+    assert max(f.piece for f in told) > 3 and len(told) == files.count()
+    row = lambda r: (r.start, r.shard, r.piece, r.record, str(r.doc_id), r.n_tokens, bytes(r.ids))
+    whole = sorted(row(r) for r in records.read_records(files).collect())
+    assert [w[0] for w in whole] == np.cumsum([0, *(w[5] for w in whole)])[:-1].tolist() and len(whole) == many.count()
+    orders = [[row(r) for r in records.read_shuffled(files, seed).collect()] for seed in (1, 2)]
+    assert sorted(orders[0]) == sorted(orders[1]) == whole and orders[0] != orders[1] and orders[0] != whole
+    assert records.read_shuffled(records.write_records(odd.limit(0), shared_dir(spark, "rec"), VOCABULARY)).count() == 0
+
+
 def test_op8_finds_damage(spark, odd):
     from urllib.parse import urlparse
 
@@ -121,8 +135,9 @@ def test_op8_finds_damage(spark, odd):
     raw = bytearray(open(path, "rb").read())
     raw[len(raw) // 2] ^= 1
     open(path, "wb").write(raw)
-    with pytest.raises(Exception, match="damaged"):
-        records.read_records(shards).count()
+    for read in (records.read_records, records.read_shuffled):
+        with pytest.raises(Exception, match="damaged"):
+            read(shards).count()
 
 
 def test_checksums():
