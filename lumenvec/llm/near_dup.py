@@ -7,15 +7,15 @@ two sketches' XOR gives the similarity with a small error.
 
 Nodes that share all samples of a band are a bucket; buckets of the same nodes are one. Sketches are
 compared inside buckets, before any text moves: a bucket of two is an expression, larger ones are cut into
-blocks of TILE nodes (80 bytes each), each two blocks are one tile, and a tile returns a spanning forest of
+blocks of TILE nodes (80 bytes each), each two blocks are one tile, and a tile returns the components of
 the pairs whose sketches agree to within MARGIN below the threshold, never all pairs. The connected
 components of these are the groups that may hold links, and only their texts are read.
 
 Within a group, cut into blocks of bounded rows and bytes, links are confirmed on the full shingle sets:
 first inside each block, which is all for most groups; then among one document of each component found so
 far; and only in groups that are still apart, between each two blocks. Pairs already connected are not
-confirmed again, so a tile returns fewer links than it has documents, and a group of near copies, however
-large, is read about once.
+confirmed again, and a tile returns what its components merge into, so fewer rows than it has documents; a
+group of near copies, however large, is read about once.
 
 A link of similarity s is missed if no band agrees, (1 - s**rows) ** bands: 1e-9 at 0.85, 4e-7 at
 0.8, or if the sketch errs by more than MARGIN, over five standard deviations.
@@ -140,23 +140,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node with an edge a - b, by alternating
-    large and small stars; each round is a written table, and a hub's edges are never one group: they meet
-    partial minima, and their join has one row on the other side, which Spark's skew join may repeat."""
+    large and small stars until all are stars; each round is a written table, and a hub's edges are never one group:
+    they meet partial minima, and their join has one row on the other side, which Spark's skew join may repeat."""
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
-    def name(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def stars(e: DataFrame) -> bool:
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").limit(1).count()
 
-    before, known = None, name(now)
-    while known != before and known[0]:
+    while not stars(now):
         both = now.union(now.select("v", "u")).toDF("n", "m")
         # A table of its own, so that both sides of the join are shuffled for it and a hub's rows can be split.
         least = staged(both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo")), "least")
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("u"), F.col("lo").alias("v")).distinct()
+        large = both.join(least, "n").where("m > n").select(F.col("m").alias("u"), F.col("lo").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("lo"))
         small = large.join(least, "u").where("v <> lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
         now = staged(small.union(least.select("u", F.col("lo").alias("v"))).distinct(), "edges")
-        before, known = known, name(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
@@ -171,27 +170,26 @@ def _alike(size: Column, other: Column, percent: int) -> Column:
     return 100 * F.least(size, other) >= percent * F.greatest(size, other)
 
 
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric matrix of flags."""
-    out, rest = [], np.ones(len(near), bool)
+def parts_of(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of flags, the first row that it is connected with."""
+    out, rest = np.arange(len(near)), np.ones(len(near), bool)
     for first in range(len(near)):
         if not rest[first]:
             continue
         rest[first], queue = False, [first]
         while queue:
-            i = queue.pop()
-            new = np.flatnonzero(near[i] & rest)
-            rest[new] = False
-            out += [(i, j) for j in new.tolist()]
+            new = np.flatnonzero(near[queue.pop()] & rest)
+            rest[new], out[new] = False, first
             queue += new.tolist()
     return out
 
 
 def _sketch_tiles(percent: int, n: int):
-    """A spanning forest of each tile's likely pairs; rows come sorted by tile."""
+    """Each tile's likely pairs as stars, each node with the smallest it is connected with; rows come sorted by tile."""
     most = most_flips(percent, n)
 
     def likely(rows: list[dict]) -> list[tuple[int, int]]:
+        rows.sort(key=lambda r: r["rep"])
         x = np.array([r["sketch"] for r in rows], np.int64).view(_U)
         size, low = np.array([r["n_shingles"] for r in rows]), np.array([r["block"] == r["lo"] for r in rows])
         near = np.zeros((len(rows), len(rows)), bool)
@@ -199,7 +197,7 @@ def _sketch_tiles(percent: int, n: int):
             near[i] = (np.bitwise_count(x[i] ^ x).sum(axis=1) <= most) & (100 * np.minimum(size[i], size) >= percent * np.maximum(size[i], size))
         if rows[0]["lo"] != rows[0]["hi"]:
             near &= low[:, None] != low[None, :]
-        return [(rows[i]["rep"], rows[j]["rep"]) for i, j in forest(near) if rows[i]["rep"] != rows[j]["rep"]]
+        return [(rows[i]["rep"], r["rep"]) for i, r in zip(parts_of(near).tolist(), rows, strict=True) if rows[i]["rep"] != r["rep"]]
 
     return _by_tile(("key", "lo", "hi"), likely)
 
@@ -227,7 +225,7 @@ def _by_tile(key: tuple[str, ...], pairs):
 
 
 def _text_tiles(percent: int, shingle: int, n: int):
-    """Confirmed links of each tile between documents of different components; rows come sorted by tile."""
+    """Of each tile, the components that confirmed links merge, each with the smallest; rows come sorted by tile."""
     most = most_flips(percent, n)
 
     def links(rows: list[dict]) -> list[tuple[int, int]]:
@@ -246,9 +244,9 @@ def _text_tiles(percent: int, shingle: int, n: int):
             first.append(np.full(int(near.sum()), i))
             second.append(js[near])
         order = np.argsort(np.concatenate(flips), kind="stable") if flips else []
-        of: dict[int, int] = {}
-        root, out = [of.setdefault(r["component"], k) for k, r in enumerate(rows)], []
-        apart = len(of)
+        names = sorted({r["component"] for r in rows})
+        node = {c: k for k, c in enumerate(names)}
+        of, root, apart = [node[r["component"]] for r in rows], list(range(len(names))), len(names)
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -258,12 +256,11 @@ def _text_tiles(percent: int, shingle: int, n: int):
         for i, j in zip(np.concatenate(first)[order].tolist(), np.concatenate(second)[order].tolist(), strict=True) if len(order) else ():
             if apart == 1:
                 break
-            if (x := find(i)) != (y := find(j)):
+            if (x := find(of[i])) != (y := find(of[j])):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (size[i] + size[j] - both):
-                    root[x], apart = y, apart - 1
-                    out.append((rows[i]["rep"], rows[j]["rep"]))
-        return out
+                    root[max(x, y)], apart = min(x, y), apart - 1
+        return [(names[x], names[k]) for k in range(len(names)) if (x := find(k)) != k]
 
     return _by_tile(("group", "lo", "hi"), links)
 
@@ -291,8 +288,9 @@ def likely_pairs(nodes: DataFrame, percent: int, n: int) -> DataFrame:
 
 
 def confirmed(texts: DataFrame, percent: int, shingle: int, n: int, tiles: str) -> DataFrame:
-    """Links a, b of texts (group, rep, digest, bytes, sketch, component, text), blocks of each group with
-    themselves (tiles own), with each other (cross), or both (all)."""
+    """a, b: component b and a larger one, a, which links of texts (group, rep, digest, bytes, sketch, component,
+    text) merge with it, by tiles of each block of a group with itself (tiles own), with each other (cross), or
+    both (all)."""
     parts = shuffle_partitions(texts.sparkSession)
     blocks = texts.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = texts.join(staged(blocks, "blocks"), "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -300,29 +298,36 @@ def confirmed(texts: DataFrame, percent: int, shingle: int, n: int, tiles: str)
     tiled = placed.withColumn("other", F.explode(others)).where(F.lit(tiles != "cross") | (F.col("block") != F.col("other")))
     tiled = tiled.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "digest", "sketch", "component", "text")
     dealt = tiled.repartition(parts, "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
-    return staged(dealt.mapInArrow(_text_tiles(percent, shingle, n), "a long, b long"), "links")
+    found = staged(dealt.mapInArrow(_text_tiles(percent, shingle, n), "b long, a long"), "links")
+    if tiles == "own":
+        return found.select("a", "b")  # a component is in one tile
+    return connected(found).where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int, n: int) -> DataFrame:
-    """a, b: confirmed links that connect all linked nodes."""
+def components(docs: DataFrame, nodes: DataFrame, percent: int, shingle: int, n: int) -> DataFrame:
+    """rep, component: the smallest node that links lead to, for every node that may have one."""
     groups = staged(connected(likely_pairs(nodes, percent, n)).select(F.col("node").alias("rep"), F.col("component").alias("group")), "groups")
     member = staged(nodes.select("rep", "digest", "bytes", "sketch").join(groups, "rep"), "members")
     text = likely_in(_keyed(docs).withColumnRenamed("doc_id", "rep"), member, ["rep", "digest"])
-    texts = staged(text.join(member, ["rep", "digest"]).withColumn("component", F.col("rep")), "texts")
-    found = confirmed(texts, percent, shingle, n, "own")
-    size = texts.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
+    texts = staged(text.join(member, ["rep", "digest"]), "texts")
+    label = groups.select("rep", "group", F.col("rep").alias("component"))
+    size = member.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
     large = staged(size.where((F.col("m") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("group"), "large")
+
+    def merged(label: DataFrame, found: DataFrame) -> DataFrame:
+        """label by what its components merge into."""
+        to = found.select(F.col("a").alias("component"), F.col("b").alias("to"))
+        return staged(label.join(to, "component", "left").select("rep", "group", F.coalesce("to", "component").alias("component")), "labels")
+
+    label = merged(label, confirmed(texts.withColumn("component", F.col("rep")), percent, shingle, n, "own"))
     for tiles in ("all", "cross"):
-        parts = connected(found).withColumnRenamed("node", "rep")
-        now = texts.drop("component").join(large, "group", "left_semi").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        now = now.select(texts.columns)
-        apart = now.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("group")
-        large = staged(apart, "large")
+        apart = label.join(large, "group", "left_semi").groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z")
+        large = staged(apart.select("group"), "large")
         if not large.limit(1).count():
             break
-        now = now.join(large, "group", "left_semi")
-        found = found.union(confirmed(now.where("rep = component") if tiles == "all" else now, percent, shingle, n, tiles))
-    return found
+        of = label.join(large, "group", "left_semi").where(F.lit(tiles == "cross") | (F.col("rep") == F.col("component")))
+        label = merged(label, confirmed(texts.join(of.select("rep", "component"), "rep"), percent, shingle, n, tiles))
+    return label.select("rep", "component")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -331,8 +336,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     sets = sig.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     sets = staged(sets, "sets")
     nodes = staged(sig.join(sets, ["k1", "k2"]).where("doc_id = rep").select("rep", "digest", "n_shingles", "bands", "sketch", "bytes"), "nodes")
-    component = connected(links(docs, nodes, percent, shingle, rows * bands))
-    named = sets.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
+    named = sets.join(components(docs, nodes, percent, shingle, rows * bands), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     # A table of its own: the rows of a set with very many copies can be split in the join.
     out = sig.select("doc_id", "digest", "n_shingles", "k1", "k2").join(staged(named, "named"), ["k1", "k2"], "left")
     alone = F.col("n_shingles") == 0
