@@ -54,41 +54,49 @@ def within_pairs(gallery: DataFrame, least: float) -> DataFrame:
     return _tiles(side, side, ["identity"], run, "identity string, i long, j long, sim double", (count, count))
 
 
-def nearest(probes: DataFrame, gallery: DataFrame, k: int, per_vector: bool = True) -> DataFrame:
+def nearest(probes: DataFrame, gallery: DataFrame, k: int, per_vector: bool = True, own: str | None = None) -> DataFrame:
     """Probe, identity, pos, sim, rank: the k best vectors of each probe (ties: identity, pos), repeated
-    names removed if per_vector; else the k best names. probes: probe, embedding."""
-    left, right = probes.select("probe", "embedding"), gallery.select("identity", "pos", "embedding")
+    names removed if per_vector; else the k best names. probes: probe, embedding. own names a column of both
+    sides: vectors of the probe's own value are left out."""
+    key = F.lit(None).cast("long") if own is None else F.col(own).cast("long")
+    left, right = probes.select("probe", "embedding", key.alias("own")), gallery.select("identity", "pos", "embedding", key.alias("own"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if a.num_rows and b.num_rows:
+            b = b.sort_by([("identity", "ascending"), ("pos", "ascending")])
             s = matrix(a.column("embedding")) @ matrix(b.column("embedding")).T
+            if own is not None:
+                s[a.column("own").to_numpy()[:, None] == b.column("own").to_numpy()[None, :]] = -np.inf
             names, pos = np.array(b.column("identity").to_pylist(), object), b.column("pos").to_numpy()
-            order = np.lexsort((pos, names.astype(str)))
-            s, names, pos = s[:, order], names[order], pos[order]
+            first = np.arange(len(names)) if per_vector else np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            best = s if per_vector else np.maximum.reduceat(s, first, axis=1)
+            most = min(k, best.shape[1])
+            cut = np.partition(best, best.shape[1] - most, axis=1)[:, -most]  # columns are in the order of ties
             for row, probe in enumerate(a.column("probe").to_pylist()):
-                best = np.argsort(-s[row], kind="stable")
-                if not per_vector:
-                    _, first = np.unique(names[best].astype(str), return_index=True)
-                    best = best[np.sort(first)]
-                out += [(probe, names[x], int(pos[x]), float(s[row, x])) for x in best[:k].tolist()]
+                at = np.flatnonzero(best[row] >= cut[row])
+                at = at[np.argsort(-best[row][at], kind="stable")][:most]
+                for x in at.tolist():
+                    place = x if per_vector else first[x] + int(np.argmax(s[row, first[x] : first[x + 1] if x + 1 < len(first) else None]))
+                    if best[row, x] > -np.inf:
+                        out.append((probe, names[place], int(pos[place]), float(best[row, x])))
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["probe", "identity", "pos", "sim"])
 
     found = _tiles(left, right, [], run, "probe long, identity string, pos long, sim double", (left.count(), right.count()))
     if not per_vector:
-        own = Window.partitionBy("probe", "identity").orderBy(F.desc("sim"), "pos")
-        found = found.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+        own_name = Window.partitionBy("probe", "identity").orderBy(F.desc("sim"), "pos")
+        found = found.withColumn("_n", F.row_number().over(own_name)).where("_n = 1").drop("_n")
     order = Window.partitionBy("probe").orderBy(F.desc("sim"), "identity", "pos")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if per_vector:
-        own = Window.partitionBy("probe", "identity").orderBy("rank")
-        ranked = ranked.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+        own_name = Window.partitionBy("probe", "identity").orderBy("rank")
+        ranked = ranked.withColumn("_n", F.row_number().over(own_name)).where("_n = 1").drop("_n")
     return ranked
 
 
-def best_match(probes: DataFrame, gallery: DataFrame, threshold: float) -> DataFrame:
+def best_match(probes: DataFrame, gallery: DataFrame, threshold: float, own: str | None = None) -> DataFrame:
     """Probe, name, sim: the best identity, or Unknown below the threshold."""
-    return nearest(probes, gallery, 1).select("probe", F.when(F.col("sim") >= threshold, F.col("identity")).otherwise("Unknown").alias("name"), "sim")
+    return nearest(probes, gallery, 1, own=own).select("probe", F.when(F.col("sim") >= threshold, F.col("identity")).otherwise("Unknown").alias("name"), "sim")
 
 
 def redundancy(candidates: DataFrame, group: DataFrame, threshold: float = 0.85) -> DataFrame:

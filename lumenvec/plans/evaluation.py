@@ -26,30 +26,31 @@ def j7(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector whose id is divisible by 20, and the whole gallery; a probe's own row is left out by vec_id."""
     g = gallery(spark, d)
-    return g.where("vec_id % 5 = 0").select(F.col("vec_id").alias("probe"), "embedding"), g.where("vec_id % 5 <> 0").select("identity", "pos", "embedding")
+    return g.where("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding", "vec_id"), g
 
 
 _RANKED = f"""with {GALLERY}, r as (
   select p.vec_id as probe, g.identity, g.pos, list_dot_product(p.embedding, g.embedding) as sim,
     row_number() over (partition by p.vec_id order by list_dot_product(p.embedding, g.embedding) desc, g.identity, g.pos) as rank
-  from gallery p, gallery g where p.vec_id % 5 = 0 and g.vec_id % 5 <> 0
+  from gallery p, gallery g where p.vec_id % 20 = 0 and g.vec_id <> p.vec_id
 )"""
 
 
 @query("j8_best_match", f"{_RANKED} select probe, case when sim >= 0.35::double then identity else 'Unknown' end as name, round(sim, 6) as sim from r where rank = 1")
 def j8(spark: SparkSession, d: str) -> DataFrame:
-    return s.best_match(*_sides(spark, d), 0.35).withColumn("sim", F.round("sim", 6))
+    return s.best_match(*_sides(spark, d), 0.35, own="vec_id").withColumn("sim", F.round("sim", 6))
 
 
 @query("j9_nearest", f"{_RANKED}, k as (select *, row_number() over (partition by probe, identity order by rank) as again from r where rank <= 5) select probe, identity, pos, round(sim, 6) as sim, rank from k where again = 1")
 def j9(spark: SparkSession, d: str) -> DataFrame:
-    return s.nearest(*_sides(spark, d), 5).withColumn("sim", F.round("sim", 6))
+    return s.nearest(*_sides(spark, d), 5, own="vec_id").withColumn("sim", F.round("sim", 6))
 
 
 @query("j9_nearest_names", f"{_RANKED}, k as (select *, row_number() over (partition by probe, identity order by rank) as again from r), n as (select *, row_number() over (partition by probe order by rank) as place from k where again = 1) select probe, identity, pos, round(sim, 6) as sim, place as rank from n where place <= 3")
 def j9_names(spark: SparkSession, d: str) -> DataFrame:
-    return s.nearest(*_sides(spark, d), 3, per_vector=False).withColumn("sim", F.round("sim", 6))
+    return s.nearest(*_sides(spark, d), 3, per_vector=False, own="vec_id").withColumn("sim", F.round("sim", 6))
 
 
 @query("j10_cross_means", f"with {GALLERY} select a.identity as a, b.identity as b, count(*) as pairs, round(avg(list_dot_product(a.embedding, b.embedding)), 6) as mean from gallery a join gallery b on a.identity < b.identity group by all")
