@@ -17,8 +17,9 @@ def safe_name(name: Column) -> Column:
 
 
 def display_name(name: Column) -> Column:
-    """_ becomes a blank, each word capitalised (after an apostrophe or digit unlike Python's title())."""
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    """_ becomes a blank; a letter after anything but a letter is a capital, other letters are small."""
+    parts = F.split(F.lower(F.replace(name, F.lit("_"), F.lit(" "))), r"(?<=\P{L})(?=\p{L})")
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def identity_key(name: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,15 +19,17 @@ def grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return x[:, :, 0] if channels == 1 else np.rint(0.114 * x[:, :, 0] + 0.587 * x[:, :, 1] + 0.299 * x[:, :, 2])
 
 
-def area_mean(x: np.ndarray, size: int) -> np.ndarray:
-    """x as size by size means over equal areas, fractions of pixels included."""
+@lru_cache(maxsize=64)
+def _weights(n: int, size: int) -> np.ndarray:
+    """How much of each of n pixels falls into each of size equal parts."""
+    edges = np.linspace(0, n, size + 1)
+    at = np.arange(n)
+    return np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None) * size / n
 
-    def weights(n: int) -> np.ndarray:
-        edges = np.linspace(0, n, size + 1)
-        at = np.arange(n)
-        return np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None) * size / n
 
-    return weights(x.shape[0]) @ x @ weights(x.shape[1]).T
+def area_mean(x: np.ndarray, size: int) -> np.ndarray:
+    """x as size by size means over equal areas, fractions of pixels included."""
+    return _weights(x.shape[0], size) @ x @ _weights(x.shape[1], size).T
 
 
 def laplacian_variance(x: np.ndarray) -> float:
@@ -35,13 +38,18 @@ def laplacian_variance(x: np.ndarray) -> float:
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * x).var())
 
 
-def dct_hash(x: np.ndarray) -> str:
-    """64 low DCT frequencies of the 32 by 32 image, over their median without the first, as 16 digits."""
-    n = 32
+@lru_cache(maxsize=1)
+def _basis(n: int) -> np.ndarray:
+    """Rows of the orthonormal cosine transform."""
     k = np.arange(n)
     basis = np.sqrt(2 / n) * np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
     basis[0] /= np.sqrt(2)
-    low = (basis @ area_mean(x, n) @ basis.T)[:8, :8].ravel().astype(np.float32)
+    return basis
+
+
+def dct_hash(x: np.ndarray) -> str:
+    """64 low DCT frequencies of the 32 by 32 image, over their median without the first, as 16 digits."""
+    low = (_basis(32) @ area_mean(x, 32) @ _basis(32).T)[:8, :8].ravel().round(6).astype(np.float32)  # no sign of rounding errors
     return f"{int(''.join('1' if b else '0' for b in low > np.median(low[1:])), 2):016x}"
 
 
@@ -72,7 +80,8 @@ def audit(images: DataFrame) -> DataFrame:
 
 def drop_similar_images(images: DataFrame, group: str, threshold: float = 0.92) -> DataFrame:
     """Origin, kept: an image that correlates by more than threshold with the last kept one of its group
-    (by origin) goes. Images are compared as 64 by 64 grey means. images: group, image. A group is one chain,
+    (by origin) goes. Images are compared as 64 by 64 grey means; one without pixels is kept and is
+    no one's last. images: group, image. A group is one chain,
     so one task's work, but read as a sorted stream of at most 32 KB a picture."""
 
     def small(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,12 +96,15 @@ def drop_similar_images(images: DataFrame, group: str, threshold: float = 0.92)
         for pdf in parts:
             kept = []
             for r in pdf.itertuples(index=False):
+                if r.key != group:
+                    group, last = r.key, None
+                if r.height <= 0 or r.width <= 0:
+                    kept.append(True)
+                    continue
                 x = np.frombuffer(r.data).reshape(64, 64) if r.means else area_mean(grey(r.data, r.height, r.width, r.nChannels), 64)
                 x = x - x.mean()
                 n = np.sqrt((x * x).sum())
                 x = x / n if n > 0 else x
-                if r.key != group:
-                    group, last = r.key, None
                 keep = last is None or float((x * last).sum()) <= threshold
                 kept.append(keep)
                 last = x if keep else last

@@ -55,15 +55,21 @@ def merge_galleries(target: DataFrame, source: DataFrame, same: float = 0.9999)
     earlier added ones included, equals by more than same. New identities come whole."""
 
     def run(t: pa.Table, s: pa.Table) -> pa.Table:
-        name = (t if t.num_rows else s).column("identity")[0].as_py()
-        held = list(matrix(t.column("embedding"))) if t.num_rows else []
+        name, fresh = (t if t.num_rows else s).column("identity")[0].as_py(), not t.num_rows
+        new = matrix(s.sort_by("pos").column("embedding")) if s.num_rows else None
+        held = matrix(t.column("embedding")) if t.num_rows else np.zeros((0, new.shape[1]))
         rows, flags = list(held), [False] * len(held)
-        for v in matrix(s.sort_by("pos").column("embedding")) if s.num_rows else []:
-            if not t.num_rows or not held or (np.stack(held) @ v).max() <= same:
-                if t.num_rows:
-                    held.append(v)
-                rows.append(v)
-                flags.append(True)
+        for at in range(0, 0 if new is None else len(new), 1024):
+            block = new[at : at + 1024]
+            known = (block @ held.T).max(axis=1, initial=-np.inf) > same
+            among = block @ block.T > same
+            added: list[int] = []
+            for i in range(len(block)):
+                if fresh or not (known[i] or among[i, added].any()):
+                    added.append(i)
+            rows += list(block[added])
+            flags += [True] * len(added)
+            held = held if fresh else np.concatenate([held, block[added]])
         return pa.table([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.list_(pa.float64())), pa.array(flags, pa.bool_())], ["identity", "embedding", "added"])
 
     side = lambda g: g.select(F.col("identity").alias("identity"), F.col("pos").alias("pos"), F.col("embedding").alias("embedding"))

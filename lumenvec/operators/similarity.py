@@ -7,6 +7,7 @@ by similarity). Nothing passes through the driver but row counts.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
@@ -39,19 +40,44 @@ def _tiles(left: DataFrame, right: DataFrame, key: list[str], run: Callable, sch
     return a.groupBy(*key, "_i", "_j").cogroup(b.groupBy(*key, "_i", "_j")).applyInArrow(run, schema)
 
 
+def _self_tiles(side: DataFrame, key: list[str], sizes: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """run(block, other block) for all unordered pairs of blocks of equal key columns, a block with itself included
+    (both sides are then the same rows). sizes: key columns and n, from which each key has its own blocks."""
+    count = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int").alias("_b")
+    wide = side.join(sizes.select(*key, count), key) if key else side.withColumn("_b", F.lit(sizes.select(count).first()[0]))
+    cut = wide.withColumn("_k", F.pmod(F.xxhash64(*side.columns[:2]), F.col("_b")).cast("int"))
+    a = cut.withColumn("_i", F.col("_k")).withColumn("_j", F.explode(F.sequence(F.col("_k"), F.col("_b") - 1)))
+    b = cut.withColumn("_j", F.col("_k")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
+    a, b = (x.drop("_b", "_k") for x in (a, b))
+    b = b.select(*(F.col(c).alias(c) for c in b.columns))
+    return a.groupBy(*key, "_i", "_j").cogroup(b.groupBy(*key, "_i", "_j")).applyInArrow(run, schema)
+
+
+def _once(a: pa.Table, b: pa.Table, names: list[str]) -> np.ndarray:
+    """Which cells of a tile are pairs that count: all of two blocks, those above the diagonal of a block with itself."""
+    if a.column("_i")[0].as_py() != a.column("_j")[0].as_py():
+        return np.ones((a.num_rows, b.num_rows), bool)
+    own, other = (list(zip(*(t.column(c).to_pylist() for c in names), strict=True)) for t in (a, b))
+    rank = {k: n for n, k in enumerate(sorted(set(own)))}
+    x, y = (np.array([rank[k] for k in keys]) for keys in (own, other))
+    return x[:, None] < y[None, :]
+
+
 def within_pairs(gallery: DataFrame, least: float) -> DataFrame:
     """Identity, i, j, sim: pairs of one identity, i before j, with at least this similarity."""
     side = gallery.select("identity", "pos", "embedding")
-    count = side.groupBy("identity").count().agg(F.max("count")).first()[0] or 0
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        s = matrix(a.column("embedding")) @ matrix(b.column("embedding")).T if a.num_rows and b.num_rows else np.zeros((0, 0))
-        pa_, pb = a.column("pos").to_numpy(), b.column("pos").to_numpy()
-        i, j = np.nonzero((s >= least) & (pa_[:, None] < pb[None, :])) if s.size else (np.zeros(0, int), np.zeros(0, int))
-        name = a.column("identity")[0].as_py() if a.num_rows else ""
-        return pa.table([pa.array([name] * len(i), pa.string()), pa.array(pa_[i], pa.int64()), pa.array(pb[j], pa.int64()), pa.array(s[i, j] if len(i) else [], pa.float64())], ["identity", "i", "j", "sim"])
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], t) for t in types], names)
+        s = matrix(a.column("embedding")) @ matrix(b.column("embedding")).T
+        i, j = np.nonzero((s >= least) & _once(a, b, ["pos"]))
+        x, y = a.column("pos").to_numpy()[i], b.column("pos").to_numpy()[j]
+        return pa.table([pa.array([a.column("identity")[0].as_py()] * len(i), types[0]), pa.array(np.minimum(x, y), types[1]), pa.array(np.maximum(x, y), types[2]), pa.array(s[i, j])], names)
 
-    return _tiles(side, side, ["identity"], run, "identity string, i long, j long, sim double", (count, count))
+    names, types = ["identity", "i", "j", "sim"], (pa.string(), pa.int64(), pa.int64(), pa.float64())
+    sizes = side.groupBy("identity").agg(F.count(F.lit(1)).alias("n"))
+    return _self_tiles(side, ["identity"], sizes, run, "identity string, i long, j long, sim double")
 
 
 def nearest(probes: DataFrame, gallery: DataFrame, k: int, per_vector: bool = True, own: str | None = None) -> DataFrame:
@@ -107,17 +133,18 @@ def redundancy(candidates: DataFrame, group: DataFrame, threshold: float = 0.85)
     return told.select("candidate", F.coalesce(F.col("max_sim") > threshold, F.lit(False)).alias("redundant"), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
 
 
-def hamming_join(rows: DataFrame, most: int = 5, bands: int = 5) -> DataFrame:
-    """A, b, distance of 64-bit hashes with fewer than most differing bits. rows: id, phash. With as many
-    bands as most, one band of a pair is equal. Equal hashes are one row of the join: a chain of copies
+def hamming_join(rows: DataFrame, most: int = 5) -> DataFrame:
+    """A, b, distance of 64-bit hashes with fewer than most (8 at most) differing bits. rows: id, phash. Of a
+    pair's eight bytes, at most most - 1 differ, so any 9 - most are equal in some choice of bytes: each choice is a
+    table of its own with keys of that many bytes (70 of 32 bits for most = 5), in which few others meet. Equal hashes are one row of the join: a chain of copies
     (neighbouring ids) stands for the pairs among them, and different hashes meet by their smallest ids."""
     valid = rows.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).select("id", F.lower("phash").alias("phash"))
     distinct = valid.groupBy("phash").agg(F.min("id").alias("id"))
-    high, low = (F.conv(F.substring("phash", at, 8), 16, 2) for at in (1, 9))
-    bits = F.concat(F.lpad(high, 32, "0"), F.lpad(low, 32, "0"))
-    step = 64 // bands + 1
-    cut = F.array(*(F.concat(F.lit(f"{b}:"), F.substring(bits, 1 + b * step, step)) for b in range(bands)))
-    banded = distinct.withColumn("band", F.explode(cut))
+    part = [F.conv(F.substring("phash", 1 + 2 * k, 2), 16, 10).cast("long") for k in range(8)]
+    split = distinct.select("id", "phash", F.array(*part).alias("p"))
+    chosen = F.array(*(F.array(*map(F.lit, c)) for c in itertools.combinations(range(8), 9 - most)))
+    key = F.transform(chosen, lambda c, n: F.aggregate(c, n.cast("long"), lambda h, k: h * 256 + F.col("p")[k]))
+    banded = split.select("id", "phash", F.explode(key).alias("band"))
     other = banded.select("band", F.col("id").alias("b"), F.col("phash").alias("phash_b"))
     pairs = banded.join(other, "band").where("id < b").select(F.col("id").alias("a"), "b", hamming(F.col("phash"), F.col("phash_b")).alias("distance")).where(F.col("distance") < most).distinct()
     after = F.lead("id").over(Window.partitionBy("phash").orderBy("id"))
@@ -168,15 +195,13 @@ def similarity_counts(gallery: DataFrame) -> DataFrame:
     (the expectation of drawing identities, then vectors, at random), one of one identity by 1."""
     sizes = gallery.groupBy("identity").agg(F.count(F.lit(1)).alias("n"))
     side = gallery.join(sizes, "identity").select("identity", "pos", "n", "embedding")
-    total = gallery.count()
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return empty
         s = matrix(a.column("embedding")) @ matrix(b.column("embedding")).T
         na, nb = np.array(a.column("identity").to_pylist()), np.array(b.column("identity").to_pylist())
-        same = na[:, None] == nb[None, :]
-        take = np.where(same, a.column("pos").to_numpy()[:, None] < b.column("pos").to_numpy()[None, :], na[:, None] < nb[None, :])
+        same, take = na[:, None] == nb[None, :], _once(a, b, ["identity", "pos"])
         w = np.where(same, 1.0, 1.0 / (a.column("n").to_numpy()[:, None] * b.column("n").to_numpy()[None, :]))
         s, w, same = s[take], w[take], same[take]
         if not len(s):
@@ -191,7 +216,7 @@ def similarity_counts(gallery: DataFrame) -> DataFrame:
     names = ["same", "cell", "n", "w", "s1", "s2", "over"]
     types = (pa.bool_(), pa.int64(), *[pa.float64()] * 5)
     empty = pa.table([pa.array([], t) for t in types], names)
-    parts = _tiles(side, side, [], run, "same boolean, cell long, n double, w double, s1 double, s2 double, over double", (total, total))
+    parts = _self_tiles(side, [], sizes.agg(F.sum("n").alias("n")), run, "same boolean, cell long, n double, w double, s1 double, s2 double, over double")
     return parts.groupBy("same", "cell").agg(*(F.sum(c).alias(c) for c in names[2:]))
 
 
@@ -276,10 +301,15 @@ def templates(rows: DataFrame, key: str, rounds: int = 100, tolerance: float = 1
     return rows.select(key, "pos", "embedding").groupBy(key).applyInArrow(run, f"{key} {kind}, template int, n long, centroid array<double>")
 
 
-def ema(v: Column, rate: float = 0.1) -> Column:
-    """Of an ordered array of vectors: the first, then 1 - rate of the old and rate of the new, unscaled."""
-    rest = F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0)))
-    return F.aggregate(rest, v[0], lambda r, x: F.zip_with(r, x, lambda p, q: (1 - rate) * p + rate * q))
+def running_means(rows: DataFrame, key: str, rate: float = 0.1) -> DataFrame:
+    """Key, mean: of vectors in the order of pos (0, 1, ...): the first, then 1 - rate of the old and rate of
+    the new, unscaled; as a weighted sum, so that groups are added up in parts. rows: key, pos, embedding."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    keep = F.pow(F.lit(1 - rate), F.when(F.col("pos") == 0, F.col("n") - 1).otherwise(F.col("n") - 1 - F.col("pos")))
+    weight = F.when(F.col("pos") == 0, keep).otherwise(rate * keep)
+    cells = rows.join(n, key).select(key, weight.alias("_w"), F.posexplode("embedding").alias("_at", "_x"))
+    sums = cells.groupBy(key, "_at").agg(F.sum(F.col("_w") * F.col("_x")).alias("_x"))
+    return sums.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"]).alias("mean"))
 
 
 def smoothed(v: Column) -> Column:
@@ -291,8 +321,6 @@ def smoothed(v: Column) -> Column:
     return unit(F.aggregate(pairs, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q)))
 
 
-
-
 def cross_means(gallery: DataFrame) -> DataFrame:
     """J10, exact: a, b, pairs, mean of all pairs of two identities, by the product of their sums; each pair of
     identities counts once, as in drawing identities first."""

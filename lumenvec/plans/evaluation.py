@@ -136,25 +136,28 @@ def a17(spark: SparkSession, d: str) -> DataFrame:
     return s.gallery_summary(raw)
 
 
+def _values(t: DataFrame) -> DataFrame:
+    return t.select("identity", "template", "n", F.round(F.col("centroid")[0], 6).alias("first_value"), F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query("a18_templates")
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    return s.templates(gallery(spark, d), "identity").select("identity", "template", "n", F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
+    return _values(s.templates(gallery(spark, d), "identity"))
 
 
 @query("a19_stored_template")
 def a19(spark: SparkSession, d: str) -> DataFrame:
     """The first template of each group's usable faces, as it is stored."""
     usable = gallery(spark, d).where("vec_id % 11 <> 0")
-    return s.templates(usable, "identity").where("template = 0").select("identity", "n", F.size("centroid").alias("dim"))
+    return _values(s.templates(usable, "identity").where("template = 0"))
 
 
 @query("a20_running_mean", f"""with {GALLERY}, n as (select identity, count(*) as n from gallery group by 1),
 d as (select identity, k, sum(embedding[k] * case when pos = 0 then 0.9::double ** (n - 1) else 0.1 * 0.9::double ** (n - 1 - pos) end) as x from gallery join n using (identity), (select unnest(range(1, 65)) as k) group by all)
 select identity, round(sum(x) filter (k = 1), 6) as first_value, round(sum(x), 6) as total from d group by 1""")
 def a20(spark: SparkSession, d: str) -> DataFrame:
-    v = gallery(spark, d).groupBy("identity").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "embedding"))), lambda t: t["embedding"]).alias("v"))
-    r = v.select("identity", s.ema(F.col("v")).alias("r"))
-    return r.select("identity", F.round(F.col("r")[0], 6).alias("first_value"), F.round(F.aggregate("r", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    r = s.running_means(gallery(spark, d), "identity")
+    return r.select("identity", F.round(F.col("mean")[0], 6).alias("first_value"), F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("w5_smoothed", f"""with {GALLERY}, l as (select vec_id, list(embedding) over (partition by identity order by pos rows between 19 preceding and current row) as l from gallery),

@@ -24,31 +24,34 @@ def w4(spark: SparkSession, d: str) -> DataFrame:
     return m.dedupe(h.join(g, "id"), alike=0.2)
 
 
-@query("u2_merge_galleries", f"with {GALLERY} select identity, count(*) filter (vec_id % 2 = 0 or vec_id % 3 = 0) as vectors, count(*) filter (vec_id % 2 <> 0 and vec_id % 3 = 0) as added from gallery group by 1")
+@query("u2_merge_galleries", f"with {GALLERY} select identity, vec_id % 2 <> 0 as added, round(embedding[1], 6) as first_value, round(list_sum(embedding), 6) as total from gallery where vec_id % 2 = 0 or vec_id % 3 = 0")
 def u2(spark: SparkSession, d: str) -> DataFrame:
     g = gallery(spark, d)
     merged = m.merge_galleries(g.where("vec_id % 2 = 0"), g.where("vec_id % 3 = 0"))
-    return merged.groupBy("identity").agg(F.count(F.lit(1)).alias("vectors"), F.count_if("added").alias("added"))
+    return merged.select("identity", "added", F.round(F.col("embedding")[0], 6).alias("first_value"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-def _count(rows: DataFrame, name: str) -> DataFrame:
-    return rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+def _keys(rows: DataFrame, name: str, *key: str) -> DataFrame:
+    """One table's rows, by name and key."""
+    return rows.select(F.lit(name).alias("name"), F.concat_ws(":", *(F.col(k).cast("string") for k in key)).alias("key"))
 
 
-@query("m1_delete_actors", f"""with {CATALOGUE}, {GALLERY} select 'actor' as name, count(*) as rows from actor where id % 9 <> 0 union all select 'cast', count(*) from movie_cast where actor_id % 9 <> 0
-union all select 'gallery', count(*) from gallery where identity not in ('id_0', 'id_9')""")
+@query("m1_delete_actors", f"""with {CATALOGUE}, {GALLERY} select 'actor' as name, id::varchar as key from actor where id % 9 <> 0 union all select 'cast', movie_id || ':' || actor_id from movie_cast where actor_id % 9 <> 0
+union all select 'gallery', identity || ':' || pos from gallery where identity not in ('id_0', 'id_9')""")
 def m1(spark: SparkSession, d: str) -> DataFrame:
     gone = actor(spark, d).where("id % 9 = 0").select("id", F.concat(F.lit("id_"), (F.col("id") % 2 * 9).cast("string")).alias("name"))
     a, c, g = m.delete_actors(actor(spark, d), movie_cast(spark, d), gallery(spark, d), gone)
-    return _count(a, "actor").union(_count(c, "cast")).union(_count(g, "gallery"))
+    return _keys(a, "actor", "id").union(_keys(c, "cast", "movie_id", "actor_id")).union(_keys(g, "gallery", "identity", "pos"))
 
 
-@query("m2_delete_movies", f"""with {CATALOGUE}, {DETECTION}, {FACE_GROUP} select 'movie' as name, count(*) as rows from movie where id % 4 <> 0 union all select 'cast', count(*) from movie_cast where movie_id % 4 <> 0
-union all select 'group', count(*) from face_group where movie_id % 4 <> 0 or movie_id not in (select id from movie) union all select 'loose', count(*) from detection where session % 4 = 0 and session in (select id from movie)""")
+@query("m2_delete_movies", f"""with {CATALOGUE}, {DETECTION}, {FACE_GROUP} select 'movie' as name, id::varchar as key from movie where id % 4 <> 0 union all select 'cast', movie_id || ':' || actor_id from movie_cast where movie_id % 4 <> 0
+union all select 'group', movie_id || ':' || group_id from face_group where movie_id % 4 <> 0 or movie_id not in (select id from movie)
+union all select case when session % 4 = 0 and session in (select id from movie) then 'loose' else 'held' end, det_id::varchar from detection""")
 def m2(spark: SparkSession, d: str) -> DataFrame:
-    faces = detection(spark, d).select(F.col("session").alias("movie_id"), F.col("event_type").alias("group_id"))
+    faces = detection(spark, d).select(F.col("session").alias("movie_id"), F.col("event_type").alias("group_id"), "det_id")
     a, c, g, f = m.delete_movies(movie(spark, d), movie_cast(spark, d), face_group(spark, d), faces, movie(spark, d).where("id % 4 = 0"))
-    return _count(a, "movie").union(_count(c, "cast")).union(_count(g, "group")).union(_count(f.where("group_id is null"), "loose"))
+    loose = f.select(F.when(F.col("group_id").isNull(), "loose").otherwise("held").alias("name"), F.col("det_id").cast("string").alias("key"))
+    return _keys(a, "movie", "id").union(_keys(c, "cast", "movie_id", "actor_id")).union(_keys(g, "group", "movie_id", "group_id")).union(loose)
 
 
 @query("m3_remove_links", f"with {CATALOGUE} select movie_id, actor_id from movie_cast where (movie_id + actor_id) % 7 <> 0")
@@ -78,13 +81,13 @@ def m6(spark: SparkSession, d: str) -> DataFrame:
     return m.remove_rows(g, g.where("movie_id % 6 = 0").select("movie_id").distinct(), ["movie_id"]).select("movie_id", "group_id")
 
 
-@query("m7_append_vectors", f"with {GALLERY} select identity, count(*) as vectors from (select identity from gallery where vec_id % 2 = 0 union all select identity from gallery where vec_id % 3 = 0 and vec_id % 2 <> 0 union all select identity from gallery where vec_id % 10 = 0) group by 1")
+@query("m7_append_vectors", f"with {GALLERY} select identity, file from gallery where vec_id % 2 = 0 or vec_id % 3 = 0 union all select identity, file || '_b' from gallery where vec_id % 10 = 0")
 def m7(spark: SparkSession, d: str) -> DataFrame:
     """New vectors come in; of those that repeat one, listed files are left out, other file names come in."""
     g = gallery(spark, d)
     again = g.where("vec_id % 10 = 0").withColumn("file", F.concat("file", F.lit("_b")))
     rows = g.where("vec_id % 3 = 0").unionByName(again).select("identity", "file", "embedding")
-    return m.append_vectors(g.where("vec_id % 2 = 0"), rows).groupBy("identity").agg(F.count(F.lit(1)).alias("vectors"))
+    return m.append_vectors(g.where("vec_id % 2 = 0"), rows).select("identity", "file")
 
 
 @query("m8_toggle_files", f"with {GALLERY} select identity, pos, file from gallery where vec_id % 4 <> 0")
@@ -93,22 +96,22 @@ def m8(spark: SparkSession, d: str) -> DataFrame:
     return m.toggle_files(g, g.where("vec_id % 4 = 0")).select("identity", "pos", "file")
 
 
-@query("m9_promote_guests", f"""with {CATALOGUE}, {GALLERY} select 'gallery' as name, count(*) filter (vec_id % 2 = 0 or vec_id % 5 = 0) as rows from gallery
-union all select 'cast', (select count(*) from (select movie_id, actor_id from movie_cast union select vec_id, 1 from gallery where vec_id % 5 = 0))""")
+@query("m9_promote_guests", f"""with {CATALOGUE}, {GALLERY} select 'gallery' as name, identity || ':' || file as key from gallery where vec_id % 2 = 0 or vec_id % 5 = 0
+union all (select 'cast', movie_id || ':' || actor_id from movie_cast union select 'cast', vec_id || ':1' from gallery where vec_id % 5 = 0)""")
 def m9(spark: SparkSession, d: str) -> DataFrame:
     g = gallery(spark, d)
     guests = g.where("vec_id % 5 = 0").select(F.col("vec_id").alias("session"), F.lit("Misafir-1").alias("name"), "file", "embedding", "identity")
     names = guests.select("session", "name", "identity", F.lit(1).cast("long").alias("actor_id"), F.col("session").alias("movie_id"))
     grown, links = m.promote_guests(guests.drop("identity"), names, g.where("vec_id % 2 = 0"), movie_cast(spark, d))
-    return _count(grown, "gallery").union(_count(links, "cast"))
+    return _keys(grown, "gallery", "identity", "file").union(_keys(links, "cast", "movie_id", "actor_id"))
 
 
-@query("k1_versioned_gallery", f"with {GALLERY} select identity, count(*) as vectors, 2 as version from gallery where vec_id % 2 = 0 group by 1")
+@query("k1_versioned_gallery", f"with {GALLERY} select identity, pos, 2 as version from gallery where vec_id % 2 = 0")
 def k1(spark: SparkSession, d: str) -> DataFrame:
     g, root = gallery(spark, d), sinks.shared_dir(spark, "gallery")
     sinks.publish_gallery(g, root)
     sinks.publish_gallery(g.where("vec_id % 2 = 0"), root)
-    return sinks.read_gallery(spark, root).groupBy("identity").agg(F.count(F.lit(1)).alias("vectors")).withColumn("version", F.lit(sinks.current_version(spark, root)))
+    return sinks.read_gallery(spark, root).select("identity", "pos", F.lit(sinks.current_version(spark, root)).alias("version"))
 
 
 @query("k2_upsert_groups", f"with {DETECTION}, {FACE_GROUP} select movie_id, group_id, case when movie_id % 2 = 0 then face_count + 1000 else face_count end as face_count from face_group")

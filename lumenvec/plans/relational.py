@@ -128,9 +128,10 @@ def j2(spark: SparkSession, d: str) -> DataFrame:
     return c.resolve_names(p.select(name.alias("name")), actor(spark, d)).select("name", "actor_id")
 
 
-@query("j3_only_new", f"with {CATALOGUE} select 'Film ' || c_custkey as title from customer where 'Film ' || c_custkey not in (select title from movie)")
+@query("j3_only_new", f"with {CATALOGUE} select 'Film ' || (c_custkey * 97) as title from customer where 'Film ' || (c_custkey * 97) not in (select title from movie)")
 def j3(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").select(F.concat(F.lit("Film "), F.col("c_custkey").cast("string")).alias("title"))
+    """Some of the titles are films' already."""
+    rows = table(spark, d, "customer").select(F.concat(F.lit("Film "), (F.col("c_custkey") * 97).cast("string")).alias("title"))
     return c.only_new(rows, movie(spark, d), "title")
 
 

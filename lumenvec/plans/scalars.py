@@ -23,9 +23,10 @@ def p2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.safe_name(F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit("#) "))).alias("safe"))
 
 
-@query("p3_display_name", "select n_nationkey as id, array_to_string(list_transform(string_split(replace(lower('new_' || n_name), '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as shown from nation")
+@query("p3_display_name", """with x as (select n_nationkey as id, string_split(lower(replace('new_' || n_name || '_o''NEIL 3D-a', '_', ' ')), '') as l from nation)
+select id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: case when i = 1 or not regexp_matches(l[i - 1], '[a-z]') then upper(l[i]) else l[i] end), '') as shown from x""")
 def p3(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), text.display_name(F.concat(F.lit("new_"), "n_name")).alias("shown"))
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), text.display_name(F.concat(F.lit("new_"), "n_name", F.lit("_o'NEIL 3D-a"))).alias("shown"))
 
 
 @query("p4_identity_key", "select p_partkey as id, nullif(replace(rtrim(regexp_replace(lower(trim('  ' || case when p_partkey % 10 = 0 then '##' else p_name end || ' ')), '[^\\p{L}\\p{Nd} _-]', '', 'g')), ' ', '_'), '') as key from part")
@@ -51,7 +52,7 @@ def p7(spark: SparkSession, d: str) -> DataFrame:
     return u.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(vectors.norm(F.col("v")), 6).alias("length"))
 
 
-@query("p8_blob_codec")
+@query("p8_blob_codec", "select vec_id, 4 * len(embedding) as bytes, true as same from embeddings")
 def p8(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", vectors.encode_blob("embedding").alias("blob"), F.col("embedding").cast("array<float>").alias("embedding"))
     return e.select("vec_id", F.octet_length("blob").alias("bytes"), (vectors.decode_blob("blob") == F.col("embedding")).alias("same"))
@@ -233,10 +234,10 @@ def p30(spark: SparkSession, d: str) -> DataFrame:
     return detection(spark, d).select("det_id", text.upload_title(ts).alias("title"), text.enrolled_file(ts, guest).alias("file"))
 
 
-@query("p31_box_json", f"with {DETECTION} select det_id, bbox[1] as x1, bbox[4] as y2, 4 as n from detection")
+@query("p31_box_json", f"with {DETECTION} select det_id, bbox[1] as x1, bbox[2] as y1, bbox[3] as x2, bbox[4] as y2, 4 as n from detection")
 def p31(spark: SparkSession, d: str) -> DataFrame:
     back = text.parse_box(text.box_json(F.col("bbox")))
-    return detection(spark, d).select("det_id", back.alias("b")).select("det_id", F.col("b")[0].alias("x1"), F.col("b")[3].alias("y2"), F.size("b").alias("n"))
+    return detection(spark, d).select("det_id", back.alias("b")).select("det_id", *(F.col("b")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))), F.size("b").alias("n"))
 
 
 @query("p32_clipped_box", f"with {DETECTION} select det_id, least(greatest(bbox[3], 0.0), 1800.0) as x2, least(greatest(bbox[4], 0.0), 1000.0) as y2, trunc(bbox[3] - bbox[1])::int || 'x' || trunc(bbox[4] - bbox[2])::int as size from detection")

@@ -10,13 +10,13 @@ from ..sources.sinks import publish_gallery, shared_dir
 from ..streaming import folds, jobs
 from .registry import query
 from .scalars import _NAMES, REASON, named
-from .tables import DETECTION, FACE_GROUP, HEIGHT, WIDTH, detection, face_group, gallery, table, with_vectors
+from .tables import DETECTION, FACE_GROUP, GALLERY, HEIGHT, WIDTH, detection, face_group, gallery, table, with_vectors
 
 
-def _faces(spark: SparkSession, d: str) -> DataFrame:
+def _faces(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Gated detections with vectors, the columns of the stream."""
     kept = detection(spark, d).where(gates.reject_reason(WIDTH, HEIGHT) == "passed")
-    return with_vectors(kept, spark, d).select("session", "frame", "det_id", "bbox", "embedding", "vec_id")
+    return with_vectors(kept, spark, d).select("session", "frame", "det_id", "bbox", "embedding", "vec_id", *more)
 
 
 _GROUPING = (0.1, 0.95)
@@ -29,8 +29,9 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x1_online_grouping_stream")
 def x1_stream(spark: SparkSession, d: str) -> DataFrame:
-    stream = folds.fold_stream(jobs.as_stream(_faces(spark, d), "faces"), "session", lambda: folds.Grouping(*_GROUPING))
-    return jobs.drain(stream, shared_dir(spark, "grouped"), shared_dir(spark, "state"))
+    feed = jobs.Feed(_faces(spark, d), "faces")
+    stream = folds.fold_stream(feed.stream, "session", lambda: folds.Grouping(*_GROUPING))
+    return jobs.drain(stream, shared_dir(spark, "grouped"), shared_dir(spark, "state"), feed=feed)
 
 
 @query("x2_tracking")
@@ -41,7 +42,7 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
 @query("x3_smoothed_tracks")
 def x3(spark: SparkSession, d: str) -> DataFrame:
     tracks = folds.fold_batch(_faces(spark, d), "session", folds.Tracking)
-    return tracks.select("session", "det_id", "track", F.round(F.aggregate("smoothed", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
+    return tracks.select("session", "det_id", "track", F.round(F.col("smoothed")[0], 6).alias("first_value"), F.round(F.aggregate("smoothed", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("x4_names_and_guests")
@@ -63,36 +64,62 @@ def x5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x5_running_counts_stream", _COUNTS)
 def x5_stream(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.last_counts(jobs.as_stream(named(spark, d).select("session", "frame", "name", "ts"), "named"))
+    return jobs.last_counts(jobs.Feed(named(spark, d).select("session", "frame", "name", "ts"), "named"))
+
+
+#: Of X6: a session without faces for so long is forgotten.
+IDLE_MS = 3_600_000
 
 
 @query("x6_expired_tracks")
 def x6(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks forgotten after a shorter idle time start anew: never fewer tracks than with a longer one."""
-    tracks = folds.fold_batch(_faces(spark, d), "session", lambda: folds.Tracking(gap=2, idle=3))
-    return tracks.groupBy("session").agg(F.countDistinct("track").alias("tracks"))
+    """Tracks over a stream in the order of time; after each slice, sessions that have been idle are forgotten, and
+    count their tracks from 0 when they come back."""
+    feed = jobs.Feed(_faces(spark, d, F.col("ts").cast("timestamp").alias("ts")).withColumn("at", F.unix_millis("ts")), "timed", by="at")
+    stream = folds.fold_stream(feed.stream, "session", folds.Tracking, idle_ms=IDLE_MS).drop("smoothed", "score")
+    return jobs.drain(stream, shared_dir(spark, "tracks"), shared_dir(spark, "state"), feed=feed)
+
 
+_FACES = f"""{DETECTION}, face as (
+  select det_id, session, frame, vec_id, e.embedding::double[] as v, floor((frame - min(frame) over ()) * 4 / (max(frame) over () - min(frame) over () + 1))::int as batch
+  from detection join embeddings e using (vec_id) where {REASON} = 'passed'
+)"""
 
-@query("j16_stream_match")
+
+@query("j16_stream_match", f"""with {_FACES}, {GALLERY}, r as (
+  select det_id as probe, batch, identity, list_dot_product(v, g.embedding) as sim, row_number() over (partition by det_id order by list_dot_product(v, g.embedding) desc, identity, pos) as rank
+  from face join gallery g on g.vec_id <> face.vec_id and (batch >= 2 or identity < 'id_5')
+) select probe, batch, case when sim >= 0.35::double then identity else 'Unknown' end as name, round(sim, 6) as sim from r where rank = 1""")
 def j16(spark: SparkSession, d: str) -> DataFrame:
-    """Also X7: each batch takes the gallery version of its time."""
-    root, out = shared_dir(spark, "gallery"), shared_dir(spark, "matched")
-    publish_gallery(gallery(spark, d), root)
-    stream = jobs.as_stream(_faces(spark, d), "faces").select(F.col("det_id").alias("probe"), "embedding")
-    jobs.drain_batches(stream, jobs.match_batches(root, out, 0.35), shared_dir(spark, "state"))
-    return spark.read.parquet(out).select("probe", "name", F.round("sim", 6).alias("sim"))
+    """Also X7: each batch takes the gallery version of its time. Identities from id_5 on come with the second
+    version, which is published while the stream runs, before its third batch."""
+    root, out, g = shared_dir(spark, "gallery"), shared_dir(spark, "matched"), gallery(spark, d)
+    publish_gallery(g.where("identity < 'id_5'"), root)
+    feed = jobs.Feed(_faces(spark, d), "faces")
+
+    def versions():
+        for k in feed:
+            if k == 2:
+                publish_gallery(g, root)
+            yield k
+
+    stream = feed.stream.select(F.col("det_id").alias("probe"), "embedding", "vec_id")
+    jobs.drain_batches(stream, jobs.match_batches(root, out, 0.35, own="vec_id"), shared_dir(spark, "state"), feed=versions())
+    return spark.read.parquet(out).select("probe", F.col("batch").cast("int").alias("batch"), "name", F.round("sim", 6).alias("sim"))
 
 
-@query("k4_progress", f"with {DETECTION} select session, sum(n)::bigint as n from (select session, count(*) as n from detection group by 1) group by 1")
+@query("k4_progress", f"""with {DETECTION}, s as (select session, {_NAMES} as name, floor((frame - min(frame) over ()) * 4 / (max(frame) over () - min(frame) over () + 1))::int as batch from detection)
+select batch, session, name, count(*) as n, 'running' as status from s group by all""")
 def k4(spark: SparkSession, d: str) -> DataFrame:
-    snapshots = jobs.progress(jobs.as_stream(named(spark, d).select("session", "frame", "name"), "named"))
-    return snapshots.groupBy("session").agg(F.sum("n").alias("n"))
+    """All snapshots, one for each batch."""
+    snapshots = jobs.progress(jobs.Feed(named(spark, d).select("session", "frame", "name"), "named"))
+    return snapshots.select(F.col("batch").cast("int").alias("batch"), "session", "name", "n", "status")
 
 
 @query("s7_detection_stream", f"with {DETECTION} select det_id, session, frame from detection where {REASON} = 'passed'")
 def s7(spark: SparkSession, d: str) -> DataFrame:
-    stream = jobs.as_stream(_faces(spark, d), "faces").select("det_id", "session", "frame")
-    return jobs.drain(stream, shared_dir(spark, "drained"), shared_dir(spark, "state"))
+    feed = jobs.Feed(_faces(spark, d), "faces")
+    return jobs.drain(feed.stream.select("det_id", "session", "frame"), shared_dir(spark, "drained"), shared_dir(spark, "state"), feed=feed)
 
 
 @query("x8_job_status", f"""with {DETECTION}, {FACE_GROUP}, j as (select distinct user_id as movie_id, case user_id % 5 when 0 then 'running' when 1 then 'error' end as status from events), g as (select distinct movie_id from face_group where movie_id % 3 = 0)
@@ -104,11 +131,12 @@ def x8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pictures(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's bytes as a grey picture 32 wide; source is its group."""
+    """Every document's bytes as a grey picture 32 wide, the last row filled with 0; source is its group. Empty
+    texts are pictures without rows."""
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    rows = F.floor(F.octet_length(raw) / 32).cast("int")
-    image = F.struct(F.col("doc_id").cast("string").alias("origin"), rows.alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.substring(raw, F.lit(1), rows * 32).alias("data"))
-    return table(spark, d, "documents").select(image.alias("image"), "source").where(F.col("image.height") > 1)
+    rows = F.ceil(F.octet_length(raw) / 32).cast("int")
+    image = F.struct(F.col("doc_id").cast("string").alias("origin"), rows.alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.rpad(raw, rows * 32, F.lit(b"\0")).alias("data"))
+    return table(spark, d, "documents").select(image.alias("image"), "source")
 
 
 @query("i1_image_features")

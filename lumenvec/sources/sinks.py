@@ -10,18 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Of sessions that name no folder, by application.
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the session's checkpoint folder; a temporary one if none is set (tests)."""
+    """A fresh folder below the folder that spark.checkpoint.dir names, which all executors must share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-        base = _own[app]
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
+        base = f"file://{tempfile.gettempdir()}/spark-checkpoint-{spark.sparkContext.applicationId}"  # one machine only
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -134,8 +135,9 @@ def fold_batch(rows: DataFrame, key: str, make: Callable[[], object]) -> DataFra
 
 
 def fold_stream(rows: DataFrame, key: str, make: Callable[[], object], idle_ms: int | None = None) -> DataFrame:
-    """The same over a stream. A batch's last row of a key tells the late rows dropped so far in late; state
-    that is idle for idle_ms is dropped (X6)."""
+    """The same over a stream. A batch's last row of a key tells the late rows dropped so far in late. With idle_ms,
+    rows have an event time ts, and the state of a key whose last ts lies more than idle_ms before the watermark
+    (the latest ts of all keys) is dropped: the key starts anew (X6)."""
     schema = make().schema
     kind = rows.schema[key].dataType.simpleString()
 
@@ -152,11 +154,13 @@ def fold_stream(rows: DataFrame, key: str, make: Callable[[], object], idle_ms:
         if len(pdf):
             last = int(pdf["frame"].max())
         state.update((pickle.dumps((fold, last, late)),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            until = (int(pdf["ms"].max()) if len(pdf) else state.getCurrentWatermarkMs()) + idle_ms
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         out.insert(0, key, names[0])
         out["late"] = late
         yield out
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}, late long", "state binary", "append", timeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
+    timed = rows if idle_ms is None else rows.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", "0 seconds")
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}, late long", "state binary", "append", timeout)

@@ -1,33 +1,65 @@
-"""Streaming jobs over detections (S7, K4, X1-X8, J16). Each reads a folder as a stream and ends when all
-that lies there is done; on a cluster the trigger is left out and the jobs run on."""
+"""Streaming jobs over detections (S7, K4, X1-X8, J16). Each reads a folder as a stream. Here rows come from a
+Feed, slice after slice, and a job takes each slice as one batch; on a cluster the trigger is left out and the jobs
+run on."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.similarity import best_match
-from ..sources.sinks import progress_sink, read_gallery, shared_dir
+from ..sources.sinks import progress_sink, read_gallery, shared_dir, staged
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there into a parquet folder."""
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+class Feed:
+    """df, written slice after slice to a folder that is read as a stream: iterating writes the next slice and gives
+    its number. Slices are equal ranges of a column in which each key's frames ascend; a slice is written by as many
+    tasks as hold its rows."""
+
+    def __init__(self, df: DataFrame, name: str, by: str = "frame", slices: int = 4):
+        spark: SparkSession = df.sparkSession
+        self.rows, self.path = staged(df, f"{name}-rows"), shared_dir(spark, name)
+        low, high = self.rows.agg(F.min(by), F.max(by)).first()
+        self.slice = slice_of(F.col(by), low or 0, high or 0, slices)
+        self.slices = slices
+        self._write(0)
+        self.stream = spark.readStream.schema(df.schema).parquet(self.path)
+
+    def _write(self, k: int) -> None:
+        self.rows.where(self.slice == k).write.mode("append").parquet(self.path)
+
+    def __iter__(self) -> Iterator[int]:
+        for k in range(self.slices):
+            if k:
+                self._write(k)
+            yield k
+
+
+def slice_of(value: Column, low: int, high: int, slices: int) -> Column:
+    """Which of the equal ranges from low to high a whole number lies in."""
+    return F.floor((value - low) * slices / (high - low + 1)).cast("int")
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", feed: Iterable[int] = (0,)) -> DataFrame:
+    """Run a stream over all that is there, once for each slice of feed, into a parquet folder."""
+    for _ in feed:
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", feed: Iterable[int] = (0,)) -> None:
+    for _ in feed:
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def match_batches(root: str, out: str, threshold: float) -> Callable[[DataFrame, int], None]:
+def match_batches(root: str, out: str, threshold: float, own: str | None = None) -> Callable[[DataFrame, int], None]:
     """Each batch of (probe, embedding) is matched with the gallery version published by then."""
 
     def write(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
-        best_match(kept, read_gallery(batch.sparkSession, root), threshold).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        best_match(kept, read_gallery(batch.sparkSession, root), threshold, own=own).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
         kept.unpersist()
 
     return write
@@ -39,40 +71,28 @@ def running_counts(named: DataFrame, delay: str | None = None) -> DataFrame:
     return rows.groupBy("session", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def last_counts(stream: DataFrame) -> DataFrame:
+def last_counts(feed: Feed) -> DataFrame:
     """X5 over a stream, in complete mode: the counts after the last batch."""
-    spark = stream.sparkSession
+    stream, spark = feed.stream, feed.stream.sparkSession
     out = shared_dir(spark, "counts")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:06d}")
 
-    drain_batches(running_counts(stream), write, shared_dir(spark, "state"), "complete")
+    drain_batches(running_counts(stream), write, shared_dir(spark, "state"), "complete", feed)
     every = spark.read.parquet(out)
     return every.join(every.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
 
 
-def progress(stream: DataFrame) -> DataFrame:
+def progress(feed: Feed) -> DataFrame:
     """K4: snapshots of counts, a folder a batch."""
-    out = shared_dir(stream.sparkSession, "progress")
-    drain_batches(stream, progress_sink(out), shared_dir(stream.sparkSession, "state"))
-    return stream.sparkSession.read.parquet(out)
+    spark = feed.stream.sparkSession
+    out = shared_dir(spark, "progress")
+    drain_batches(feed.stream, progress_sink(out), shared_dir(spark, "state"), feed=feed)
+    return spark.read.parquet(out)
 
 
 def job_status(jobs: DataFrame, groups: DataFrame) -> DataFrame:
     """movie_id, status: the stored one, else completed if the movie has groups, else unknown."""
     have = groups.groupBy("movie_id").agg(F.count(F.lit(1)).alias("_n"))
     return jobs.join(have, "movie_id", "left").select("movie_id", F.coalesce("status", F.when(F.col("_n") > 0, "completed"), F.lit("unknown")).alias("status"))
-
-
-def as_stream(df: DataFrame, name: str, files: int = 4) -> DataFrame:
-    """df written to a folder and read back as a stream, one file a batch, in the order of frames."""
-    spark: SparkSession = df.sparkSession
-    path = shared_dir(spark, name)
-    cuts = [c / files for c in range(1, files)]
-    at = df.select(F.percentile_approx("frame", cuts).alias("c")).first()["c"] or []
-    for k in range(files):
-        low = F.lit(True) if k == 0 or not at else F.col("frame") > at[k - 1]
-        high = F.lit(True) if k == files - 1 or not at else F.col("frame") <= at[k]
-        df.where(low & high).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

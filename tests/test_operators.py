@@ -149,7 +149,11 @@ def test_nearest_in_blocks(spark, monkeypatch):
     got = similarity.nearest(probes.select("probe", "embedding"), g, 3, per_vector=False).join(probes.select("probe", F.col("identity").alias("own")), "probe").where("rank = 1").collect()
     assert len(got) == len(x)
     assert all(r.identity == r.own and r.sim == pytest.approx(1.0) for r in got)
-    pairs = similarity.within_pairs(g, 0.85).count()
+    found = similarity.nearest(g.select(F.xxhash64("identity", "pos").alias("probe"), "embedding", F.xxhash64("identity", "pos").alias("own")), g.withColumn("own", F.xxhash64("identity", "pos")), 2, own="own")
+    assert found.where("sim > 0.999999").join(g.select(F.xxhash64("identity", "pos").alias("probe"), "identity", "pos"), ["probe", "identity", "pos"]).count() == 0 and found.select("probe").distinct().count() == len(x)
+    told = similarity.within_pairs(g, 0.85)
+    assert told.where("i >= j").count() == 0 and told.distinct().count() == told.count()
+    pairs = told.count()
     assert pairs == sum(int((np.triu(p @ p.T, 1) >= 0.85).sum()) for p in clusters())
 
 
@@ -193,7 +197,10 @@ def test_running_mean_is_not_rescaled(spark):
     want = np.array(v[0])
     for x in v[1:]:
         want = 0.9 * want + 0.1 * np.array(x)
-    got = value(spark, similarity.ema(F.col("v")), v=("array<array<double>>", v))
+    rows = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)] + [("b", 0, v[3])], "k string, pos long, embedding array<double>")
+    means = {r.k: r["mean"] for r in similarity.running_means(rows, "k").collect()}
+    got = means["a"]
+    assert means["b"] == v[3]
     assert np.allclose(got, want) and np.linalg.norm(got) < 0.99
 
 
@@ -288,8 +295,8 @@ def test_stream_equals_batch(spark, make):
     x = np.concatenate(clusters())[r.permutation(60)]
     df = faces_of(spark, [(i, [float(k) for k in (i, i, i + 20, i + 20)], v.tolist()) for i, v in enumerate(x)]).withColumn("session", F.col("det_id") % 3)
     want = folds.fold_batch(df, "session", make).orderBy("det_id").collect()
-    stream = folds.fold_stream(jobs.as_stream(df, "cuts", files=3), "session", make)
-    got = jobs.drain(stream, sinks.shared_dir(spark, "out"), sinks.shared_dir(spark, "state")).drop("late").orderBy("det_id").collect()
+    feed = jobs.Feed(df, "cuts", slices=3)
+    got = jobs.drain(folds.fold_stream(feed.stream, "session", make), sinks.shared_dir(spark, "out"), sinks.shared_dir(spark, "state"), feed=feed).drop("late").orderBy("det_id").collect()
     assert got == want
 
 
