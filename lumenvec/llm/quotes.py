@@ -1,14 +1,14 @@
 """Chat formatting by quotation linking, in DataFrame functions only.
 
 A line's quote level is the number of '>' that it begins with (a blank may stand before each). A passage is
-a run of lines of one level without a blank line between. Passages, and their single lines for those that
-quote a part, are normalised (A-Z lower-cased, white space and line ends run to one blank, trimmed) and
-hashed; within a conversation, each is joined to its original: the first message that holds it unquoted, if
-that is an earlier one. The message that most of a message's level-one passages and lines come from (the
-later one of equals) is its parent; deeper levels are linked and counted likewise. Following parents by
+a run of lines of one level without a blank line between. Passages, and their single lines and sentences (up to
+a ., ! or ? before a blank) for those that quote a part, re-wrapped or not, are normalised (A-Z lower-cased,
+white space and line ends run to one blank, trimmed) and hashed; within a conversation, each is joined to its
+original: the first message that holds it unquoted, if that is an earlier one. The message that most of a
+message's level-one passages, lines and sentences come from (the later one of equals) is its parent; deeper levels are linked and counted likewise. Following parents by
 pointer doubling gives each message its thread and depth, and (conv_id, thread, depth, turn) orders a
-conversation by replies. The body is the message without quoted lines and without the "On ... wrote:" lines
-before them.
+conversation by replies. The body is the message without quoted lines and without an "On ... wrote:" line that
+stands before one, a blank line between them or not.
 
 Originals are one row for each distinct passage or line of a conversation, by partial minimum, so one that
 is repeated without end, or a conversation that holds a third of all messages, is no group of one task.
@@ -27,7 +27,7 @@ from .common import staged, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX = r"^(?:[ \t]?>)+"
-WROTE = r"^[Oo]n .{1,200} wrote:[ \t]*$"
+WROTE = r"^[Oo]n .+ wrote:[ \t]*$"
 
 
 def _norm(line: Column) -> Column:
@@ -46,7 +46,9 @@ def parsed(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, body, n_quoted (distinct quoted lines), max_level."""
     lines = _lines()
     has = F.exists(lines, lambda x: x.rlike(PREFIX))
-    body = F.when(has, F.filter(lines, lambda x: ~x.rlike(PREFIX) & ~x.rlike(WROTE))).otherwise(lines)
+    at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
+    before = lambda i: at(i + 1).rlike(PREFIX) | (at(i + 1).rlike(r"^[ \t\r]*$") & at(i + 2).rlike(PREFIX))
+    body = F.when(has, F.filter(lines, lambda x, i: ~x.rlike(PREFIX) & ~(x.rlike(WROTE) & before(i)))).otherwise(lines)
     told = F.transform(F.filter(lines, lambda x: x.rlike(PREFIX)), lambda x: F.struct(_level(x).alias("level"), _norm(F.regexp_replace(x, PREFIX, "")).alias("line")))
     quoted = F.when(has, F.array_distinct(F.filter(told, lambda q: q["line"] != "")))
     return conversations.select(
@@ -60,7 +62,7 @@ def parsed(conversations: DataFrame) -> DataFrame:
 
 
 def passages(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, level, h, g: hashes of the distinct passages and lines (level 0: unquoted) of all messages."""
+    """conv_id, turn, level, h, g: hashes of the distinct passages, lines and sentences (level 0: unquoted) of all messages."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.posexplode(_lines()).alias("n", "line"))
     lines = rows.select("conv_id", "turn", "n", _level(F.col("line")).alias("level"), _norm(F.regexp_replace("line", PREFIX, "")).alias("norm")).distinct()
     order = Window.partitionBy("conv_id", "turn").orderBy("n", "level", "norm")  # the lines of one message
@@ -68,12 +70,14 @@ def passages(conversations: DataFrame) -> DataFrame:
     runs = lines.withColumn("start", (before.isNull() | (before != F.col("level")) | (F.col("norm") == "") | (last == "")).cast("int"))
     runs = runs.withColumn("run", F.sum("start").over(order)).where("norm <> ''")
     whole = runs.groupBy("conv_id", "turn", "run", "level").agg(F.sort_array(F.collect_list(F.struct("n", "norm"))).alias("p"))
-    texts = runs.select("conv_id", "turn", "level", F.col("norm").alias("t")).union(whole.where(F.size("p") > 1).select("conv_id", "turn", "level", F.array_join(F.transform("p", lambda x: x["norm"]), " ").alias("t")))
+    whole = whole.select("conv_id", "turn", "level", F.array_join(F.transform("p", lambda x: x["norm"]), " ").alias("t"))
+    sentences = whole.select("conv_id", "turn", "level", F.explode(F.split(F.regexp_replace("t", "([.!?]) ", "$1\n"), "\n")).alias("t"))
+    texts = runs.select("conv_id", "turn", "level", F.col("norm").alias("t")).union(whole).union(sentences)
     return texts.select("conv_id", "turn", "level", F.xxhash64("t").alias("h"), F.hash("t").alias("g")).distinct()
 
 
 def links(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, level, origin, passages: how many distinct quoted passages and lines come from a message.
+    """conv_id, turn, level, origin, passages: how many distinct quoted passages, lines and sentences come from a message.
     Conversations without quotes are left out at once."""
     quoting = conversations.where(F.exists(_lines(), lambda x: x.rlike(PREFIX))).select("conv_id").distinct()
     every = staged(passages(conversations.join(quoting, "conv_id", "left_semi")), "passages")
@@ -116,7 +120,7 @@ def in_order(messages: DataFrame) -> DataFrame:
 
 
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reply_ordered(table(spark, sf_dir, "conversations"))
+    return in_order(reply_ordered(table(spark, sf_dir, "conversations")))
 
 
 OP9_SQL = r"""
@@ -137,9 +141,11 @@ with recursive m as (
   select *, sum(start) over (partition by conv_id, turn order by i, level, norm rows unbounded preceding) as run from s
 ), q as (
   select distinct conv_id, turn, level, norm from v where level > 0 and norm <> ''
+), b as (
+  select conv_id, turn, level, string_agg(norm, ' ' order by i, norm) as t from r0 where norm <> '' group by conv_id, turn, run, level
 ), u as (
-  select conv_id, turn, level, norm from r0 where norm <> '' union
-  select conv_id, turn, level, string_agg(norm, ' ' order by i) from r0 where norm <> '' group by conv_id, turn, run, level
+  select conv_id, turn, level, norm from r0 where norm <> '' union select * from b union
+  select conv_id, turn, level, unnest(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) from b
 ), o as (
   select conv_id, norm, min(turn) as origin from u where level = 0 group by all
 ), k as (
@@ -154,8 +160,9 @@ with recursive m as (
   select conv_id, turn, arg_max(thread, depth) as thread, max(depth) as depth from t group by all
 )
 select m.conv_id, m.turn, m.role,
-  trim(array_to_string(list_filter(m.lines, lambda x: not regexp_matches(x, '^([ \t]?>)+')
-    and not (len(list_filter(m.lines, lambda y: regexp_matches(y, '^([ \t]?>)+'))) > 0 and regexp_matches(x, '^[Oo]n .{1,200} wrote:[ \t]*$'))), chr(10)), chr(10)) as body,
+  trim(array_to_string(list_filter(m.lines, lambda x, i: not regexp_matches(x, '^([ \t]?>)+')
+    and not (regexp_matches(x, '^[Oo]n .+ wrote:[ \t]*$') and (regexp_matches(coalesce(m.lines[i + 1], ''), '^([ \t]?>)+')
+      or (regexp_matches(coalesce(m.lines[i + 1], ''), '^[ \t\r]*$') and regexp_matches(coalesce(m.lines[i + 2], ''), '^([ \t]?>)+'))))), chr(10)), chr(10)) as body,
   coalesce((select count(*) from q where q.conv_id = m.conv_id and q.turn = m.turn), 0)::bigint as n_quoted,
   coalesce((select max(level) from q where q.conv_id = m.conv_id and q.turn = m.turn), 0)::bigint as max_level,
   coalesce((select sum(lines) from k where k.conv_id = m.conv_id and k.turn = m.turn), 0)::bigint as n_linked,

@@ -234,6 +234,7 @@ def test_op10_rare_kinds_stay_apart_beside_a_wildcard(spark):
 TALK = [
     (4, 0, "u", "A long line that\nis wrapped here\n\nand more"), (4, 1, "a", "> A long line\n> that is Wrapped here\n\nYes"),
     (1, 0, "u", "Hello there\nSecond line"), (1, 1, "a", "On Monday A wrote:\n> hello  There\nMy reply"), (1, 2, "u", ">> Hello there\n> My Reply\nmore"),
+    (5, 0, "u", "One long line. It has three sentences! Is the last one quoted?"), (5, 1, "a", "On a day " + "x" * 300 + " wrote:\n\n> It has three\n> sentences!\n\nOn this I wrote:\nyes"), (5, 2, "u", "> Is the last one quoted?\n\nno"),
     (1, 3, "a", "> Second line\n> My reply\nbottom\n\n"), (2, 0, "u", None), (2, 1, "a", "> My reply\nx\n>\n> > "), (3, 0, None, ""), (3, 1, "a", ">"),
 ]
 
@@ -247,6 +248,7 @@ def test_op9_links(spark):
     assert one((1, 3)) == ("bottom", 2, 1, 2, 1, 0, 2)
     assert one((4, 1)) == ("Yes", 2, 1, 1, 0, 0, 1)
     assert one((2, 1)) == ("x", 1, 1, 0, None, 1, 0)
+    assert one((5, 1)) == ("On this I wrote:\nyes", 2, 1, 1, 0, 0, 1) and one((5, 2)) == ("no", 1, 1, 1, 0, 0, 1)
     assert [r.turn for r in quotes.in_order(quotes.reply_ordered(df)).collect() if r.conv_id == 1] == [0, 1, 2, 3]
     assert quotes.reply_ordered(df.limit(0)).count() == 0
 
