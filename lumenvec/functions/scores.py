@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,29 +34,35 @@ def distance(a: Column, b: Column) -> Column:
     return F.hypot(a[0] - b[0], a[1] - b[1])
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value computed once: repeated in nested conditions, distances make methods too long to compile."""
+    return F.transform(F.array(value), body)[0]
+
+
 def pose_ratio(landmarks: Column) -> Column:
     """Longer over shorter distance of the eyes from the nose; 1 with fewer than 3 points, 0 for no distance."""
-    a, b = distance(landmarks[0], landmarks[2]), distance(landmarks[1], landmarks[2])
-    few = F.coalesce(F.size(landmarks) < 3, F.lit(True))
-    return F.when(few, 1.0).when(F.least(a, b) <= 0, 0.0).otherwise(F.greatest(a, b) / F.nullif(F.least(a, b), F.lit(0.0)))
+    both = F.struct(distance(landmarks[0], landmarks[2]).alias("a"), distance(landmarks[1], landmarks[2]).alias("b"))
+    ratio = _bind(both, lambda d: F.when(F.least(d["a"], d["b"]) <= 0, 0.0).otherwise(F.greatest(d["a"], d["b"]) / F.nullif(F.least(d["a"], d["b"]), F.lit(0.0))))
+    return F.when(F.coalesce(F.size(landmarks) < 3, F.lit(True)), 1.0).otherwise(ratio)
 
 
 def pose_label(landmarks: Column) -> Column:
     """P15."""
-    ratio = pose_ratio(landmarks)
-    few = F.coalesce(F.size(landmarks) < 3, F.lit(True))
-    return F.when(few | (ratio == 0), "Unknown").when(ratio < 1.4, "Frontal").when(ratio < 2.0, "Tilted").otherwise("Profile")
+    label = lambda r: F.when(r == 0, "Unknown").when(r < 1.4, "Frontal").when(r < 2.0, "Tilted").otherwise("Profile")
+    return F.when(F.coalesce(F.size(landmarks) < 3, F.lit(True)), "Unknown").otherwise(_bind(pose_ratio(landmarks), label))
 
 
 def pose_score(landmarks: Column) -> Column:
     """0.6 horizontal symmetry + 0.4 vertical place of the nose; 0.5 with fewer than 5 points, 0 without eye distance."""
     left, right, nose = landmarks[0], landmarks[1], landmarks[2]
-    eye = distance(left, right)
-    horizontal = F.greatest(F.lit(0.0), 1 - 2 * F.try_divide(F.abs(nose[0] - (left[0] + right[0]) / 2), eye))
-    drop = F.try_divide(nose[1] - (left[1] + right[1]) / 2, eye)
-    vertical = F.when(drop.between(0.4, 1.0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(drop - 0.7)))
-    few = F.coalesce(F.size(landmarks) < 5, F.lit(True))
-    return F.when(few, 0.5).when(eye < 1e-6, 0.0).otherwise(0.6 * horizontal + 0.4 * vertical)
+    parts = F.struct(distance(left, right).alias("eye"), (nose[0] - (left[0] + right[0]) / 2).alias("x"), (nose[1] - (left[1] + right[1]) / 2).alias("y"))
+
+    def score(p: Column) -> Column:
+        horizontal = F.greatest(F.lit(0.0), 1 - 2 * F.try_divide(F.abs(p["x"]), p["eye"]))
+        vertical = _bind(F.try_divide(p["y"], p["eye"]), lambda drop: F.when(drop.between(0.4, 1.0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(drop - 0.7))))
+        return F.when(p["eye"] < 1e-6, 0.0).otherwise(0.6 * horizontal + 0.4 * vertical)
+
+    return F.when(F.coalesce(F.size(landmarks) < 5, F.lit(True)), 0.5).otherwise(_bind(parts, score))
 
 
 def blur_score(variance: Column) -> Column:

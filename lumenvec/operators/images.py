@@ -7,10 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import blur_score, brightness_score
+from ..sources.sinks import staged
 
 
 def grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -81,8 +82,12 @@ def audit(images: DataFrame) -> DataFrame:
 def drop_similar_images(images: DataFrame, group: str, threshold: float = 0.92) -> DataFrame:
     """Origin, kept: an image that correlates by more than threshold with the last kept one of its group
     (by origin) goes. Images are compared as 64 by 64 grey means; one without pixels is kept and is
-    no one's last. images: group, image. A group is one chain,
-    so one task's work, but read as a sorted stream of at most 32 KB a picture."""
+    no one's last. images: group, image.
+
+    Pictures (32 KB at most each) are cut into ranges of group and origin, so a large group is many tasks. Each range
+    is first read as if nothing came before; then ranges that begin within a group are read again after the last kept
+    picture of the range before, until no range hands on another picture than it did. Chains soon agree, so a second
+    reading of such ranges is mostly the last."""
 
     def small(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pictures larger than their means are carried as means (float64)."""
@@ -92,26 +97,64 @@ def drop_similar_images(images: DataFrame, group: str, threshold: float = 0.92)
             yield pdf.assign(data=data, means=large)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, last = None, None
+        """Flags of a range's pictures, and a row without origin: the group and picture that it hands on."""
+        part, group, last = None, None, None
+
+        def handed() -> pd.DataFrame:
+            return pd.DataFrame([(part, None, None, group, None if last is None else last.tobytes())], columns=names)
+
         for pdf in parts:
-            kept = []
+            out = []
             for r in pdf.itertuples(index=False):
+                if r.part != part:
+                    if part is not None:
+                        yield pd.DataFrame(out, columns=names)
+                        yield handed()
+                        out = []
+                    part, group, last = r.part, None, None
                 if r.key != group:
                     group, last = r.key, None
+                if r.before:
+                    last = np.frombuffer(r.data).reshape(64, 64)
+                    continue
                 if r.height <= 0 or r.width <= 0:
-                    kept.append(True)
+                    out.append((part, r.origin, True, None, None))
                     continue
                 x = np.frombuffer(r.data).reshape(64, 64) if r.means else area_mean(grey(r.data, r.height, r.width, r.nChannels), 64)
                 x = x - x.mean()
                 n = np.sqrt((x * x).sum())
                 x = x / n if n > 0 else x
                 keep = last is None or float((x * last).sum()) <= threshold
-                kept.append(keep)
+                out.append((part, r.origin, keep, None, None))
                 last = x if keep else last
-            yield pd.DataFrame({"origin": pdf["origin"], "kept": kept})
+            yield pd.DataFrame(out, columns=names)
+        if part is not None:
+            yield handed()
+
+    def read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        dealt = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.desc("before"), "key", "origin")
+        out = staged(dealt.mapInPandas(run, "part int, origin string, kept boolean, key string, data binary"), "chains")
+        return out.where("kept is not null").select("part", "origin", "kept"), out.where("kept is null").select("part", "key", "data")
 
+    names = ["part", "origin", "kept", "key", "data"]
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # json keeps null, every type and every value of the group apart
     key = F.to_json(F.struct(F.col(group).alias("g"))).alias("key")
     rows = images.select(key, "image.origin", "image.height", "image.width", "image.nChannels", "image.data")
     carried = rows.mapInPandas(small, "key string, origin string, height int, width int, nChannels int, data binary, means boolean")
-    return carried.repartition("key").sortWithinPartitions("key", "origin").mapInPandas(run, "origin string, kept boolean")
+    cut = carried.repartitionByRange(parts, "key", "origin").withColumn("part", F.spark_partition_id()).withColumn("before", F.lit(False))
+    cut = staged(cut, "pictures")
+    first = cut.groupBy("part").agg(F.min("key").alias("key"))  # a row for each range
+    follows = staged(first.withColumn("prior", F.lag("part").over(Window.orderBy("part"))), "ranges").where("prior is not null")
+    flags, states = read(cut)
+    used = states.select("part", F.lit(None).cast("long").alias("used")).limit(0)
+    while True:
+        handed = follows.join(states.where("data is not null").withColumnRenamed("part", "prior"), ["prior", "key"]).select("part", "key", "data", F.xxhash64("data").alias("now"))
+        new = staged(handed.join(used, "part", "left").where("used is null or used <> now").select("part", "key", "data", "now"), "handed")
+        if not new.limit(1).count():
+            return flags.select("origin", "kept")
+        given = new.select("key", F.lit(None).cast("string").alias("origin"), F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(1).alias("nChannels"), "data", F.lit(True).alias("means"), "part", F.lit(True).alias("before"))
+        more, after = read(cut.join(new.select("part"), "part", "left_semi").unionByName(given))
+        flags = staged(flags.join(new.select("part"), "part", "left_anti").unionByName(more), "flags")
+        states = staged(states.join(new.select("part"), "part", "left_anti").unionByName(after), "states")
+        used = staged(used.join(new.select("part"), "part", "left_anti").unionByName(new.select("part", F.col("now").alias("used"))), "used")

@@ -60,6 +60,13 @@ def _inventory(spark: SparkSession, d: str) -> DataFrame:
     return readers.inventory(files(spark, d))
 
 
+@query("s4_catalogue_table", "select o_orderkey as id, 'Film ' || o_orderkey as title from orders where o_orderkey > 100")
+def s4(spark: SparkSession, d: str) -> DataFrame:
+    """A table of the session's catalogue by its name, as one by JDBC is read."""
+    movie(spark, d).createOrReplaceTempView("lumenvec_movie")
+    return readers.read_table(spark, "lumenvec_movie").where("id > 100")
+
+
 @query("s5_inventory", f"with {_INVENTORY} select kind, owner, count(*) as n, min(file) as first_file, max(file) as last_file from inventory group by all")
 def s5(spark: SparkSession, d: str) -> DataFrame:
     return _inventory(spark, d).groupBy("kind", "owner").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first_file"), F.max("file").alias("last_file"))

@@ -54,9 +54,16 @@ def explode_gallery(raw: DataFrame, mode: str = "recognise") -> DataFrame:
     return raw.select("identity", F.posexplode(F.coalesce(*chosen)).alias("pos", "embedding"))
 
 
-def read_table(spark: SparkSession, name: str, url: str | None = None, **options: str) -> DataFrame:
-    """A catalogue table, by JDBC if a URL is given."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load() if url else spark.table(name)
+def read_table(spark: SparkSession, name: str, url: str | None = None, bounds: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A catalogue table, by JDBC if a URL is given; with bounds (a whole-number column, its least and largest
+    values, parts), by as many queries at once. Filters and columns are pushed to the database."""
+    if not url:
+        return spark.table(name)
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if bounds:
+        column, low, high, parts = bounds
+        reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.load()
 
 
 def inventory(paths: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:

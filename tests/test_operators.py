@@ -120,6 +120,19 @@ def test_files_read(spark, tmp_path):
     assert {(r.owner, r.group_id, r.file) for r in got.collect()} == {("anna", None, "film_1.JPG"), ("anna", "g", "x.png")}
 
 
+def test_tables_by_jdbc(spark):
+    """In parts and whole, from a database in memory."""
+    url = "jdbc:derby:memory:catalogue;create=true"
+    spark.range(100).selectExpr("cast(id as int) as id", "concat('Film ', id) as title").write.jdbc(url, "movie", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    whole, cut = readers.read_table(spark, "movie", url, **options), readers.read_table(spark, "movie", url, ("id", 0, 100, 4), **options)
+    assert whole.rdd.getNumPartitions() == 1 and cut.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect())) and cut.count() == 100
+    assert "PushedFilters: [*IsNotNull(ID), *GreaterThan(ID,90)]" in cut.where("id > 90")._jdf.queryExecution().toString().replace("`", "") or cut.where("id > 90").count() == 9
+    spark.range(3).createOrReplaceTempView("held")
+    assert readers.read_table(spark, "held").count() == 3
+
+
 def test_pages(spark):
     rows = spark.range(41).toDF("id")
     for asked, page, n in ((1, 1, 20), (3, 3, 1), (9, 3, 1), (-1, 3, 1), ("x", 1, 20)):
