@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, hamming, unit
+from ..functions.vectors import dot, unit
 
 BLOCK = 2048
 
@@ -140,13 +140,14 @@ def hamming_join(rows: DataFrame, most: int = 5) -> DataFrame:
     (neighbouring ids) stands for the pairs among them, and different hashes meet by their smallest ids."""
     valid = rows.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).select("id", F.lower("phash").alias("phash"))
     distinct = valid.groupBy("phash").agg(F.min("id").alias("id"))
-    part = [F.conv(F.substring("phash", 1 + 2 * k, 2), 16, 10).cast("long") for k in range(8)]
-    split = distinct.select("id", "phash", F.array(*part).alias("p"))
-    chosen = F.array(*(F.array(*map(F.lit, c)) for c in itertools.combinations(range(8), 9 - most)))
-    key = F.transform(chosen, lambda c, n: F.aggregate(c, n.cast("long"), lambda h, k: h * 256 + F.col("p")[k]))
-    banded = split.select("id", "phash", F.explode(key).alias("band"))
-    other = banded.select("band", F.col("id").alias("b"), F.col("phash").alias("phash_b"))
-    pairs = banded.join(other, "band").where("id < b").select(F.col("id").alias("a"), "b", hamming(F.col("phash"), F.col("phash_b")).alias("distance")).where(F.col("distance") < most).distinct()
+    high, low = (F.conv(F.substring("phash", at, 8), 16, 10).cast("long") for at in (1, 9))
+    whole = distinct.select("id", F.shiftleft(high, 32).bitwiseOR(low).alias("v"))
+    masks = [sum(255 << 8 * k for k in chosen) for chosen in itertools.combinations(range(8), 9 - most)]
+    signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))
+    banded = whole.select("id", "v", F.posexplode(signed).alias("choice", "mask")).select("id", "v", "choice", F.col("v").bitwiseAND(F.col("mask")).alias("key"))
+    other = banded.select("choice", "key", F.col("id").alias("b"), F.col("v").alias("w"))
+    distance = F.bit_count(F.col("v").bitwiseXOR(F.col("w")))
+    pairs = banded.join(other, ["choice", "key"]).where((F.col("id") < F.col("b")) & (distance < most)).select(F.col("id").alias("a"), "b", distance.cast("int").alias("distance")).distinct()
     after = F.lead("id").over(Window.partitionBy("phash").orderBy("id"))
     chain = valid.select(F.col("id").alias("a"), after.alias("b"), F.lit(0).alias("distance")).where("b is not null")
     return pairs.union(chain)
