@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, licenses, near_dup, quality, quotes, records, tree_bpe, url_tree, warc
+from . import decontaminate, flac, licenses, near_dup, prefix_trie, quality, quotes, records, tree_bpe, url_tree, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_columns": flac.op1_flac_columns,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_length_delimited_records": records.op8_length_delimited_records,
     "op9_quotation_links": quotes.op9_quotation_links,
     "op10_template_tree": url_tree.op10_template_tree,
+    "op11_euler_tour_trie": prefix_trie.op11_euler_tour_trie,
+    "op12_cholesky_jacobi_whitening": whitening.op12_cholesky_jacobi_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
