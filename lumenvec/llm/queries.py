@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, licenses, near_dup, prefix_trie, quality, quotes, records, tree_bpe, url_tree, warc, whitening
+from . import class_lm, decontaminate, flac, licenses, near_dup, prefix_trie, quality, quotes, records, tree_bpe, url_tree, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_columns": flac.op1_flac_columns,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_tree": url_tree.op10_template_tree,
     "op11_euler_tour_trie": prefix_trie.op11_euler_tour_trie,
     "op12_cholesky_jacobi_whitening": whitening.op12_cholesky_jacobi_whitening,
+    "op13_brown_class_lm": class_lm.op13_brown_class_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
