@@ -304,7 +304,7 @@ def read_documents(docs: DataFrame, known: Words, classes: np.ndarray, m: np.nda
                 offsets = np.searchsorted(cell // k // len(dictionary), np.arange(rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([word, pa.array((cell % k).astype(np.int32)), pa.array(n)], fields=list(tail.value_type)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key + np.arange(rows)), part.column(0), part.column(1), pa.array(np.diff(ends)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), lists],
+                    [pa.array(key + np.arange(rows)), part.column(0), part.column(1), pa.array(np.diff(ends)), *(pa.array(x.astype(t)) for x, t in zip(sums, (np.int64, np.float64, np.float64), strict=True)), lists],
                     ["key", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail"],
                 )
                 key += rows

@@ -288,3 +288,48 @@ def prefix_trie(conversations: DataFrame, rows: int = ROWS, rest: int = REST) ->
 def op11_euler_tour_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+with t as (
+  select conv_id, octet_length(encode(coalesce(text, ''))) as bytes, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as said,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as rank
+  from conversations where conv_id is not null
+), z as (
+  select conv_id, conv_id - conv_id % 5 as base, count(*) as size, xor(4294967295, list_reduce(
+    list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda d, i: case when d & 1 = 1 then xor(d >> 1, 3988292384) else d >> 1 end)))) % 9 as h
+  from t group by conv_id
+), l as (
+  select z.conv_id, z.base, z.h, least(z.h, coalesce(b.size, 0)) as first, least(z.h, coalesce(b.size, 0)) + greatest(z.size - z.h, 0) as length
+  from z left join z b on b.conv_id = z.base
+), r as (
+  select t.conv_id, l.first + t.rank - l.h as place, said, bytes from t join l using (conv_id) where rank > h
+  union all
+  select l.conv_id, t.rank, said, bytes from t join l on t.conv_id = l.base where rank <= first
+), p as (
+  select conv_id, place as depth, bytes, md5(array_to_string(list(said) over (partition by conv_id order by place), ',')) as key from r
+  union all
+  select conv_id, 0, 0, '' from l
+), n as (
+  select key, depth, max(bytes) as bytes, min(conv_id) as conv_id, count(*) as n_convs from p group by key, depth
+), c as (
+  select n.*, u.key as up, u.conv_id as parent_conv_id from n left join p on p.conv_id = n.conv_id and p.depth = n.depth - 1 left join n u on u.key = p.key and u.depth = p.depth
+), k as (
+  select c.*, coalesce(x.n_children, 0) as n_children from c left join (select up, depth - 1 as depth, count(*) as n_children from c where depth > 0 group by all) x on x.up = c.key and x.depth = c.depth
+), s as (
+  select p.key, p.depth, sum((k.n_children = 0)::bigint) as n_leaves, sum((k.n_convs - 1) * k.bytes) as saved_tokens
+  from k join p on p.conv_id = k.conv_id and p.depth <= k.depth group by all
+), e as (
+  select p.key, p.depth, string_agg(l.conv_id::varchar, ',' order by l.conv_id) as ids from l join p on p.conv_id = l.conv_id and p.depth = l.length group by all
+), w as (
+  select k.conv_id, k.depth, k.key, row_number() over (order by path) as place from k join (
+    select c.conv_id, c.depth, list(u.conv_id order by u.depth) as path from c join p on p.conv_id = c.conv_id and p.depth <= c.depth join n u on u.key = p.key and u.depth = p.depth group by all
+  ) using (conv_id, depth)
+), d as (
+  select w.conv_id, w.depth, w.place, count(*) as within from w join p on p.key = w.key and p.depth = w.depth join k v on v.conv_id = p.conv_id and v.depth >= w.depth group by all
+)
+select k.conv_id, k.depth, k.parent_conv_id, k.n_convs, k.n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256,
+  (2 * (d.place - 1) - k.depth)::bigint as enter_at, (2 * (d.place - 1) - k.depth + 2 * d.within - 1)::bigint as exit_at
+from k join s on s.key = k.key and s.depth = k.depth left join e on e.key = k.key and e.depth = k.depth join d on d.conv_id = k.conv_id and d.depth = k.depth
+"""

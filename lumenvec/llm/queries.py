@@ -29,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc_revisits": warc.OP5_SQL,
     "op7_positional_index": decontaminate.OP7_SQL,
     "op9_quotation_links": quotes.OP9_SQL,
+    "op11_euler_tour_trie": prefix_trie.OP11_SQL,
 }
