@@ -68,15 +68,20 @@ def image_features(images: DataFrame) -> DataFrame:
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, "origin string, brightness double, blur_var double, phash string")
 
 
-def audit(images: DataFrame) -> DataFrame:
-    """Features with blur and brightness scores, and whether an earlier image (by origin) has the same or
-    nearly the same hash."""
+def audit(images: DataFrame, most_bits: int = 5) -> DataFrame:
+    """Features with blur and brightness scores, and repeats: in the order of origins, an image goes whose hash
+    is less than most_bits away from that of an earlier image that stays. An empty hash is like no other."""
+    from .maintenance import greedy_keep
     from .similarity import hamming_join
 
-    f = image_features(images)
-    told = f.withColumns({"blur_score": F.coalesce(blur_score(F.col("blur_var")), F.lit(0.0)), "brightness_score": F.coalesce(brightness_score(F.col("brightness")), F.lit(0.0)), "id": F.xxhash64("origin")})
-    repeated = hamming_join(told.select("id", "phash")).select(F.col("b").alias("id")).distinct().withColumn("repeats", F.lit(True))
-    return told.join(repeated, "id", "left").withColumn("repeats", F.coalesce("repeats", F.lit(False))).drop("id")
+    f = staged(image_features(images), "features")
+    # Numbers that ascend with origin over all ranges of a sort; they are fixed by being written.
+    placed = staged(f.select("origin", "phash").orderBy("origin").withColumn("id", F.monotonically_increasing_id()), "placed")
+    first = staged(placed.where("phash <> ''").groupBy("phash").agg(F.min("id").alias("id")), "first")
+    stays = greedy_keep(first, hamming_join(first, most_bits).where("distance > 0"))
+    goes = placed.where("phash <> ''").join(stays, "id", "left_anti").select("origin", F.lit(True).alias("repeats")).distinct()
+    scores = {"blur_score": F.coalesce(blur_score(F.col("blur_var")), F.lit(0.0)), "brightness_score": F.coalesce(brightness_score(F.col("brightness")), F.lit(0.0))}
+    return f.withColumns(scores).join(goes, "origin", "left").withColumn("repeats", F.coalesce("repeats", F.lit(False)))
 
 
 def drop_similar_images(images: DataFrame, group: str, threshold: float = 0.92) -> DataFrame:

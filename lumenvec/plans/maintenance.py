@@ -19,9 +19,9 @@ def w3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w4_greedy_dedupe")
 def w4(spark: SparkSession, d: str) -> DataFrame:
-    h = hashes(spark, d).withColumnRenamed("doc_id", "id")
-    g = gallery(spark, d).select(F.col("vec_id").alias("id"), "identity", "embedding")
-    return m.dedupe(h.join(g, "id"), alike=0.2)
+    """Texts and their copies with one bit flipped, with the vector of the text's number."""
+    h = hashes(spark, d).select(F.col("doc_id").alias("id"), "phash", (F.col("doc_id") % 1_000_000_000).alias("vec_id"))
+    return m.dedupe(h.join(gallery(spark, d).select("vec_id", "identity", "embedding"), "vec_id"), alike=0.2)
 
 
 @query("u2_merge_galleries", f"with {GALLERY} select identity, vec_id % 2 <> 0 as added, round(embedding[1], 6) as first_value, round(list_sum(embedding), 6) as total from gallery where vec_id % 2 = 0 or vec_id % 3 = 0")

@@ -341,11 +341,22 @@ def test_images(spark, tmp_path):
     assert got["flat.png"].brightness == 128 and got["flat.png"].blur_var == 0 and got["flat.png"].brightness_score > 0.95
     assert got["checker.png"].blur_score > 0.5 and all(len(r.phash) == 16 for r in got.values())
     assert got["left.png"].phash != got["right.png"].phash and got["right.png"].phash == got["right2.png"].phash
-    assert sum(r.repeats for r in (got["right.png"], got["right2.png"])) == 1
+    assert not got["right.png"].repeats and got["right2.png"].repeats
     kept = {r.origin.rsplit("/", 1)[1]: r.kept for r in images.drop_similar_images(df.withColumn("g", F.lit(1)), "g").collect()}
     assert kept["right.png"] and not kept["right2.png"] and kept["left.png"]
 
 
+def test_audit_keeps_the_first(spark):
+    """Of equal images all but the first by origin repeat; one that is near a repeat only stays."""
+    r = np.random.RandomState(4)
+    x = r.randint(0, 256, (40, 40)).astype(np.uint8)
+    images_of = lambda kept: spark.createDataFrame([((o, *y.shape, 1, 0, y.tobytes()),) for o, y in kept], "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    rows = [(o, x) for o in ("13", "10", "12", "11")] + [("0", np.zeros((0, 32), np.uint8)), ("1", np.zeros((0, 32), np.uint8)), ("2", 255 - x)]
+    got = {a.origin: a.repeats for a in images.audit(images_of(rows)).collect()}
+    assert got == {"0": False, "1": False, "2": False, "10": False, "11": True, "12": True, "13": True}
+    assert images.audit(images_of(rows).limit(0)).count() == 0
+
+
 def test_similar_images_are_a_stream(spark):
     """Groups of many batches and of large pictures, one of them null, against the chain in plain Python; no group is one frame."""
     r = np.random.RandomState(1)
