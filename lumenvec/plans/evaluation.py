@@ -14,7 +14,7 @@ pairs as (
   select a.identity = b.identity as same, list_dot_product(a.embedding, b.embedding) as s, case when a.identity = b.identity then 1.0::double else 1.0::double / (a.n * b.n) end as w
   from sized a join sized b on (a.identity = b.identity and a.pos < b.pos) or a.identity < b.identity
 ), millionths as (select same, s, w, floor(s * 1e6 + 0.5)::bigint as m from pairs)"""
-_CURVE = f"""{_PAIRS}, curve as (
+CURVE = f"""{_PAIRS}, curve as (
   select t / 100.0::double as threshold, coalesce(sum(w) filter (same and m >= t * 10000), 0) / sum(w) filter (same) as tpr, coalesce(sum(w) filter (not same and m >= t * 10000), 0) / sum(w) filter (not same) as far
   from millionths, (select unnest(range(101)) as t) group by t
 )"""
@@ -97,17 +97,17 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return s.histogram(s.similarity_counts(gallery(spark, d))).withColumn("density", F.round("density", 6))
 
 
-@query("a11_roc", f"with {_CURVE} select threshold, round(tpr, 6) as tpr, round(far, 6) as far from curve")
+@query("a11_roc", f"with {CURVE} select threshold, round(tpr, 6) as tpr, round(far, 6) as far from curve")
 def a11(spark: SparkSession, d: str) -> DataFrame:
     return s.roc(s.similarity_counts(gallery(spark, d))).withColumns({"tpr": F.round("tpr", 6), "far": F.round("far", 6)})
 
 
-@query("a12_equal_error_rate", f"with {_CURVE} select threshold, round((far + 1 - tpr) / 2, 6) as eer from curve order by round(abs(far - (1 - tpr)), 9), threshold limit 1")
+@query("a12_equal_error_rate", f"with {CURVE} select threshold, round((far + 1 - tpr) / 2, 6) as eer from curve order by round(abs(far - (1 - tpr)), 9), threshold limit 1")
 def a12(spark: SparkSession, d: str) -> DataFrame:
     return s.equal_error_rate(s.roc(s.similarity_counts(gallery(spark, d)))).withColumn("eer", F.round("eer", 6))
 
 
-@query("a13_area_under_curve", f"with {_CURVE}, p as (select far, tpr, lag(far) over (order by far, tpr) as f, lag(tpr) over (order by far, tpr) as t from curve) select round(sum((far - f) * (tpr + t) / 2), 6) as auc from p")
+@query("a13_area_under_curve", f"with {CURVE}, p as (select far, tpr, lag(far) over (order by far, tpr) as f, lag(tpr) over (order by far, tpr) as t from curve) select round(sum((far - f) * (tpr + t) / 2), 6) as auc from p")
 def a13(spark: SparkSession, d: str) -> DataFrame:
     return s.area_under_curve(s.roc(s.similarity_counts(gallery(spark, d)))).withColumn("auc", F.round("auc", 6))
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as m
+from ..operators import similarity
 from ..sources import sinks
+from .evaluation import CURVE
 from .registry import query
 from .tables import CATALOGUE, DETECTION, FACE_GROUP, GALLERY, actor, detection, face_group, gallery, hashes, movie, movie_cast, with_vectors
 
@@ -106,12 +108,17 @@ def m9(spark: SparkSession, d: str) -> DataFrame:
     return _keys(grown, "gallery", "identity", "file").union(_keys(links, "cast", "movie_id", "actor_id"))
 
 
-@query("k1_versioned_gallery", f"with {GALLERY} select identity, pos, 2 as version from gallery where vec_id % 2 = 0")
+@query("k1_versioned_gallery", f"with {GALLERY} select identity, pos, 2 as version, true as refused from gallery where vec_id % 2 = 0")
 def k1(spark: SparkSession, d: str) -> DataFrame:
-    g, root = gallery(spark, d), sinks.shared_dir(spark, "gallery")
-    sinks.publish_gallery(g, root)
-    sinks.publish_gallery(g.where("vec_id % 2 = 0"), root)
-    return sinks.read_gallery(spark, root).select("identity", "pos", F.lit(sinks.current_version(spark, root)).alias("version"))
+    """Two versions; a third one that is based on the first is refused."""
+    g, root, refused = gallery(spark, d), sinks.shared_dir(spark, "gallery"), False
+    first = sinks.publish_gallery(g, root)
+    sinks.publish_gallery(g.where("vec_id % 2 = 0"), root, based_on=first)
+    try:
+        sinks.publish_gallery(g.where("vec_id % 2 = 1"), root, based_on=first)
+    except sinks.Conflict:
+        refused = True
+    return sinks.read_gallery(spark, root).select("identity", "pos", F.lit(sinks.current_version(spark, root)).alias("version"), F.lit(refused).alias("refused"))
 
 
 @query("k2_upsert_groups", f"with {DETECTION}, {FACE_GROUP} select movie_id, group_id, case when movie_id % 2 = 0 then face_count + 1000 else face_count end as face_count from face_group")
@@ -122,7 +129,12 @@ def k2(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("movie_id").cast("long").alias("movie_id"), "group_id", "face_count")
 
 
-@query("k3_kept_report", f"with {GALLERY} select identity, count(*) as vectors from gallery group by 1")
+@query("k3_kept_report", f"with {CURVE} select threshold, round(tpr, 6) as tpr, round(far, 6) as far, true as kept from curve")
 def k3(spark: SparkSession, d: str) -> DataFrame:
-    counts = gallery(spark, d).groupBy("identity").agg(F.count(F.lit(1)).alias("vectors"))
-    return spark.read.parquet(sinks.keep_report({"sizes": counts}, sinks.shared_dir(spark, "reports"), 4, 1000)["sizes"])
+    """The evaluation of a gallery's version, made once and read the second time."""
+    root, g = sinks.shared_dir(spark, "reports"), gallery(spark, d)
+    make = lambda: {"roc": similarity.roc(similarity.similarity_counts(g))}
+    parameters = {"report": "roc", "version": 1}
+    sinks.kept_report(spark, root, parameters, make)
+    tables, kept = sinks.kept_report(spark, root, parameters, make)
+    return tables["roc"].select("threshold", F.round("tpr", 6).alias("tpr"), F.round("far", 6).alias("far"), F.lit(kept).alias("kept"))

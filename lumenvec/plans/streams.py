@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gates, images, similarity
-from ..sources.sinks import publish_gallery, shared_dir
+from ..sources.readers import read_images
+from ..sources.sinks import publish_gallery, shared_dir, write_images
 from ..streaming import folds, jobs
 from .registry import query
 from .scalars import _NAMES, REASON, named
@@ -155,6 +156,19 @@ def i3(spark: SparkSession, d: str) -> DataFrame:
     return images.audit(_pictures(spark, d)).select("origin", "phash", F.round("blur_score", 6).alias("blur_score"), F.round("brightness_score", 6).alias("brightness_score"), "repeats")
 
 
+@query("s6_image_files", """select doc_id::varchar as name, ceil(octet_length(encode(text)) / 32)::int as height, 32 as width, 1 as channels,
+  list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::int))::bigint as grey_sum from documents where text <> ''""")
+def s6(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's bytes as a PNG file, read back as pictures."""
+    root = shared_dir(spark, "images")
+    p = F.col("image")
+    write_images(_pictures(spark, d).select(p["origin"].alias("name"), p["height"].alias("height"), p["width"].alias("width"), p["nChannels"].alias("nChannels"), p["data"].alias("data")), root)
+    read = read_images(spark, root)
+    sizes = read.select(p["origin"].alias("origin"), p["height"].alias("height"), p["width"].alias("width"), p["nChannels"].alias("channels"))
+    sums = F.round(F.col("brightness") * F.col("height") * F.col("width")).cast("long").alias("grey_sum")
+    return sizes.join(images.image_features(read), "origin").select(F.regexp_extract("origin", r"-([^-/]*)\.png$", 1).alias("name"), "height", "width", "channels", sums)
+
+
 @query("w7_similar_images")
 def w7(spark: SparkSession, d: str) -> DataFrame:
     return images.drop_similar_images(_pictures(spark, d), "source")

@@ -81,8 +81,8 @@ def read_inventory(spark: SparkSession, root: str, **options: object) -> DataFra
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Spark's image struct, BGR bytes."""
-    return spark.read.format("image").load(root)
+    """Spark's image struct, BGR bytes, of all pictures in and below a folder; files that are no pictures go."""
+    return spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root)
 
 
 def read_detections(spark: SparkSession, path: str, schema: str, streaming: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -271,7 +272,63 @@ def test_versions(spark, tmp_path):
     for n in (3, 5):
         sinks.publish_gallery(spark.range(n), root)
     assert sinks.current_version(spark, root) == 2 and sinks.read_gallery(spark, root).count() == 5
-    assert spark.read.parquet(f"{root}/version=1").count() == 3
+    assert sinks.read_gallery(spark, root, 1).count() == 3
+    with pytest.raises(sinks.Conflict):
+        sinks.publish_gallery(spark.range(9), root, based_on=1)
+    assert sinks.publish_gallery(spark.range(7), root, based_on=2, keep=2) == 3
+    assert sorted(sinks.versions(spark, root)) == [2, 3] and sinks.read_gallery(spark, root).count() == 7
+    assert sinks.retire(spark, root, 2) == []
+
+
+def test_publishers_at_once_lose_no_version(spark, tmp_path):
+    root = f"file:{tmp_path}/g"
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: (sinks.publish_gallery(spark.range(n), root), n), range(1, 9)))
+    assert sorted(v for v, _ in got) == list(range(1, 9))
+    assert all(sinks.read_gallery(spark, root, v).count() == n for v, n in got)
+
+
+def test_one_of_two_claims_holds(spark, tmp_path):
+    path = f"file:{tmp_path}/one"
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda n: sinks.claim(spark, path, str(n)), range(16))) == 1
+    assert not list(tmp_path.glob("*.tmp"))
+
+
+def test_reports_are_kept_for_an_hour(spark, tmp_path):
+    root, made, clock = f"file:{tmp_path}/r", [], [1000.0]
+
+    def report(**parameters):
+        def make():
+            made.append(parameters)
+            return {"a": spark.range(len(made)), "b": spark.range(0)}
+
+        tables, kept = sinks.kept_report(spark, root, parameters, make, now=lambda: clock[0])
+        return tables["a"].count(), tables["b"].count(), kept
+
+    assert report(least=4, version=1) == (1, 0, False)
+    assert report(version=1, least=4) == (1, 0, True)
+    assert report(least=4, version=2) == (2, 0, False)
+    clock[0] += 3599
+    assert report(least=4, version=1) == (1, 0, True)
+    clock[0] += 1
+    assert report(least=4, version=1) == (3, 0, False) and report(least=4, version=1) == (3, 0, True)
+    assert len(made) == 3
+    assert sinks.forget_reports(spark, root, now=lambda: clock[0]) == 2
+    assert report(least=4, version=1) == (3, 0, True) and report(least=4, version=2) == (4, 0, False)
+
+
+def test_image_files(spark, tmp_path):
+    """Grey and coloured pictures, one of one pixel, equal and odd names, and one without pixels."""
+    r = np.random.RandomState(2)
+    rows = [("a/b", 5, 7, 1), ("a/b", 5, 7, 1), (None, 1, 1, 1), ("colour", 4, 3, 3), ("none", 0, 32, 1), ("x" * 300, 2, 2, 3)]
+    data = [(n, h, w, c, r.randint(0, 256, h * w * c).astype(np.uint8).tobytes()) for n, h, w, c in rows]
+    df = spark.createDataFrame(data, "name string, height int, width int, nChannels int, data binary")
+    written = sinks.write_images(df.repartition(2), f"file:{tmp_path}/images")
+    assert written.count() == 5
+    (tmp_path / "images" / "broken.png").write_bytes(b"no picture")
+    got = [(x.height, x.width, x.nChannels, bytes(x.data)) for x in readers.read_images(spark, f"file:{tmp_path}/images").select("image.*").collect()]
+    assert sorted(got) == sorted(x[1:] for x in data if x[1])
 
 
 def faces_of(spark, rows):
