@@ -59,8 +59,8 @@ ADDED = 0.1
 END = " end"
 LONG = 32
 #: (word, n) rows that a task holds before it sums them up.
-HELD = 1 << 20
-SLICE = 8 << 20
+HELD = 1 << 19
+SLICE = 4 << 20
 
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -163,24 +163,46 @@ def head_pairs(docs: DataFrame, known: Words) -> DataFrame:
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
-    """word and its neighbours (side 0: before, 1: after); a head word has at most as many a side as there are."""
-    both = pairs.where("w >= 0").select(F.inline(F.array(F.struct(F.col("w").alias("word"), F.lit(0).alias("side"), F.col("v").alias("other"), "n"), F.struct(F.col("v").alias("word"), F.lit(1).alias("side"), F.col("w").alias("other"), "n"))))
-    return both.groupBy("word").agg(F.collect_list(F.struct("side", "other", "n")).alias("near"))
+    """word, its neighbours before and after as packed numbers (ids of 32 bits, counts of 64) and others, how often a
+    word that is no head word follows. A head word has at most as many neighbours a side as there are head words, so a
+    row is bounded. Packed rows are read in every round; they cost a copy, not a conversion of each neighbour."""
+    both = F.inline(F.array(F.struct(F.col("w").alias("word"), F.lit(0).alias("side"), F.col("v").alias("other"), "n"), F.struct(F.col("v").alias("word"), F.lit(1).alias("side"), F.col("w").alias("other"), "n")))
+    lists = pairs.select(both).where("word >= 0").groupBy("word").agg(F.collect_list(F.struct("side", "other", "n")).alias("near"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = batch.column(1)
+            ends, flat = near.offsets.to_numpy(), near.values
+            side, other, n = (flat.field(i).to_numpy() for i in range(3))
+            out: list[list] = [[], [], [], [], []]
+            for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+                o, c, before = other[a:b], n[a:b], side[a:b] == 0
+                after = ~before & (o >= 0)
+                for x, v in zip(out, (o[before].tobytes(), c[before].tobytes(), o[after].tobytes(), c[after].tobytes(), int(c[~before & (o < 0)].sum())), strict=True):
+                    x.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in out[:4]), pa.array(out[4], pa.int64())], ["word", "before", "before_n", "after", "after_n", "others"])
+
+    return lists.mapInArrow(pack, "word int, before binary, before_n binary, after binary, after_n binary, others long")
 
 
-def class_counts(pairs: DataFrame, classes: np.ndarray, k: int = CLASSES) -> np.ndarray:
+def _unpacked(ids: bytes, counts: bytes, classes: np.ndarray, k: int) -> np.ndarray:
+    return np.bincount(classes[np.frombuffer(ids, np.int32)], np.frombuffer(counts, np.int64), k)
+
+
+def class_counts(near: DataFrame, classes: np.ndarray, k: int = CLASSES) -> np.ndarray:
     """Counts of class pairs, and in column k those of words that are no head words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * (k + 1), np.int64)
+        total = np.zeros((k, k + 1), np.int64)
         for batch in batches:
-            v, w, n = (batch.column(i).to_numpy() for i in range(3))
-            np.add.at(total, classes[v] * (k + 1) + np.where(w >= 0, classes[np.maximum(w, 0)], k), n)
+            for word, ids, counts, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[classes[word], :k] += _unpacked(ids, counts, classes, k).astype(np.int64)
+                total[classes[word], k] += others
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["cell", "n"])
 
     out = np.zeros(k * (k + 1), np.int64)
-    for r in pairs.select("v", "w", "n").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # k * (k + 1) rows at most
+    for r in near.select("word", "after", "after_n", "others").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # k * (k + 1) rows at most
         out[r[0]] = r[1]
     return out.reshape(k, k + 1)
 
@@ -218,24 +240,20 @@ def moves(near: DataFrame, classes: np.ndarray, m: np.ndarray, turn: int, share:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            ends, flat = lists.offsets.to_numpy(), lists.values
-            side, other, n = (flat.field(i).to_numpy() for i in range(3))
             found: list[tuple[int, int, float]] = []
-            for word, a, b in zip(batch.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+            for word, before, before_n, after, after_n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if word == 0 or not _drawn(word, turn, share):
                     continue
-                o, c, before = other[a:b], n[a:b], side[a:b] == 0
-                of, own = classes[o], int(classes[word])
-                left, right = (np.bincount(of[x], c[x], k) for x in (before, ~before))
-                g = gains(m, own, left, right, int(c[before & (o == word)].sum()))
+                own = int(classes[word])
+                twin = np.frombuffer(before_n, np.int64)[np.frombuffer(before, np.int32) == word].sum()
+                g = gains(m, own, _unpacked(before, before_n, classes, k), _unpacked(after, after_n, classes, k), int(twin))
                 best = 1 + int(np.argmax(g[1:]))
                 if g[best] > g[own] + 1e-6:
                     found.append((word, best, float(g[best] - g[own])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["word", "class", "gain"])
 
-    rows = near.select("word", "near").mapInArrow(run, "word int, class int, gain double").toPandas()  # 1 / HEAD rows at most
+    rows = near.select("word", "before", "before_n", "after", "after_n").mapInArrow(run, "word int, class int, gain double").toPandas()  # 1 / HEAD rows at most
     return rows["word"].to_numpy(), rows["class"].to_numpy(), float(rows["gain"].sum())
 
 
@@ -248,7 +266,7 @@ def exchanged(pairs: DataFrame, heads: int, k: int = CLASSES, rounds: int = ROUN
     """(class of each head word, counts of class pairs, likelihood at the start and after each round)."""
     classes = np.where(np.arange(heads) == 0, 0, 1 + (np.arange(heads) - 1) % (k - 1))
     near = staged(neighbours(pairs), "neighbours")
-    m, share = class_counts(pairs, classes, k), DRAWN
+    m, share = class_counts(near, classes, k), DRAWN
     seen = [likelihood(m[:, :k])]
     for turn in range(rounds):
         words_, to, promised = moves(near, classes, m[:, :k], turn, share, k)
@@ -256,7 +274,7 @@ def exchanged(pairs: DataFrame, heads: int, k: int = CLASSES, rounds: int = ROUN
             break
         moved = classes.copy()
         moved[words_] = to
-        after = class_counts(pairs, moved, k)
+        after = class_counts(near, moved, k)
         gained = likelihood(after[:, :k]) - seen[-1]
         settled = len(words_) * 256 < SETTLED * heads * share
         if gained < KEPT_PROMISE * promised:
@@ -338,8 +356,7 @@ def scored(docs: DataFrame, head: float = HEAD, k: int = CLASSES, rounds: int =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark, texts = docs.sparkSession, _documents(docs)
     known = vocabulary(texts, head)
-    pairs = staged(head_pairs(texts, known), "pairs")
-    classes, m, _ = exchanged(pairs, len(known.head), k, rounds)
+    classes, m, _ = exchanged(head_pairs(texts, known), len(known.head), k, rounds)
     read = staged(read_documents(texts, known, classes, m), "read")
     others = read.select("key", "held_out", F.inline("tail"))
     tails = staged(tail_classes(others.where("not held_out").select("word", "g", "n"), m), "tail_classes")

@@ -280,7 +280,8 @@ def test_op13_exchange_gain(spark):
     n = rng.poisson(2.0, size=(12, 12))
     pairs = staged(spark.createDataFrame([(int(v), int(w), int(n[v, w])) for v in range(12) for w in range(12) if n[v, w]], "v int, w int, n long"), "pairs")
     classes = np.array([0, 1, 2, 3, 1, 2, 3, 1, 2, 3, 1, 2])
-    m = class_lm.class_counts(pairs, classes, 4)[:, :4]
+    near = class_lm.neighbours(pairs)
+    m = class_lm.class_counts(near, classes, 4)[:, :4]
     plain = np.zeros((4, 4), np.int64)
     np.add.at(plain, (classes[:, None], classes[None, :]), n)
     assert (m == plain).all()
@@ -293,7 +294,6 @@ def test_op13_exchange_gain(spark):
             after = np.zeros((4, 4), np.int64)
             np.add.at(after, (moved[:, None], moved[None, :]), n)
             assert g[b] - g[classes[word]] == pytest.approx(class_lm.likelihood(after) - class_lm.likelihood(m), abs=1e-8)
-    near = class_lm.neighbours(pairs)
     words, to, gain = class_lm.moves(near, classes, m, 0, 256, 4)
     assert len(words) and gain > 0 and 0 not in words and 0 not in to
 
