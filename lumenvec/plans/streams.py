@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gates, images, similarity
 from ..sources.readers import read_images
 from ..sources.sinks import publish_gallery, shared_dir, write_images
-from ..streaming import folds, jobs
+from ..streaming import folds, jobs, tracks
+from ..streaming.status import current, run_job, statuses
 from .registry import query
 from .scalars import _NAMES, REASON, named
 from .tables import DETECTION, FACE_GROUP, GALLERY, HEIGHT, WIDTH, detection, face_group, gallery, table, with_vectors
@@ -40,10 +43,21 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
     return folds.fold_batch(_faces(spark, d), "session", folds.Tracking).drop("smoothed")
 
 
+@query("x2_tracking_stream")
+def x2_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a stream, slice by slice; rows that come late have a folder of their own (none do here)."""
+    feed = jobs.Feed(_faces(spark, d), "faces", slices=3)
+    out, late = shared_dir(spark, "tracks"), shared_dir(spark, "late")
+    with tracks.state_of_keys(spark):
+        stream = tracks.tracked(feed.whole(), "session")
+        jobs.drain_batches(stream, tracks.split_late(stream, out, late), shared_dir(spark, "state"))
+    return spark.read.parquet(out).drop("batch", "smoothed")
+
+
 @query("x3_smoothed_tracks")
 def x3(spark: SparkSession, d: str) -> DataFrame:
-    tracks = folds.fold_batch(_faces(spark, d), "session", folds.Tracking)
-    return tracks.select("session", "det_id", "track", F.round(F.col("smoothed")[0], 6).alias("first_value"), F.round(F.aggregate("smoothed", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    found = folds.fold_batch(_faces(spark, d), "session", folds.Tracking)
+    return found.select("session", "det_id", "track", F.round(F.col("smoothed")[0], 6).alias("first_value"), F.round(F.aggregate("smoothed", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("x4_names_and_guests")
@@ -77,8 +91,9 @@ def x6(spark: SparkSession, d: str) -> DataFrame:
     """Tracks over a stream in the order of time; after each slice, sessions that have been idle are forgotten, and
     count their tracks from 0 when they come back."""
     feed = jobs.Feed(_faces(spark, d, F.col("ts").cast("timestamp").alias("ts")).withColumn("at", F.unix_millis("ts")), "timed", by="at")
-    stream = folds.fold_stream(feed.stream, "session", folds.Tracking, idle_ms=IDLE_MS).drop("smoothed", "score")
-    return jobs.drain(stream, shared_dir(spark, "tracks"), shared_dir(spark, "state"), feed=feed)
+    with tracks.state_of_keys(spark):
+        stream = tracks.tracked(feed.stream, "session", idle_ms=IDLE_MS).select("session", "det_id", "frame", "track", "late")
+        return jobs.drain(stream, shared_dir(spark, "tracks"), shared_dir(spark, "state"), feed=feed)
 
 
 _FACES = f"""{DETECTION}, face as (
@@ -109,12 +124,14 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("probe", F.col("batch").cast("int").alias("batch"), "name", F.round("sim", 6).alias("sim"))
 
 
-@query("k4_progress", f"""with {DETECTION}, s as (select session, {_NAMES} as name, floor((frame - min(frame) over ()) * 4 / (max(frame) over () - min(frame) over () + 1))::int as batch from detection)
-select batch, session, name, count(*) as n, 'running' as status from s group by all""")
+@query("k4_progress", f"""with {DETECTION}, s as (select session, {_NAMES} as name, floor((frame - min(frame) over ()) * 4 / (max(frame) over () - min(frame) over () + 1))::int as batch from detection),
+b as (select batch, sum(count(*)) over (order by batch) * 100.0::double / sum(count(*)) over () as percent from s group by 1)
+select batch, session, name, count(*) as n, case when batch = 3 then 'completed' else 'running' end as status, round(case when batch = 3 then 100.0::double else least(99.0::double, percent) end, 6) as percent
+from s join b using (batch) group by batch, session, name, percent""")
 def k4(spark: SparkSession, d: str) -> DataFrame:
-    """All snapshots, one for each batch."""
-    snapshots = jobs.progress(jobs.Feed(named(spark, d).select("session", "frame", "name"), "named"))
-    return snapshots.select(F.col("batch").cast("int").alias("batch"), "session", "name", "n", "status")
+    """All snapshots, one for each batch, with status and percent by the stream's own events."""
+    told = jobs.snapshots(*jobs.progress(jobs.Feed(named(spark, d).select("session", "frame", "name"), "named")))
+    return told.select(F.col("batch").cast("int").alias("batch"), "session", "name", "n", "status", F.round("percent", 6).alias("percent"))
 
 
 @query("s7_detection_stream", f"with {DETECTION} select det_id, session, frame from detection where {REASON} = 'passed'")
@@ -123,12 +140,31 @@ def s7(spark: SparkSession, d: str) -> DataFrame:
     return jobs.drain(feed.stream.select("det_id", "session", "frame"), shared_dir(spark, "drained"), shared_dir(spark, "state"), feed=feed)
 
 
-@query("x8_job_status", f"""with {DETECTION}, {FACE_GROUP}, j as (select distinct user_id as movie_id, case user_id % 5 when 0 then 'running' when 1 then 'error' end as status from events), g as (select distinct movie_id from face_group where movie_id % 3 = 0)
+@query("x8_job_status", f"""with {DETECTION}, {FACE_GROUP}, j as (select c_custkey as movie_id, case c_custkey % 5 when 0 then 'completed' when 1 then 'error' end as status from customer), g as (select distinct movie_id from face_group)
 select j.movie_id, coalesce(status, case when g.movie_id is not null then 'completed' end, 'unknown') as status from j left join g using (movie_id)""")
 def x8(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("user_id") % 5
-    stored = table(spark, d, "events").select(F.col("user_id").alias("movie_id"), F.when(k == 0, "running").when(k == 1, "error").alias("status")).distinct()
-    return jobs.job_status(stored, face_group(spark, d).where("movie_id % 3 = 0"))
+    """Two jobs take the faces of a fifth of the movies each; the second one fails in its first batch. Movies without
+    a job have completed if they have groups."""
+    root, faces = shared_dir(spark, "status"), detection(spark, d).select("session", "frame", "det_id")
+
+    def fail(batch: DataFrame, number: int) -> None:
+        raise ValueError("no such film")
+
+    for k, write in ((0, progress_of_groups(shared_dir(spark, "groups"))), (1, fail)):
+        feed = jobs.Feed(faces.where(F.col("session") % 5 == k), "faces", slices=2)
+        run_job(feed.whole(), write, shared_dir(spark, "state"), root, str(k), feed.rows.count())
+    movies = table(spark, d, "customer").select(F.col("c_custkey").alias("movie_id"), (F.col("c_custkey") % 5).cast("string").alias("job"))
+    told = current(statuses(spark, root)).select("job", "status")  # a row for each job
+    return jobs.job_status(movies.join(F.broadcast(told), "job", "left"), face_group(spark, d))
+
+
+def progress_of_groups(path: str) -> Callable[[DataFrame, int], None]:
+    """A job's work: faces by movie, a folder a batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy("session").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
 
 
 def _pictures(spark: SparkSession, d: str) -> DataFrame:

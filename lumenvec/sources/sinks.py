@@ -218,6 +218,6 @@ def progress_sink(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, number: int) -> None:
         counts = batch.groupBy("session", "name").agg(F.count(F.lit(1)).alias("n")).orderBy("session", F.desc("n"), "name")
-        counts.withColumn("status", F.lit("running")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write

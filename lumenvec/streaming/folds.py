@@ -61,8 +61,8 @@ def smooth(buffer: list[np.ndarray]) -> np.ndarray:
 
 class Tracking:
     """The track with the best 0.6 overlap + 0.4 likeness, of those seen within gap frames, that
-    overlap by 0.1 and are alike by 0.3; over 0.3 it takes the face. A track keeps buffer vectors and is
-    forgotten after idle frames."""
+    overlap by 0.1 and are alike by 0.3; over 0.3 it takes the face. A track keeps buffer vectors, their smoothed
+    vector beside them, and is forgotten after idle frames. tracks.Tracker is the same over a stream's state."""
 
     schema = "det_id long, frame long, track int, score double, smoothed array<double>"
 
@@ -73,19 +73,20 @@ class Tracking:
         v, frame = row["embedding"], row["frame"]
         self.tracks = {k: t for k, t in self.tracks.items() if frame - t[1] <= self.idle}
         best, at = -1.0, None
-        for k, (box, seen, held) in self.tracks.items():
+        for k, (box, seen, _, mean) in self.tracks.items():
             if frame - seen > self.gap:
                 continue
-            iou, like = overlap(row["bbox"], box), float(v @ smooth(held))
+            iou, like = overlap(row["bbox"], box), float(v @ mean)
             if iou >= 0.1 and like >= 0.3 and 0.6 * iou + 0.4 * like > best:
                 best, at = 0.6 * iou + 0.4 * like, k
         if best <= 0.3:
             at, best = self.next, 0.0
             self.next += 1
-            self.tracks[at] = (row["bbox"], frame, [])
+            self.tracks[at] = (row["bbox"], frame, [], v)
         held = [*self.tracks[at][2], v][-self.buffer :]
-        self.tracks[at] = (row["bbox"], frame, held)
-        return row["det_id"], frame, at, best, smooth(held)
+        mean = smooth(held)
+        self.tracks[at] = (row["bbox"], frame, held, mean)
+        return row["det_id"], frame, at, best, mean
 
 
 class Naming:
@@ -123,15 +124,22 @@ def _run(fold: object, rows: pd.DataFrame) -> list[tuple]:
 
 
 def fold_batch(rows: DataFrame, key: str, make: Callable[[], object]) -> DataFrame:
-    """Each key's rows folded in frame order."""
+    """Each key's rows folded in frame order. Rows come to a task sorted and are read as they come: what is held is
+    a batch and the state of one key, however many rows the key has."""
     schema = make().schema
 
-    def run(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_run(make(), pdf), columns=_names(schema))
-        out.insert(0, key, names[0])
-        return out
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, now = None, None
+        for pdf in parts:
+            out = []
+            for value, r in zip(pdf[key].tolist(), pdf.assign(embedding=[np.asarray(e, np.float64) for e in pdf["embedding"]]).to_dict("records"), strict=True):
+                if fold is None or not (value == now or (pd.isna(value) and pd.isna(now))):
+                    fold, now = make(), value
+                out.append((value, *fold.step(r)))
+            yield pd.DataFrame(out, columns=[key, *_names(schema)])
+
+    ordered = rows.repartition(F.col(key)).sortWithinPartitions(key, "frame", "det_id")
+    return ordered.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
 
 
 def fold_stream(rows: DataFrame, key: str, make: Callable[[], object], idle_ms: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.similarity import best_match
 from ..sources.sinks import progress_sink, read_gallery, shared_dir, staged
+from .status import run_job, statuses
 
 
 class Feed:
@@ -30,6 +31,13 @@ class Feed:
     def _write(self, k: int) -> None:
         self.rows.where(self.slice == k).write.mode("append").parquet(self.path)
 
+    def whole(self) -> DataFrame:
+        """All slices at once as a stream of one slice a batch."""
+        path = shared_dir(self.rows.sparkSession, "slices")
+        for k in range(self.slices):
+            self.rows.where(self.slice == k).coalesce(1).write.mode("append").parquet(path)
+        return self.rows.sparkSession.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
     def __iter__(self) -> Iterator[int]:
         for k in range(self.slices):
             if k:
@@ -84,15 +92,22 @@ def last_counts(feed: Feed) -> DataFrame:
     return every.join(every.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
 
 
-def progress(feed: Feed) -> DataFrame:
-    """K4: snapshots of counts, a folder a batch."""
+def progress(feed: Feed, job: str = "job") -> tuple[DataFrame, DataFrame]:
+    """K4: (snapshots of counts, a folder a batch; the status rows that the stream's own events wrote)."""
     spark = feed.stream.sparkSession
-    out = shared_dir(spark, "progress")
-    drain_batches(feed.stream, progress_sink(out), shared_dir(spark, "state"), feed=feed)
-    return spark.read.parquet(out)
+    out, root = shared_dir(spark, "progress"), shared_dir(spark, "status")
+    run_job(feed.whole(), progress_sink(out), shared_dir(spark, "state"), root, job, feed.rows.count())
+    return spark.read.parquet(out), statuses(spark, root)
+
+
+def snapshots(counts: DataFrame, status: DataFrame) -> DataFrame:
+    """K4: each batch's counts with the status and percent that its job had then: the last row about the batch."""
+    told = status.where("batch >= 0").groupBy("batch").agg(F.max_by(F.struct("status", "percent"), "seq").alias("s")).select("batch", "s.*")
+    return counts.join(F.broadcast(told), "batch")  # a row for each batch
 
 
 def job_status(jobs: DataFrame, groups: DataFrame) -> DataFrame:
-    """movie_id, status: the stored one, else completed if the movie has groups, else unknown."""
+    """movie_id, status: the one that its job's stream wrote, else completed if the movie has groups, else unknown.
+    jobs: movie_id, status (null for movies without a job)."""
     have = groups.groupBy("movie_id").agg(F.count(F.lit(1)).alias("_n"))
     return jobs.join(have, "movie_id", "left").select("movie_id", F.coalesce("status", F.when(F.col("_n") > 0, "completed"), F.lit("unknown")).alias("status"))

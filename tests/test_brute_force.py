@@ -117,9 +117,10 @@ def tracked(faces):
     return [(s, f["det_id"], *t.take(f)) for s, every in by_session(faces) for t in [Tracks()] for f in every]
 
 
-def test_tracks(spark, sf, faces):
+@pytest.mark.parametrize("name", ["x2_tracking", "x2_tracking_stream"])
+def test_tracks(spark, sf, faces, name):
     want = sorted(w[:4] for w in tracked(faces))
-    near(rows(spark, sf, "x2_tracking", "session", "det_id", "track", "score"), want, {3})
+    near(rows(spark, sf, name, "session", "det_id", "track", "score"), want, {3})
 
 
 def test_smoothed_tracks(spark, sf, faces):

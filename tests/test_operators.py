@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumenvec.functions import scores, text, vectors
 from lumenvec.operators import catalogue, gates, images, maintenance, similarity
 from lumenvec.sources import readers, sinks
-from lumenvec.streaming import folds, jobs
+from lumenvec.streaming import folds, jobs, status, tracks
 
 
 def clusters(n: int = 12, dim: int = 16, noise: float = 0.12, seed: int = 7) -> list[np.ndarray]:
@@ -381,6 +381,72 @@ def test_late_rows_are_counted(spark):
     assert sorted((r.det_id, r.late) for r in got) == [(0, 0), (1, 0), (11, 1)]
 
 
+def test_status_comes_from_the_stream(spark):
+    root = sinks.shared_dir(spark, "status")
+    df = spark.range(100).withColumnRenamed("id", "frame")
+    seen = []
+    feed = jobs.Feed(df, "rows", slices=4)
+    assert status.run_job(feed.whole(), lambda batch, n: seen.append(batch.count()), sinks.shared_dir(spark, "state"), root, "good", 100)
+    assert seen == [25, 25, 25, 25]
+
+    def fails(batch, n):
+        batch.count()  # rows that are not read are not counted
+        if n == 2:
+            raise ValueError("third batch")
+
+    assert not status.run_job(feed.whole(), fails, sinks.shared_dir(spark, "state"), root, "bad", 100)
+    empty = jobs.Feed(df.limit(0), "rows", slices=1)
+    assert status.run_job(empty.whole(), lambda batch, n: None, sinks.shared_dir(spark, "state"), root, "empty", 0)
+    told = {}
+    for r in status.statuses(spark, root).orderBy("job", "seq").collect():
+        told.setdefault(r.job, []).append((r.status, r.percent))
+    assert told["good"] == [("running", 0.0), ("running", 25.0), ("running", 50.0), ("running", 75.0), ("running", 99.0), ("completed", 100.0)]
+    assert told["bad"][-1] == ("error", 50.0) and {s for s, _ in told["bad"][:-1]} == {"running"}
+    assert told["empty"] == [("running", 0.0), ("completed", 100.0)]
+    last = {r.job: r for r in status.current(status.statuses(spark, root)).collect()}
+    assert {j: r.status for j, r in last.items()} == {"good": "completed", "bad": "error", "empty": "completed"} and "third batch" in last["bad"].message
+
+
+def streamed_tracks(spark, parts, **limits):
+    """(rows, late rows) of a stream that takes each of parts as one batch."""
+    path, out, late = (sinks.shared_dir(spark, x) for x in ("in", "out", "late"))
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    with tracks.state_of_keys(spark):
+        stream = tracks.tracked(spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path), "session", **limits)
+        jobs.drain_batches(stream, tracks.split_late(stream, out, late), sinks.shared_dir(spark, "state"))
+    return spark.read.parquet(out), spark.read.parquet(late)
+
+
+def test_tracks_in_state_equal_the_fold(spark):
+    """Over batches cut anywhere, with a ring of vectors that wraps and tracks that idle; late rows go elsewhere."""
+    r = np.random.RandomState(6)
+    x = np.concatenate(clusters(n=20))[r.permutation(100)]
+    rows = [(i % 2, i * (1 if i < 60 else 3), i, [float(k) for k in (i % 7, i % 5, i % 7 + 20, i % 5 + 20)], v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "session long, frame long, det_id long, bbox array<double>, embedding array<double>")
+    want = folds.fold_batch(df, "session", lambda: folds.Tracking(buffer=4)).orderBy("det_id").collect()
+    assert 2 < len({(w.session, w.track) for w in want}) < 100
+    old = df.where("frame in (10, 11)").withColumn("det_id", F.col("det_id") + 1000)
+    got, late = streamed_tracks(spark, [df.where("det_id < 33"), df.where("det_id between 33 and 70").union(old), df.where("det_id > 70")], buffer=4)
+    names = ["session", "det_id", "frame", "track", "score", "smoothed"]
+    assert [tuple(r[c] for c in names) for r in got.orderBy("det_id").collect()] == [tuple(w[c] for c in names) for w in want]
+    assert sorted((r.session, r.det_id) for r in late.collect()) == [(0, 1010), (1, 1011)]
+
+
+def test_idle_sessions_end_by_timer(spark):
+    """A session's state goes once the others' time is an hour ahead, though it has no row itself."""
+    def faces_at(session, det, minute):
+        one = spark.createDataFrame([(session, det, det, BOX, [1.0, 0.0])], "session long, frame long, det_id long, bbox array<double>, embedding array<double>")
+        return one.withColumn("ts", F.timestamp_seconds(F.lit(60 * minute + 1)))
+
+    parts = [faces_at(1, 0, 0).union(faces_at(2, 1, 0)), faces_at(1, 2, 1), faces_at(2, 3, 50), faces_at(2, 4, 120), faces_at(1, 5, 121), faces_at(2, 6, 122)]
+    got, late = streamed_tracks(spark, parts, idle_ms=3_600_000, gap=30, idle=60)
+    assert late.count() == 0
+    assert {r.det_id: r.track for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
+    again = got.where("det_id = 5").first()  # a new track 0 of one vector, where the old one would have joined with a score
+    assert again.score == 0.0 and got.where("det_id = 2").first().score > 0.3 and got.where("det_id = 6").first().score > 0.3
+
+
 def png(path, x: np.ndarray) -> None:
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     rows = b"".join(b"\0" + r.astype(np.uint8).tobytes() for r in x)
