@@ -62,10 +62,10 @@ class Tracker(StatefulProcessor):
         self.tracks.updateValue((track,), (box, frame, n + 1, mean.tolist()))
         return mean
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         begun = self.session.get() if self.session.exists() else (0, None, None)
         number, last, ms = begun
-        if self.idle_ms is not None and ms is not None and ms + self.idle_ms < timers.getCurrentWatermarkInMs():
+        if self.idle_ms is not None and ms is not None and ms + self.idle_ms < timerValues.getCurrentWatermarkInMs():
             self._end()  # its timer is due, and would come after these rows
             number, last, ms = 0, None, None
         pdf = pd.concat(list(rows))  # a session's rows of one batch
@@ -96,11 +96,11 @@ class Tracker(StatefulProcessor):
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             ms = max(int(pdf[~late]["ms"].max()), ms or 0)
-            self.handle.registerTimer(max(ms + self.idle_ms, timers.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(ms + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
         self.session.update((number, last, ms))
         yield self._frame(key, out)
 
-    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """The session's state goes; it starts anew when it comes back."""
         self._end()
         return iter([])
