@@ -80,19 +80,21 @@ def within_pairs(gallery: DataFrame, least: float) -> DataFrame:
     return _self_tiles(side, ["identity"], sizes, run, "identity string, i long, j long, sim double")
 
 
-def nearest(probes: DataFrame, gallery: DataFrame, k: int, per_vector: bool = True, own: str | None = None) -> DataFrame:
-    """Probe, identity, pos, sim, rank: the k best vectors of each probe (ties: identity, pos), repeated
-    names removed if per_vector; else the k best names. probes: probe, embedding. own names a column of both
-    sides: vectors of the probe's own value are left out."""
+def sides(probes: DataFrame, gallery: DataFrame, own: str | None) -> tuple[DataFrame, DataFrame]:
+    """(probe, embedding, own), (identity, pos, embedding, own); own is null if no column is named."""
     key = F.lit(None).cast("long") if own is None else F.col(own).cast("long")
-    left, right = probes.select("probe", "embedding", key.alias("own")), gallery.select("identity", "pos", "embedding", key.alias("own"))
+    return probes.select("probe", "embedding", key.alias("own")), gallery.select("identity", "pos", "embedding", key.alias("own"))
+
+
+def best_of_tile(k: int, per_vector: bool, own: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """probe, identity, pos, sim: a block's probes' k best vectors, or names, of another block."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if a.num_rows and b.num_rows:
             b = b.sort_by([("identity", "ascending"), ("pos", "ascending")])
             s = matrix(a.column("embedding")) @ matrix(b.column("embedding")).T
-            if own is not None:
+            if own:
                 s[a.column("own").to_numpy()[:, None] == b.column("own").to_numpy()[None, :]] = -np.inf
             names, pos = np.array(b.column("identity").to_pylist(), object), b.column("pos").to_numpy()
             first = np.arange(len(names)) if per_vector else np.flatnonzero(np.append(True, names[1:] != names[:-1]))
@@ -108,16 +110,30 @@ def nearest(probes: DataFrame, gallery: DataFrame, k: int, per_vector: bool = Tr
                         out.append((probe, names[place], int(pos[place]), float(best[row, x])))
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["probe", "identity", "pos", "sim"])
 
-    found = _tiles(left, right, [], run, "probe long, identity string, pos long, sim double", (left.count(), right.count()))
+    return run
+
+
+def ranked(found: DataFrame, k: int, per_vector: bool) -> DataFrame:
+    """found (of tiles) with rank, the k best of each probe; repeated names of these go."""
     if not per_vector:
         own_name = Window.partitionBy("probe", "identity").orderBy(F.desc("sim"), "pos")
         found = found.withColumn("_n", F.row_number().over(own_name)).where("_n = 1").drop("_n")
     order = Window.partitionBy("probe").orderBy(F.desc("sim"), "identity", "pos")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if per_vector:
         own_name = Window.partitionBy("probe", "identity").orderBy("rank")
-        ranked = ranked.withColumn("_n", F.row_number().over(own_name)).where("_n = 1").drop("_n")
-    return ranked
+        best = best.withColumn("_n", F.row_number().over(own_name)).where("_n = 1").drop("_n")
+    return best
+
+
+def nearest(probes: DataFrame, gallery: DataFrame, k: int, per_vector: bool = True, own: str | None = None) -> DataFrame:
+    """Probe, identity, pos, sim, rank: the k best vectors of each probe (ties: identity, pos), repeated
+    names removed if per_vector; else the k best names. probes: probe, embedding. own names a column of both
+    sides: vectors of the probe's own value are left out. Every block meets every other; cells.nearest_in_cells
+    leaves out those that cannot count."""
+    left, right = sides(probes, gallery, own)
+    found = _tiles(left, right, [], best_of_tile(k, per_vector, own is not None), "probe long, identity string, pos long, sim double", (left.count(), right.count()))
+    return ranked(found, k, per_vector)
 
 
 def best_match(probes: DataFrame, gallery: DataFrame, threshold: float, own: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import cells
 from ..operators import similarity as s
 from .registry import query
 from .tables import GALLERY, HASHES, gallery, hashes
@@ -38,21 +39,41 @@ _RANKED = f"""with {GALLERY}, r as (
 )"""
 
 
-@query("j8_best_match", f"{_RANKED} select probe, case when sim >= 0.35::double then identity else 'Unknown' end as name, round(sim, 6) as sim from r where rank = 1")
+_MATCH = f"{_RANKED} select probe, case when sim >= 0.35::double then identity else 'Unknown' end as name, round(sim, 6) as sim from r where rank = 1"
+_NEAREST = f"{_RANKED}, k as (select *, row_number() over (partition by probe, identity order by rank) as again from r where rank <= 5) select probe, identity, pos, round(sim, 6) as sim, rank from k where again = 1"
+_NAMES = f"{_RANKED}, k as (select *, row_number() over (partition by probe, identity order by rank) as again from r), n as (select *, row_number() over (partition by probe order by rank) as place from k where again = 1) select probe, identity, pos, round(sim, 6) as sim, place as rank from n where place <= 3"
+
+
+@query("j8_best_match", _MATCH)
 def j8(spark: SparkSession, d: str) -> DataFrame:
     return s.best_match(*_sides(spark, d), 0.35, own="vec_id").withColumn("sim", F.round("sim", 6))
 
 
-@query("j9_nearest", f"{_RANKED}, k as (select *, row_number() over (partition by probe, identity order by rank) as again from r where rank <= 5) select probe, identity, pos, round(sim, 6) as sim, rank from k where again = 1")
+@query("j9_nearest", _NEAREST)
 def j9(spark: SparkSession, d: str) -> DataFrame:
     return s.nearest(*_sides(spark, d), 5, own="vec_id").withColumn("sim", F.round("sim", 6))
 
 
-@query("j9_nearest_names", f"{_RANKED}, k as (select *, row_number() over (partition by probe, identity order by rank) as again from r), n as (select *, row_number() over (partition by probe order by rank) as place from k where again = 1) select probe, identity, pos, round(sim, 6) as sim, place as rank from n where place <= 3")
+@query("j9_nearest_names", _NAMES)
 def j9_names(spark: SparkSession, d: str) -> DataFrame:
     return s.nearest(*_sides(spark, d), 3, per_vector=False, own="vec_id").withColumn("sim", F.round("sim", 6))
 
 
+@query("j8_match_in_cells", _MATCH)
+def j8_cells(spark: SparkSession, d: str) -> DataFrame:
+    return cells.best_match_in_cells(*_sides(spark, d), 0.35, own="vec_id").withColumn("sim", F.round("sim", 6))
+
+
+@query("j9_nearest_in_cells", _NEAREST)
+def j9_cells(spark: SparkSession, d: str) -> DataFrame:
+    return cells.nearest_in_cells(*_sides(spark, d), 5, own="vec_id").found.withColumn("sim", F.round("sim", 6))
+
+
+@query("j9_names_in_cells", _NAMES)
+def j9_cell_names(spark: SparkSession, d: str) -> DataFrame:
+    return cells.nearest_in_cells(*_sides(spark, d), 3, per_vector=False, own="vec_id").found.withColumn("sim", F.round("sim", 6))
+
+
 @query("j10_cross_means", f"with {GALLERY} select a.identity as a, b.identity as b, count(*) as pairs, round(avg(list_dot_product(a.embedding, b.embedding)), 6) as mean from gallery a join gallery b on a.identity < b.identity group by all")
 def j10(spark: SparkSession, d: str) -> DataFrame:
     return s.cross_means(gallery(spark, d)).withColumn("mean", F.round("mean", 6))

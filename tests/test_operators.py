@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenvec.functions import scores, text, vectors
-from lumenvec.operators import catalogue, gates, images, maintenance, similarity
+from lumenvec.operators import catalogue, cells, gates, images, maintenance, similarity
 from lumenvec.sources import readers, sinks
 from lumenvec.streaming import folds, jobs, status, tracks
 
@@ -171,6 +171,32 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert pairs == sum(int((np.triu(p @ p.T, 1) >= 0.85).sum()) for p in clusters())
 
 
+@pytest.mark.parametrize("per_vector", [True, False])
+@pytest.mark.parametrize("kind", ["clusters", "spread", "equal"])
+def test_cells_lose_nothing(spark, monkeypatch, kind, per_vector):
+    """The same rows as all products give, ties included; far clusters are left out. Blocks of 16, vectors of any length."""
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(cells, "BLOCK", 16)
+    r = np.random.RandomState(8)
+    if kind == "clusters":
+        x = np.concatenate([7 * np.eye(8)[k] + r.normal(scale=0.05, size=(60, 8)) for k in range(5)])
+    else:
+        x = r.normal(size=(300, 8)) if kind == "spread" else np.ones((300, 8))
+    rows = [(f"id_{i % 40}", i // 40, i, [float(y) for y in v]) for i, v in enumerate(x)]
+    g = spark.createDataFrame(rows, "identity string, pos long, vec_id long, embedding array<double>")
+    probes = g.where("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding", "vec_id")
+    got = cells.nearest_in_cells(probes, g, 4, per_vector, own="vec_id")
+    plain = lambda df: sorted((q.probe, q.rank, q.identity, q.pos, round(q.sim, 9)) for q in df.collect())
+    assert plain(got.found) == plain(similarity.nearest(probes, g, 4, per_vector, own="vec_id")) != []
+    assert got.size == 300
+    products = {q.probe: q.products for q in got.asked.collect()}
+    assert len(products) == 15 and all(4 <= n <= 300 for n in products.values())
+    if kind == "clusters" and per_vector:
+        assert sum(products.values()) < 0.4 * 15 * 300
+    none = cells.nearest_in_cells(probes, g.limit(0), 4, per_vector, own="vec_id")
+    assert none.found.count() == 0 and cells.nearest_in_cells(probes.limit(0), g, 4, per_vector).found.count() == 0
+
+
 def test_evaluation_of_separated_clusters(spark):
     counts = similarity.similarity_counts(gallery_of(spark, clusters())).persist()
     curve = similarity.roc(counts, full=True)
