@@ -1,4 +1,4 @@
-"""Similarity joins and evaluation on vectors.
+"""Similarity joins and evaluation on vectors.
 
 Both sides of a product are cut into blocks of bounded rows; a pair of blocks is one NumPy product in
 one task, which returns what is asked for (pairs over a threshold, the best few of each probe, or counts
@@ -282,40 +282,7 @@ def area_under_curve(curve: DataFrame) -> DataFrame:
     return steps.agg(F.sum((F.col("far") - F.col("f")) * (F.col("tpr") + F.col("t")) / 2).alias("auc"))
 
 
-# ---- templates
-
-
-def templates(rows: DataFrame, key: str, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
-    """Key, template, n, centroid: spherical k-means of each group's unit vectors, k by size; starts are
-    the first vector and then the farthest ones, so results are the same each time; empty clusters start
-    anew from the vector farthest from its centroid. Groups are films' faces of one person: one task each."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pos")
-        x = matrix(group.column("embedding"))
-        n = len(x)
-        k = min(n, 1 if n < 3 else 2 if n < 8 else 3)
-        chosen = [0]
-        while len(chosen) < k:
-            chosen.append(int(np.argmax(((1 - x @ x[chosen].T) ** 2).min(axis=1))))
-        c, label = x[chosen].copy(), None
-        for _ in range(rounds):
-            sim = x @ c.T
-            now = sim.argmax(axis=1)
-            fresh = np.zeros_like(c)
-            for j in range(k):
-                own = x[now == j]
-                v = own.sum(axis=0) if len(own) else x[int(sim.max(axis=1).argmin())]
-                fresh[j] = v / (np.linalg.norm(v) or 1.0)
-            moved, same = np.abs(fresh - c).max(), label is not None and (now == label).all()
-            c, label = fresh, now
-            if same or moved < tolerance:
-                break
-        name = group.column(key)[0].as_py()
-        return pa.table([pa.array([name] * k, group.schema.field(key).type), pa.array(range(k), pa.int32()), pa.array([int((label == j).sum()) for j in range(k)], pa.int64()), pa.array(list(c), pa.list_(pa.float64()))], [key, "template", "n", "centroid"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "pos", "embedding").groupBy(key).applyInArrow(run, f"{key} {kind}, template int, n long, centroid array<double>")
+# ---- running means, smoothing, draws
 
 
 def running_means(rows: DataFrame, key: str, rate: float = 0.1) -> DataFrame:

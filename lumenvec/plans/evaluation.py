@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cells
+from ..operators import cells, templates
 from ..operators import similarity as s
 from .registry import query
 from .tables import GALLERY, HASHES, gallery, hashes
@@ -163,14 +163,14 @@ def _values(t: DataFrame) -> DataFrame:
 
 @query("a18_templates")
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    return _values(s.templates(gallery(spark, d), "identity"))
+    return _values(templates.templates(gallery(spark, d), "identity"))
 
 
 @query("a19_stored_template")
 def a19(spark: SparkSession, d: str) -> DataFrame:
     """The first template of each group's usable faces, as it is stored."""
     usable = gallery(spark, d).where("vec_id % 11 <> 0")
-    return _values(s.templates(usable, "identity").where("template = 0"))
+    return _values(templates.templates(usable, "identity").where("template = 0"))
 
 
 @query("a20_running_mean", f"""with {GALLERY}, n as (select identity, count(*) as n from gallery group by 1),

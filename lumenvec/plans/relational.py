@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..functions.text import identification_rate, quality_rate
 from ..operators import catalogue as c
-from ..operators import gates
+from ..operators import gates, trigrams
 from ..sources import readers
 from .registry import query
 from .scalars import _NAMES, _POSE, REASON, named
@@ -97,7 +97,22 @@ def f7(spark: SparkSession, d: str) -> DataFrame:
     return gates.search(actor(spark, d), "name", " 12", 20)
 
 
-@query("t4_movie_search", f"with {CATALOGUE} select id, title from movie where contains(lower(title), 'm 12') order by title limit 10")
+@query("f7_search_indexed", f"with {CATALOGUE} select id, name from actor where contains(lower(name), '_12') order by name limit 20")
+def f7_indexed(spark: SparkSession, d: str) -> DataFrame:
+    rows = actor(spark, d)
+    return trigrams.search_indexed(trigrams.build(rows, "id", "name"), rows, " 12", 20)
+
+
+_MOVIES = f"with {CATALOGUE} select id, title from movie where contains(lower(title), 'm 12') order by title limit 10"
+
+
+@query("t4_movie_search_indexed", _MOVIES)
+def t4_indexed(spark: SparkSession, d: str) -> DataFrame:
+    rows = movie(spark, d)
+    return trigrams.search_indexed(trigrams.build(rows, "id", "title"), rows, "M 12", 10, shortest=2)
+
+
+@query("t4_movie_search", _MOVIES)
 def t4(spark: SparkSession, d: str) -> DataFrame:
     return gates.search(movie(spark, d), "title", "M 12", 10, shortest=2)
 

@@ -6,10 +6,12 @@ import datetime
 import itertools
 import math
 import os
+import struct
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from lumenvec.plans import catalog, streams
 from lumenvec.plans.scalars import REASON
@@ -193,13 +195,22 @@ def test_greedy_dedupe(spark, sf, con):
     assert rows(spark, sf, "w4_greedy_dedupe", "id") == [(i,) for i, _, _ in kept]
 
 
-def spherical(x):
-    """Clusters by size as A18 says: starts far apart, then means, as unit vectors."""
+def uniform(name, pos, draw):
+    """The number that a row draws: a hash of group, place and draw."""
+    h = 42
+    for part in (name.encode(), struct.pack("<q", pos), struct.pack("<i", draw)):
+        h = xxhash.xxh64_intdigest(part, seed=h)
+    return (h % (1 << 53) + 1) / (1 << 53)
+
+
+def spherical(name, places, x):
+    """Clusters by size as A18 says: seeds drawn by squared distance, then means, as unit vectors."""
     k = min(len(x), 1 if len(x) < 3 else 2 if len(x) < 8 else 3)
-    starts = [0]
+    starts = []
     while len(starts) < k:
-        starts.append(max(range(len(x)), key=lambda i: (min((1 - float(x[i] @ x[s])) ** 2 for s in starts), -i)))
-    c, label = [x[s] for s in starts], None
+        weight = [min(((1 - float(v @ x[s])) ** 2 for s in starts), default=1.0) for v in x]
+        starts.append(min(range(len(x)), key=lambda i: (-math.log(uniform(name, places[i], len(starts))) / weight[i] if weight[i] > 0 else math.inf, places[i])))
+    c = [x[s] for s in starts]
     for _ in range(100):
         sims = [[float(v @ m) for m in c] for v in x]
         now = [max(range(k), key=lambda j: (r[j], -j)) for r in sims]
@@ -208,19 +219,19 @@ def spherical(x):
             own = [v for v, n in zip(x, now, strict=True) if n == j]
             v = sum(own) if own else x[min(range(len(x)), key=lambda i: max(sims[i]))]
             fresh.append(v / np.linalg.norm(v))
-        still = now == label or max(np.abs(a - b).max() for a, b in zip(fresh, c, strict=True)) < 1e-4
-        c, label = fresh, now
+        still = max(np.abs(a - b).max() for a, b in zip(fresh, c, strict=True)) < 1e-4
+        c = fresh
         if still:
             break
-    return [(j, label.count(j), float(c[j][0]), float(c[j].sum())) for j in range(k)]
+    return [(j, now.count(j), float(c[j][0]), float(c[j].sum())) for j in range(k)]
 
 
 @pytest.mark.parametrize("name", ["a18_templates", "a19_stored_template"])
 def test_templates(spark, sf, vectors, name):
     want = []
     for identity, group in itertools.groupby(vectors, key=lambda r: r[0]):
-        x = [v for _, _, v, k in group if name == "a18_templates" or k % 11]
-        want += [(identity, *t) for t in spherical(x) if name == "a18_templates" or t[0] == 0]
+        kept = [(p, v) for _, p, v, k in group if name == "a18_templates" or k % 11]
+        want += [(identity, *t) for t in spherical(identity, [p for p, _ in kept], [v for _, v in kept]) if name == "a18_templates" or t[0] == 0]
     near(rows(spark, sf, name, "identity", "template", "n", "first_value", "total"), sorted(want), {3, 4})
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenvec.functions import scores, text, vectors
-from lumenvec.operators import catalogue, cells, gates, images, maintenance, similarity
+from lumenvec.operators import catalogue, cells, gates, images, maintenance, similarity, templates, trigrams
 from lumenvec.sources import readers, sinks
 from lumenvec.streaming import folds, jobs, status, tracks
 
@@ -155,6 +155,20 @@ def test_search(spark):
     assert gates.search(rows, "name", "f", shortest=2).count() == 0
 
 
+def test_search_by_trigrams(spark):
+    """The plain search's rows for needles of all kinds; under three letters all rows are searched."""
+    names = ["henry_fonda", "Jane Fonda", "x", None, "fon", "FONDA fonda", "İstanbul", "a_b c", "nda jan", ""] + [f"actor {i}_{i * 7}" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    index = trigrams.build(rows, "id", "name")
+    for needle in ("Fonda", "y f", "FON", "fo", "", " ", "r 1", "actor 1", "7_49", "zzz", "a b", "ndafon", "nda j", "stanbul", "b c"):
+        want = [(r.id, r.name) for r in gates.search(rows, "name", needle).collect()]
+        assert sorted((r.id, r.name) for r in trigrams.search_indexed(index, rows, needle).collect()) == sorted(want), needle
+    assert trigrams.candidates(index, "fo") is None and trigrams.search_indexed(index, rows, "f", shortest=2).count() == 0
+    assert [r.id for r in trigrams.search_indexed(index, rows, "actor", 3).collect()] == [r.id for r in gates.search(rows, "name", "actor", 3).collect()]
+    plan = trigrams.candidates(index, "fonda")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters", 1)[1][:80]
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 7)
     g = gallery_of(spark, clusters())
@@ -227,9 +241,23 @@ def test_leave_one_out_smallest_groups(spark):
 
 def test_templates_repeat(spark):
     g = gallery_of(spark, clusters())
-    a, b = (similarity.templates(g, "identity").orderBy("identity", "template").collect() for _ in range(2))
+    a, b = (templates.templates(x, "identity").orderBy("identity", "template").collect() for x in (g, g.repartition(7)))
     assert a == b and len(a) == 15 and all(np.linalg.norm(r.centroid) == pytest.approx(1) for r in a)
-    assert {r.n for r in similarity.templates(gallery_of(spark, [clusters()[0][:2]]), "identity").collect()} == {2}
+    assert {r.n for r in templates.templates(gallery_of(spark, [clusters()[0][:2]]), "identity").collect()} == {2}
+    assert templates.templates(g.limit(0), "identity").count() == 0
+
+
+def test_templates_of_groups_cut_over_tasks(spark):
+    """Groups over largest, of all sizes, one with equal vectors only: the same as by one task each."""
+    r = np.random.RandomState(9)
+    parts = [*clusters(noise=0.4), clusters()[0][:1], clusters()[1][:2], clusters()[2][:5], np.tile([[0.6, 0.8]], (9, 8)) / np.sqrt(8), r.normal(size=(60, 16))]
+    parts[-1] /= np.linalg.norm(parts[-1], axis=1, keepdims=True)
+    g = gallery_of(spark, parts)
+    one = templates.templates(g, "identity").orderBy("identity", "template").collect()
+    for largest in (0, 10):
+        many = templates.templates(g, "identity", largest=largest).orderBy("identity", "template").collect()
+        assert [(x.identity, x.template, x.n) for x in many] == [(x.identity, x.template, x.n) for x in one]
+        assert all(np.allclose(x.centroid, y.centroid, atol=1e-9) for x, y in zip(many, one, strict=True))
 
 
 def test_running_mean_is_not_rescaled(spark):
