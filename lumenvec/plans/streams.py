@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import gates, images, similarity
 from ..sources.readers import read_images
 from ..sources.sinks import publish_gallery, shared_dir, write_images
-from ..streaming import folds, jobs, tracks
+from ..streaming import folds, inventory, jobs, tracks
 from ..streaming.status import current, run_job, statuses
 from .registry import query
 from .scalars import _NAMES, REASON, named
@@ -140,6 +140,29 @@ def s7(spark: SparkSession, d: str) -> DataFrame:
     return jobs.drain(feed.stream.select("det_id", "session", "frame"), shared_dir(spark, "drained"), shared_dir(spark, "state"), feed=feed)
 
 
+@query("j6_sync_stream", """with f2 as (
+  select 'p' || l_partkey as owner, 'order' || (l_orderkey % 50) as group_id, count(*) filter (l_linenumber <> 2) as face_count from lineitem group by all having count(*) filter (l_linenumber <> 2) > 0
+), r as (
+  select 'p' || l_partkey as owner, 'order' || (l_orderkey % 50) as group_id, count(*) as face_count from lineitem where l_partkey % 3 <> 0 group by all
+) select coalesce(f2.owner, r.owner) as owner, coalesce(f2.group_id, r.group_id) as group_id, coalesce(f2.face_count, r.face_count) as face_count,
+  case when r.owner is null then 'HIGH' end as risk_level, case when r.owner is null then 'insert' when f2.owner is null then 'delete' else 'keep' end as action
+from f2 full outer join r on f2.owner = r.owner and f2.group_id = r.group_id""")
+def j6_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of parts by order: all come in two batches, those of second lines go in a third; rows are there for two
+    of three parts."""
+    line = table(spark, d, "lineitem")
+    group = F.concat(F.lit("order"), (F.col("l_orderkey") % 50).cast("string"))
+    owner = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    path = F.concat_ws("/", F.lit("labeled_faces"), owner, group, F.concat_ws("_", "l_orderkey", "l_linenumber", F.lit(".jpg")))
+    steps = F.explode(F.when(F.col("l_linenumber") == 2, F.array(F.col("l_orderkey") % 2, F.lit(2))).otherwise(F.array(F.col("l_orderkey") % 2))).alias("step")
+    feed = jobs.Feed(line.select(path.alias("path"), steps).withColumn("removed", F.col("step") == 2), "changes", by="step", slices=3)
+    rows = line.where("l_partkey % 3 <> 0").groupBy(owner.alias("owner"), group.alias("group_id")).agg(F.count(F.lit(1)).alias("face_count"))
+    key, state, actions = ["owner", "group_id"], shared_dir(spark, "counts"), shared_dir(spark, "actions")
+    work = inventory.sync_batches(lambda: rows, key, "owner string, group_id string", state, actions)
+    jobs.drain_batches(feed.stream.select("path", "removed"), work, shared_dir(spark, "state"), feed=feed)
+    return inventory.current_actions(spark, actions, rows, key)
+
+
 @query("x8_job_status", f"""with {DETECTION}, {FACE_GROUP}, j as (select c_custkey as movie_id, case c_custkey % 5 when 0 then 'completed' when 1 then 'error' end as status from customer), g as (select distinct movie_id from face_group)
 select j.movie_id, coalesce(status, case when g.movie_id is not null then 'completed' end, 'unknown') as status from j left join g using (movie_id)""")
 def x8(spark: SparkSession, d: str) -> DataFrame:

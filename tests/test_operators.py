@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumenvec.functions import scores, text, vectors
 from lumenvec.operators import catalogue, cells, gates, images, maintenance, similarity, templates, trigrams
 from lumenvec.sources import readers, sinks
-from lumenvec.streaming import folds, jobs, status, tracks
+from lumenvec.streaming import folds, inventory, jobs, status, tracks
 
 
 def clusters(n: int = 12, dim: int = 16, noise: float = 0.12, seed: int = 7) -> list[np.ndarray]:
@@ -149,6 +149,34 @@ def test_sync(spark):
     assert got == {1: "keep", 2: "insert", 3: "delete", 4: "insert"}
 
 
+def test_sync_reads_new_files_only(spark):
+    """A second run takes what was added since, repeats nothing if it runs again, and ends as the full join does."""
+    key, schema = ["owner", "group_id"], "owner string, group_id string"
+    path, state, actions, checkpoint = (sinks.shared_dir(spark, x) for x in ("feed", "counts", "actions", "state"))
+    rows = spark.createDataFrame([("a", "g1", 3), ("b", "g1", 1), ("c", "g9", 4)], f"{schema}, face_count long")
+    feed = lambda changes: spark.createDataFrame(changes, "path string, removed boolean").coalesce(1).write.mode("append").parquet(path)
+    seen, work = [], inventory.sync_batches(lambda: rows, key, schema, state, actions)
+
+    def watched(batch, number):
+        seen.append((number, batch.count()))
+        work(batch, number)
+        work(batch, number)  # as after a failure between the write and the commit
+
+    def run():
+        stream = spark.readStream.schema("path string, removed boolean").parquet(path)
+        jobs.drain_batches(stream, watched, checkpoint)
+        return {(r.owner, r.group_id): (r.action, r.face_count) for r in inventory.current_actions(spark, actions, rows, key).collect()}
+
+    feed([("k/a/g1/1.jpg", None), ("k/a/g1/2.JPG", False), ("k/a/g2/1.jpg", False), ("k/b/g1/1.jpg", False), ("k/b/g1/1.txt", False), ("k/b/no.jpg", False)])
+    assert run() == {("a", "g1"): ("keep", 2), ("a", "g2"): ("insert", 1), ("b", "g1"): ("keep", 1), ("c", "g9"): ("delete", 4)}
+    feed([("k/a/g1/3.png", False), ("k/a/g2/1.jpg", True), ("k/b/g1/1.jpg", True), ("k/d/g1/1.jpg", False)])
+    assert run() == {("a", "g1"): ("keep", 3), ("b", "g1"): ("delete", 1), ("c", "g9"): ("delete", 4), ("d", "g1"): ("insert", 1)}
+    assert seen == [(0, 6), (1, 4)]
+    folders = inventory.counts(spark, state, key, schema).where("face_count > 0")
+    full = {(r.owner, r.group_id): (r.action, r.face_count) for r in catalogue.sync(folders, rows, key).collect()}
+    assert run() == full and len(seen) == 2
+
+
 def test_search(spark):
     rows = spark.createDataFrame([("henry_fonda",), ("Jane Fonda",), ("x",)], "name string")
     assert [r[0] for r in gates.search(rows, "name", "Y F", 5).collect()] == ["henry_fonda"]
