@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..sources.sinks import staged
-from .similarity import hamming_join, matrix, within_pairs
+from .similarity import hamming_join, matrix, most_similar, within_pairs
 
 
 def drop_repeats(faces: DataFrame, key: list[str], threshold: float = 0.95) -> DataFrame:
-    """det_id, kept: a face at least threshold like the last kept one of its group goes. One group is one
-    ordered task."""
+    """det_id, kept: a face at least threshold like the last kept one of its group goes. A group's rows come to
+    one task sorted and are read as they come; all that is held is a batch and the last kept vector."""
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("frame", "ascending"), ("det_id", "ascending")])
-        x, last, kept = matrix(group.column("embedding")), None, []
-        for v in x:
-            keep = last is None or float(v @ last) < threshold
-            kept.append(keep)
-            last = v if keep else last
-        return pa.table([group.column("det_id"), pa.array(kept, pa.bool_())], ["det_id", "kept"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            kept = []
+            for now, v in zip(zip(*(batch.column(c).to_pylist() for c in key), strict=True), matrix(pa.chunked_array([batch.column("embedding")])), strict=True):
+                if now != group:
+                    group, last = now, None
+                kept.append(last is None or float(v @ last) < threshold)
+                last = v if kept[-1] else last
+            yield pa.RecordBatch.from_arrays([batch.column("det_id"), pa.array(kept, pa.bool_())], ["det_id", "kept"])
 
-    return faces.select(*key, "frame", "det_id", "embedding").groupBy(*key).applyInArrow(run, "det_id long, kept boolean")
+    ordered = faces.select(*key, "frame", "det_id", "embedding").repartition(*key).sortWithinPartitions(*key, "frame", "det_id")
+    return ordered.mapInArrow(run, "det_id long, kept boolean")
 
 
 def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,28 +56,22 @@ def dedupe(rows: DataFrame, most_bits: int = 5, alike: float = 0.85) -> DataFram
 
 def merge_galleries(target: DataFrame, source: DataFrame, same: float = 0.9999) -> DataFrame:
     """Identity, embedding, added: the target and those source vectors that no vector of their identity,
-    earlier added ones included, equals by more than same. New identities come whole."""
-
-    def run(t: pa.Table, s: pa.Table) -> pa.Table:
-        name, fresh = (t if t.num_rows else s).column("identity")[0].as_py(), not t.num_rows
-        new = matrix(s.sort_by("pos").column("embedding")) if s.num_rows else None
-        held = matrix(t.column("embedding")) if t.num_rows else np.zeros((0, new.shape[1]))
-        rows, flags = list(held), [False] * len(held)
-        for at in range(0, 0 if new is None else len(new), 1024):
-            block = new[at : at + 1024]
-            known = (block @ held.T).max(axis=1, initial=-np.inf) > same
-            among = block @ block.T > same
-            added: list[int] = []
-            for i in range(len(block)):
-                if fresh or not (known[i] or among[i, added].any()):
-                    added.append(i)
-            rows += list(block[added])
-            flags += [True] * len(added)
-            held = held if fresh else np.concatenate([held, block[added]])
-        return pa.table([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.list_(pa.float64())), pa.array(flags, pa.bool_())], ["identity", "embedding", "added"])
-
-    side = lambda g: g.select(F.col("identity").alias("identity"), F.col("pos").alias("pos"), F.col("embedding").alias("embedding"))
-    return side(target).groupBy("identity").cogroup(side(source).groupBy("identity")).applyInArrow(run, "identity string, embedding array<double>, added boolean")
+    earlier added ones included, equals by more than same. New identities come whole. What the target holds is found
+    by tiles; of what is left, equal copies are one, and pairs over same decide in order, in rounds."""
+    t = target.select("identity", "embedding")
+    names = t.select("identity").distinct()
+    s = staged(source.select("identity", "pos", "embedding").orderBy("identity", "pos").withColumn("id", F.monotonically_increasing_id()), "source")  # numbers in order
+    fresh = s.join(names, "identity", "left_anti")
+    asked = s.join(names, "identity", "left_semi")
+    known = most_similar(asked, t, "identity", "id").where(F.col("max_sim") > same)
+    left = staged(asked.join(known.select("id"), "id", "left_anti"), "unknown")
+    itself = dot(F.col("embedding"), F.col("embedding")) > same
+    first = F.row_number().over(Window.partitionBy("identity", "embedding").orderBy("id"))
+    nodes = staged(left.withColumn("_n", first).where((F.col("_n") == 1) | ~itself).drop("_n"), "nodes")
+    pairs = within_pairs(nodes.select("identity", F.col("id").alias("pos"), "embedding"), same).where(F.col("sim") > same)
+    kept = greedy_keep(nodes, pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    added = fresh.unionByName(nodes.join(kept, "id", "left_semi").select(fresh.columns))
+    return t.withColumn("added", F.lit(False)).unionByName(added.select("identity", "embedding").withColumn("added", F.lit(True)))
 
 
 def delete_actors(actors: DataFrame, cast: DataFrame, gallery: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -112,8 +110,9 @@ def label_groups(faces: DataFrame, labels: DataFrame, key: list[str]) -> DataFra
 def append_vectors(gallery: DataFrame, rows: DataFrame, duplicate: float = 0.99, on_duplicate: str = "skip") -> DataFrame:
     """M7: gallery with rows (identity, file, embedding) appended; with skip, those more than duplicate like a
     vector of their identity are left out unless their file is new and named."""
-    have = gallery.select("identity", F.col("embedding").alias("_v"), F.col("file").alias("_f"))
-    told = rows.join(have, "identity", "left").groupBy("identity", "file").agg(F.max(dot(F.col("embedding"), F.col("_v"))).alias("_sim"), F.coalesce(F.bool_or(F.col("_f") == F.col("file")), F.lit(False)).alias("_listed"))
+    listed = gallery.select("identity", "file").distinct().withColumn("_listed", F.lit(True))
+    sims = most_similar(rows.where("file is not null"), gallery, "identity", "file").withColumnRenamed("max_sim", "_sim")
+    told = rows.select("identity", "file").distinct().join(sims, ["identity", "file"], "left").join(listed, ["identity", "file"], "left").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
     drop = (F.col("_sim") > duplicate) & (F.col("_listed") | F.coalesce(F.col("file") == "", F.lit(True)))
     kept = told.where(~F.coalesce(drop, F.lit(False))) if on_duplicate == "skip" else told
     added = rows.join(kept.select("identity", "file"), ["identity", "file"], "left_semi")

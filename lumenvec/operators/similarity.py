@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import dot, unit
 
@@ -53,6 +54,31 @@ def _self_tiles(side: DataFrame, key: list[str], sizes: DataFrame, run: Callable
     return a.groupBy(*key, "_i", "_j").cogroup(b.groupBy(*key, "_i", "_j")).applyInArrow(run, schema)
 
 
+def most_similar(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
+    """key, name, max_sim: of each name's vectors in left (key, name, embedding), the largest product with a vector of
+    right (key, embedding) of the same key; names without one have no row. Every key has blocks of its own on both
+    sides, so a key of any size is many tiles, each of which returns one number a name."""
+    blocks = lambda df, c: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c))
+    both = blocks(left, "_bi").join(blocks(right, "_bj"), key)
+    one = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    spread = lambda c: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(c)).cast("int")
+    a = left.select(key, name, "embedding").join(both, key).withColumn("_i", F.pmod(F.xxhash64(name), F.col("_bi")).cast("int")).withColumn("_j", one("_bj"))
+    b = right.select(key, "embedding").join(both, key).withColumn("_j", spread("_bj")).withColumn("_i", one("_bi"))
+    b = b.select(*(F.col(c).alias(c) for c in b.columns))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table([pa.array([], t) for t in types], [key, name, "sim"])
+        best = (matrix(x.column("embedding")) @ matrix(y.column("embedding")).T).max(axis=1)
+        return pa.table([x.column(key), x.column(name), pa.array(best)], [key, name, "sim"])
+
+    kinds = [left.schema[c].dataType for c in (key, name)]
+    types = [*(to_arrow_type(t) for t in kinds), pa.float64()]
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in zip((key, name), kinds, strict=True)) + ", sim double"
+    tiles = a.groupBy(key, "_i", "_j").cogroup(b.groupBy(key, "_i", "_j")).applyInArrow(run, schema)
+    return tiles.groupBy(key, name).agg(F.max("sim").alias("max_sim"))
+
+
 def _once(a: pa.Table, b: pa.Table, names: list[str]) -> np.ndarray:
     """Which cells of a tile are pairs that count: all of two blocks, those above the diagonal of a block with itself."""
     if a.column("_i")[0].as_py() != a.column("_j")[0].as_py():
@@ -144,8 +170,7 @@ def best_match(probes: DataFrame, gallery: DataFrame, threshold: float, own: str
 def redundancy(candidates: DataFrame, group: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Candidate, redundant, max_sim against all members of the candidate's group; none: false, 0.
     candidates: candidate, group_id, embedding; group: group_id, embedding."""
-    other = group.select("group_id", F.col("embedding").alias("_v"))
-    told = candidates.join(other, "group_id", "left").groupBy("candidate").agg(F.max(F.when(F.col("_v").isNotNull(), dot(F.col("embedding"), F.col("_v")))).alias("max_sim"))
+    told = candidates.select("candidate", "group_id").join(most_similar(candidates, group, "group_id", "candidate"), ["group_id", "candidate"], "left")
     return told.select("candidate", F.coalesce(F.col("max_sim") > threshold, F.lit(False)).alias("redundant"), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
 
 
@@ -237,6 +262,17 @@ def similarity_counts(gallery: DataFrame) -> DataFrame:
     return parts.groupBy("same", "cell").agg(*(F.sum(c).alias(c) for c in names[2:]))
 
 
+def sampled_counts(gallery: DataFrame, draws: int = 50_000, seed: int = 7) -> DataFrame:
+    """As similarity_counts, with all pairs of one identity, but of the pairs of two identities draws only (identities
+    first, then a vector of each), each of weight 1: what an evaluation of a large gallery takes."""
+    within = within_pairs(gallery, -math.inf).select(F.lit(True).alias("same"), "sim")
+    rows = within.unionByName(cross_sample(gallery, draws, seed).select(F.lit(False).alias("same"), "sim"))
+    m = F.floor(F.col("sim") * 1e6 + 0.5)
+    cell = F.greatest(F.least(F.floor(m / 10000), F.lit(101)), F.lit(-101)).cast("long")
+    one = F.lit(1.0)
+    return rows.groupBy("same", cell.alias("cell")).agg(F.sum(one).alias("n"), F.sum(one).alias("w"), F.sum("sim").alias("s1"), F.sum(F.col("sim") * F.col("sim")).alias("s2"), F.sum((m > 1_000_000).cast("double")).alias("over"))
+
+
 def similarity_stats(counts: DataFrame) -> DataFrame:
     """Same, pairs, mean, std (population)."""
     w, mean = F.sum("w"), F.sum("s1") / F.sum("w")
@@ -321,7 +357,7 @@ def cross_sample(gallery: DataFrame, draws: int = 50_000, seed: int = 7) -> Data
     count = names.count()
     if count < 2:
         return gallery.select(F.lit(0).cast("long").alias("draw"), F.col("identity").alias("a"), F.col("identity").alias("b"), F.lit(0.0).alias("sim")).limit(0)
-    u = [F.rand(seed + i) for i in range(4)]
+    u = [F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(1 << 53)) / F.lit(float(1 << 53)) for i in range(4)]  # the same draws each time
     drawn = gallery.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(u[0] * count).alias("ra"), F.floor(u[1] * (count - 1)).alias("rb"), u[2].alias("ua"), u[3].alias("ub"))
     drawn = drawn.withColumn("rb", F.when(F.col("rb") >= F.col("ra"), F.col("rb") + 1).otherwise(F.col("rb")))
     for x in "ab":

@@ -26,10 +26,10 @@ def w4(spark: SparkSession, d: str) -> DataFrame:
     return m.dedupe(h.join(gallery(spark, d).select("vec_id", "identity", "embedding"), "vec_id"), alike=0.2)
 
 
-@query("u2_merge_galleries", f"with {GALLERY} select identity, vec_id % 2 <> 0 as added, round(embedding[1], 6) as first_value, round(list_sum(embedding), 6) as total from gallery where vec_id % 2 = 0 or vec_id % 3 = 0")
+@query("u2_merge_galleries", f"with {GALLERY} select identity, vec_id % 20 = 0 as added, round(embedding[1], 6) as first_value, round(list_sum(embedding), 6) as total from gallery")
 def u2(spark: SparkSession, d: str) -> DataFrame:
     g = gallery(spark, d)
-    merged = m.merge_galleries(g.where("vec_id % 2 = 0"), g.where("vec_id % 3 = 0"))
+    merged = m.merge_galleries(g.where("vec_id % 20 <> 0"), g.where("vec_id % 20 = 0 or vec_id % 3 = 0"))
     return merged.select("identity", "added", F.round(F.col("embedding")[0], 6).alias("first_value"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
@@ -83,13 +83,13 @@ def m6(spark: SparkSession, d: str) -> DataFrame:
     return m.remove_rows(g, g.where("movie_id % 6 = 0").select("movie_id").distinct(), ["movie_id"]).select("movie_id", "group_id")
 
 
-@query("m7_append_vectors", f"with {GALLERY} select identity, file from gallery where vec_id % 2 = 0 or vec_id % 3 = 0 union all select identity, file || '_b' from gallery where vec_id % 10 = 0")
+@query("m7_append_vectors", f"with {GALLERY} select identity, file from gallery union all select identity, file || '_b' from gallery where vec_id % 10 = 0")
 def m7(spark: SparkSession, d: str) -> DataFrame:
     """New vectors come in; of those that repeat one, listed files are left out, other file names come in."""
     g = gallery(spark, d)
     again = g.where("vec_id % 10 = 0").withColumn("file", F.concat("file", F.lit("_b")))
-    rows = g.where("vec_id % 3 = 0").unionByName(again).select("identity", "file", "embedding")
-    return m.append_vectors(g.where("vec_id % 2 = 0"), rows).select("identity", "file")
+    rows = g.where("vec_id % 20 = 0 or vec_id % 3 = 0").unionByName(again).select("identity", "file", "embedding")
+    return m.append_vectors(g.where("vec_id % 20 <> 0"), rows).select("identity", "file")
 
 
 @query("m8_toggle_files", f"with {GALLERY} select identity, pos, file from gallery where vec_id % 4 <> 0")
@@ -98,13 +98,13 @@ def m8(spark: SparkSession, d: str) -> DataFrame:
     return m.toggle_files(g, g.where("vec_id % 4 = 0")).select("identity", "pos", "file")
 
 
-@query("m9_promote_guests", f"""with {CATALOGUE}, {GALLERY} select 'gallery' as name, identity || ':' || file as key from gallery where vec_id % 2 = 0 or vec_id % 5 = 0
-union all (select 'cast', movie_id || ':' || actor_id from movie_cast union select 'cast', vec_id || ':1' from gallery where vec_id % 5 = 0)""")
+@query("m9_promote_guests", f"""with {CATALOGUE}, {GALLERY} select 'gallery' as name, identity || ':' || file as key from gallery
+union all (select 'cast', movie_id || ':' || actor_id from movie_cast union select 'cast', vec_id || ':1' from gallery where vec_id % 20 = 0)""")
 def m9(spark: SparkSession, d: str) -> DataFrame:
     g = gallery(spark, d)
-    guests = g.where("vec_id % 5 = 0").select(F.col("vec_id").alias("session"), F.lit("Misafir-1").alias("name"), "file", "embedding", "identity")
+    guests = g.where("vec_id % 20 = 0").select(F.col("vec_id").alias("session"), F.lit("Misafir-1").alias("name"), "file", "embedding", "identity")
     names = guests.select("session", "name", "identity", F.lit(1).cast("long").alias("actor_id"), F.col("session").alias("movie_id"))
-    grown, links = m.promote_guests(guests.drop("identity"), names, g.where("vec_id % 2 = 0"), movie_cast(spark, d))
+    grown, links = m.promote_guests(guests.drop("identity"), names, g.where("vec_id % 20 <> 0"), movie_cast(spark, d))
     return _keys(grown, "gallery", "identity", "file").union(_keys(links, "cast", "movie_id", "actor_id"))
 
 

@@ -341,6 +341,53 @@ def test_merge_grows_as_it_goes(spark):
     assert {r.identity: (r.n, r.a) for r in got} == {"a": (2, 1), "n": (2, 2)}
 
 
+def test_merge_in_order_and_blocks(spark, monkeypatch):
+    """Against the plain pass: near copies, equal copies, vectors of all lengths, identities in many blocks."""
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    r = np.random.RandomState(12)
+    rows = []
+    for name in "abc":
+        base = r.normal(size=(8, 6))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        for i in range(30):
+            v = base[r.randint(8)] + r.choice([0, 0, 0.004, 0.02]) * r.normal(size=6)
+            v = v / np.linalg.norm(v) * r.choice([1.0, 1.0, 0.5])
+            rows.append((name, i, v.tolist()))
+    rows += [("new", i, rows[0][2]) for i in range(3)]
+    target, source = [x for x in rows if x[1] % 5 == 0 and x[0] != "new"], [x for x in rows if x[1] % 5 or x[0] == "new"]
+    want = [(n, v, False) for n, _, v in target]
+    held = {n: [np.array(v) for m, _, v in target if m == n] for n in "abc"}
+    for n, _, v in sorted(source, key=lambda x: x[:2]):
+        if n == "new" or not any(float(np.dot(v, o)) > 0.9999 for o in held[n]):
+            want.append((n, v, True))
+            held.setdefault(n, []).append(np.array(v))
+    df = lambda x: spark.createDataFrame(x, "identity string, pos long, embedding array<double>")
+    got = [(x.identity, x.embedding, x.added) for x in maintenance.merge_galleries(df(target), df(source)).collect()]
+    assert sorted(got) == sorted(want) and 20 < sum(x[2] for x in got) < len(source)
+
+
+def test_most_similar_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    r = np.random.RandomState(13)
+    x = [(f"g{i % 3}", i, r.normal(size=4).tolist()) for i in range(40)] + [("alone", 99, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(x, "group_id string, candidate long, embedding array<double>")
+    got = {q.candidate: (q.redundant, q.max_sim) for q in similarity.redundancy(df.where("candidate % 4 = 0 or candidate = 99"), df.where("candidate % 4 <> 0 and candidate < 99"), 0.85).collect()}
+    want = {}
+    for g, i, v in x:
+        if i % 4 == 0 or i == 99:
+            best = max((float(np.dot(v, w)) for h, j, w in x if h == g and j % 4 and j != 99), default=0.0)
+            want[i] = (best > 0.85, pytest.approx(best))
+    assert got == want
+
+
+def test_drawn_pairs_tell_what_all_pairs_tell(spark):
+    g = gallery_of(spark, clusters(noise=0.3))
+    every, drawn = (similarity.roc(c).orderBy("threshold").collect() for c in (similarity.similarity_counts(g), similarity.sampled_counts(g, 20_000)))
+    assert all(a.tpr == pytest.approx(b.tpr) and a.far == pytest.approx(b.far, abs=0.02) for a, b in zip(every, drawn, strict=True))
+    one, two = (similarity.cross_sample(x, 500).orderBy("draw").collect() for x in (g, g.repartition(5)))
+    assert one == two and len(one) == 500 and all(x.a != x.b for x in one)
+
+
 def test_append_policy(spark):
     g = spark.createDataFrame([("a", "f1", [1.0, 0.0])], "identity string, file string, embedding array<double>")
     rows = spark.createDataFrame([("a", "f1", [1.0, 0.0]), ("a", "", [1.0, 0.0]), ("a", "f2", [1.0, 0.0]), ("b", "f1", [1.0, 0.0])], g.schema)
