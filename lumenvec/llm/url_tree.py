@@ -5,8 +5,10 @@ number, hexadecimal, long or holds three digits in a row. Children that are rare
 than MIN_SHARE of the node's pages, at a node with over MAX_CHILDREN distinct children) are pooled, those of
 each kind of labels (none, mostly blocked, mostly allowed) for themselves: a rare child joins if it has under
 FEW pages or if it is like its kind's other rare children. One kind's pool is the wildcard, another's takes
-the name of its largest child. Sibling branches are then merged: among the other children of a node that are
-of one kind, each is tested against the largest one, and takes its name if it is like it.
+the name of its largest child. Sibling branches are then merged: the other children of a node that
+are of one kind and not rare (at most max(MAX_CHILDREN, 1 / MIN_SHARE) of them) are taken from the largest one down, and
+each joins the largest one before it that it is like and that joined no other, or stands for itself. A rare child
+that is in no pool joins likewise, or keeps its name.
 
 Two branches are alike on evidence only: each has FEW pages at least, both have FEW labelled pages at least
 or none at all, and two-sample tests at the MERGE_Z level find no difference in the shares of pages that end
@@ -14,7 +16,9 @@ there, that go on with a wildcard, and that are blocked. Smaller branches keep t
 is smoothed instead.
 
 Levels are named one after the other, down to the deepest place where paths of a host still share a branch;
-a path that is alone at its node keeps the rest of its names. A page's template is its host and the path so
+segments that all paths of a node share are passed in one step, so there are as many rounds as branchings below each
+other, not as segments. A path that is alone at its node keeps the rest of its names. A segment that is literally *
+is the wildcard. A page's template is its host and the path so
 named. Pages whose verdict a rule gives are the labels; a template's share of blocked pages is smoothed
 towards its host's, and the host's towards the whole; above REJECT, the template is blocked.
 
@@ -79,19 +83,22 @@ def templates(urls: DataFrame) -> DataFrame:
     general = F.transform(segments(F.col("path")), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
     keyed = urls.withColumn("_raw", F.concat_ws("/", general))
     shapes = staged(keyed.groupBy("host", "_raw").agg(F.count(F.lit(1)).alias("n"), *_label_counts()), "shapes")
-    tree = shapes.withColumn("parts", F.filter(F.split("_raw", "/"), lambda s: s != "")).withColumn("prefix", F.lit(""))
-    named, level = [], 0
+    tree = shapes.withColumns({"parts": F.filter(F.split("_raw", "/"), lambda s: s != ""), "prefix": F.lit(""), "at": F.lit(0)})
+    named = []
     while True:
-        node = tree.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("shapes"), F.max(F.size("parts")).alias("deepest"))
-        over = (F.col("shapes") == 1) | (F.col("deepest") <= level)
-        rest = F.concat_ws("/", F.when(F.col("prefix") != "", F.col("prefix")), F.slice("parts", level + 1, F.greatest(F.size("parts") - level, F.lit(0))))
+        ahead = F.slice("parts", F.col("at") + 1, F.greatest(F.size("parts") - F.col("at"), F.lit(0)))
+        node = tree.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("shapes"), F.max(F.size("parts") - F.col("at")).alias("left"), F.min(ahead).alias("first"), F.max(ahead).alias("last"))
+        node = node.select("host", "prefix", "shapes", "left", _shared("first", "last").alias("run"))
         # A table of its own: the shapes of a host with a large share of all can be split in the join.
-        tree = staged(tree.join(staged(node, "shares"), ["host", "prefix"]).withColumn("template", F.when(over, rest)).drop("shapes", "deepest"), "tree")
+        tree = tree.join(staged(node, "shares"), ["host", "prefix"])
+        over = (F.col("shapes") == 1) | (F.col("left") <= F.col("run"))
+        tree = staged(tree.withColumn("template", F.when(over, _joined("prefix", ahead))).drop("shapes", "left"), "tree")
         named.append(tree.where("template is not null").select("host", "_raw", "template"))
-        tree = tree.where("template is null").drop("template")
+        tree = tree.where("template is null")
         if not tree.limit(1).count():
             break
-        tree, level = _one_level(tree, level), level + 1
+        passed = _joined("prefix", F.slice("parts", F.col("at") + 1, F.col("run")))
+        tree = _one_level(tree.select("host", "_raw", "n", "labelled", "blocked", "parts", passed.alias("prefix"), (F.col("at") + F.col("run")).alias("at")))
     every = named[0]
     for one in named[1:]:
         every = every.union(one)
@@ -100,24 +107,45 @@ def templates(urls: DataFrame) -> DataFrame:
     return keyed.join(every, ["host", "_raw"]).drop("_raw")
 
 
-def _one_level(tree: DataFrame, level: int) -> DataFrame:
+def _joined(prefix: str, more: Column) -> Column:
+    """The path of a prefix, which may be empty, and more segments."""
+    return F.concat_ws("/", F.when(F.col(prefix) != "", F.col(prefix)), F.when(F.size(more) > 0, F.concat_ws("/", more)))
+
+
+def _shared(first: str, last: str) -> Column:
+    """How many segments the least and the greatest of some paths, and so all between, begin with."""
+    differ = F.array_position(F.zip_with(first, last, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    return F.when(differ > 0, differ - 1).otherwise(F.size(first)).cast("int")
+
+
+def _one_level(tree: DataFrame) -> DataFrame:
     """tree with the prefix of each shape one segment longer, by the name that its node gives to it."""
-    after = F.coalesce(F.get("parts", F.lit(level + 1)), F.lit(""))
-    tree = tree.withColumn("child", F.coalesce(F.get("parts", F.lit(level)), F.lit("")))
+    after = F.coalesce(F.get("parts", F.col("at") + 1), F.lit(""))
+    tree = tree.withColumn("child", F.coalesce(F.get("parts", F.col("at")), F.lit("")))
     shares = [F.sum(F.when(after == end, F.col("n")).otherwise(0)).alias(name) for end, name in (("*", "wild"), ("", "leaf"))]
     node = tree.groupBy("host", "prefix", "child").agg(F.sum("n").alias("pages"), *shares, F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     node = node.withColumn("kind", F.when(F.col("labelled") == 0, 0).when(2 * F.col("blocked") > F.col("labelled"), 1).otherwise(2))
     node = staged(node, "nodes")
     free = ~F.col("child").isin("", "*")
     total = node.groupBy("host", "prefix").agg(F.sum("pages").alias("all"), F.sum(free.cast("int")).alias("children"))
-    largest = node.where(free).groupBy("host", "prefix", "kind").agg(F.max(F.struct("pages", "child", "wild", "leaf", "labelled", "blocked")).alias("top"))
-    named = node.join(total, ["host", "prefix"]).join(largest, ["host", "prefix", "kind"], "left")
     rare = (F.col("children") > MAX_CHILDREN) & (F.col("pages") < MIN_SHARE * F.col("all"))
-    named = _pooled(named.withColumn("near", F.coalesce(free & rare, F.lit(False)) | (F.col("child") == "*")))
-    name = F.when(~free, F.col("child")).when(F.col("pool").isNotNull(), F.col("pool")).when(_alike("top"), F.col("top.child")).otherwise(F.col("child"))
+    sized = node.join(total, ["host", "prefix"]).withColumn("rare", rare)
+    # At most max(MAX_CHILDREN, 1 / MIN_SHARE) children of a node are free and not rare.
+    often = sized.where(free & ~F.col("rare")).groupBy("host", "prefix", "kind").agg(F.sort_array(F.collect_list(F.struct(*BRANCH)), asc=False).alias("often"))
+    none = F.slice("often", 1, 0)
+    heads = F.aggregate("often", none, lambda held, x: F.when(F.exists(held, lambda h: _alike(x, h)), held).otherwise(F.concat(held, F.array(x))))
+    named = sized.join(often.select("host", "prefix", "kind", heads.alias("heads")), ["host", "prefix", "kind"], "left")
+    named = _pooled(named.withColumn("near", F.coalesce(free & F.col("rare"), F.lit(False)) | (F.col("child") == "*")))
+    own = F.struct(*BRANCH)
+    joins = F.get(F.filter("heads", lambda h: _alike(own, h)), F.lit(0))["child"]
+    name = F.when(~free, F.col("child")).when(F.col("pool").isNotNull(), F.col("pool")).otherwise(F.coalesce(joins, F.col("child")))
     tree = tree.join(staged(named.select("host", "prefix", "child", name.alias("as")), "names"), ["host", "prefix", "child"])
     prefix = F.when(F.col("as") == "", F.col("prefix")).otherwise(F.concat_ws("/", F.when(F.col("prefix") != "", F.col("prefix")), F.col("as")))
-    return tree.select("host", "_raw", "n", "labelled", "blocked", "parts", prefix.alias("prefix"))
+    return tree.select("host", "_raw", "n", "labelled", "blocked", "parts", prefix.alias("prefix"), (F.col("at") + (F.col("as") != "").cast("int")).alias("at"))
+
+
+#: What a branch is compared by, the pages first.
+BRANCH = ("pages", "child", "wild", "leaf", "labelled", "blocked")
 
 
 def _label_counts() -> list[Column]:
@@ -132,27 +160,27 @@ def _pooled(nodes: DataFrame) -> DataFrame:
     whole = nodes.where("near").groupBy(*at).agg(F.struct(*(F.sum(c).alias(c) for c in sums)).alias("whole"))
     rest = F.struct(*((F.col(f"whole.{c}") - F.col(c)).alias(c) for c in sums))
     told = nodes.join(whole, at, "left").withColumn("rest", rest)
-    told = told.withColumn("near", F.col("near") & ((F.col("child") == "*") | (F.col("pages") < FEW) | _alike("rest"))).drop("whole", "rest")
+    told = told.withColumn("near", F.col("near") & ((F.col("child") == "*") | (F.col("pages") < FEW) | _alike(F.struct(*BRANCH), F.col("rest")))).drop("whole", "rest")
     pools = told.where("near").groupBy(*at).agg(F.max(F.struct("pages", "child")).alias("head"), F.max((F.col("child") == "*").cast("int")).alias("star"), F.sum("pages").alias("size"))
     first = pools.groupBy("host", "prefix").agg(F.max(F.struct("star", "size", "kind"))["kind"].alias("first"))
     names = pools.join(first, ["host", "prefix"]).select(*at, F.when(F.col("kind") == F.col("first"), "*").otherwise(F.col("head.child")).alias("name"))
     return told.join(names, at, "left").withColumn("pool", F.when(F.col("near"), F.col("name"))).drop("near", "name")
 
 
-def _alike(other: str) -> Column:
-    """Whether there is evidence enough, and none of it tells a child from the other."""
+def _alike(a: Column, b: Column) -> Column:
+    """Whether there is evidence enough, and none of it tells one branch from the other."""
     def both(whole: str, least: int) -> Column:
-        return (F.col(whole) >= least) & (F.col(f"{other}.{whole}") >= least)
+        return (a[whole] >= least) & (b[whole] >= least)
 
-    labels = (F.col("labelled") + F.col(f"{other}.labelled") == 0) | (both("labelled", FEW) & _no_difference("blocked", "labelled", other))
-    return F.coalesce(both("pages", FEW) & _no_difference("wild", "pages", other) & _no_difference("leaf", "pages", other) & labels, F.lit(False))
+    labels = (a["labelled"] + b["labelled"] == 0) | (both("labelled", FEW) & _no_difference("blocked", "labelled", a, b))
+    return F.coalesce(both("pages", FEW) & _no_difference("wild", "pages", a, b) & _no_difference("leaf", "pages", a, b) & labels, F.lit(False))
 
 
-def _no_difference(part: str, whole: str, other: str) -> Column:
-    """Two-sample test of a child's share against another's."""
-    n, m = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in (whole, f"{other}.{whole}"))
-    p, q = F.col(part) / n, F.col(f"{other}.{part}") / m
-    both = (F.col(part) + F.col(f"{other}.{part}")) / (n + m)
+def _no_difference(part: str, whole: str, a: Column, b: Column) -> Column:
+    """Two-sample test of one branch's share against another's."""
+    n, m = (F.nullif(x[whole].cast("double"), F.lit(0.0)) for x in (a, b))
+    p, q = a[part] / n, b[part] / m
+    both = (a[part] + b[part]) / (n + m)
     spread = both * (1 - both) * (1 / n + 1 / m)
     return (p - q) * (p - q) <= MERGE_Z * spread
 

@@ -269,3 +269,33 @@ def test_op9_sql_on_planted(spark):
 def test_op9_repeated_rows_and_nulls(spark):
     rows = [*TALK, TALK[1], (None, 1, "a", "> Hello there"), (1, None, "a", "> Hello there")]
     assert quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count() == len(rows)
+
+
+def rounds_of(monkeypatch):
+    """How many levels are named, as they are."""
+    done, staged = [], url_tree.staged
+    monkeypatch.setattr(url_tree, "staged", lambda df, name, **more: (done.append(1) if name == "nodes" else None, staged(df, name, **more))[1])
+    return done
+
+
+def test_op10_all_similar_siblings_merge(spark):
+    """Two branches that are like each other, and unlike the largest one, are one template."""
+    urls = lambda s, n, bad: [(s, f"/{s}/{i % 7}{'abcdefg'[i % 7]}x/end", "block" if i % 100 < bad else "allow") for i in range(n)]
+    rows = [*urls("aaa", 300, 95), *urls("bbb", 100, 60), *urls("ccc", 100, 60), *urls("ddd", 100, 5), *urls("eee", 5, 60)]
+    df = spark.createDataFrame([("h", p, v) for _, p, v in rows], "host string, path string, _rule_verdict string")
+    first = {(r.path.split("/")[1], r.template.split("/")[1]) for r in url_tree.templates(df).select("path", "template").distinct().collect()}
+    assert first in ({("aaa", "aaa"), ("bbb", x), ("ccc", x), ("ddd", "ddd"), ("eee", "eee")} for x in ("bbb", "ccc"))
+
+
+def test_op10_shared_segments_are_one_step(spark, monkeypatch):
+    """300 shared segments take as many rounds as three, and every path keeps all of its own."""
+    done, counts = rounds_of(monkeypatch), []
+    for depth in (3, 300):
+        shared = "/".join("abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10] + "uvw"[i // 100] for i in range(depth))
+        paths = [f"/{shared}/{x}" for x in ("a/one", "a/two", "b", "b/c/d")] + ["/" + shared, "/"]
+        df = spark.createDataFrame([("h", p, None) for p in paths], "host string, path string, _rule_verdict string")
+        done.clear()
+        got = {r.path: r.template for r in url_tree.templates(df).collect()}
+        counts.append(len(done))
+        assert got == {p: p for p in paths}
+    assert counts[0] == counts[1] <= 4
