@@ -24,7 +24,6 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, staged, table, tune
+from .scan import ROWS, parts, ranged, running
 
-#: Turns, nodes or ids of one range.
-ROWS = 1 << 19
 #: Segments that one task ranks.
 REST = 1 << 15
 #: Ids of a chunk.
@@ -46,29 +44,6 @@ FAMILY, SHARED = 5, 9
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def _parts(df: DataFrame, rows: int) -> int:
-    return max(shuffle_partitions(df.sparkSession), math.ceil(df.count() / rows))
-
-
-def ranged(df: DataFrame, keys: list[str], name: str, rows: int = ROWS) -> DataFrame:
-    """df (a written table) over ranges of keys, with part, the number of a row's range."""
-    return staged(df.repartitionByRange(_parts(df, rows), *keys).withColumn("part", F.spark_partition_id()), name)
-
-
-def running(df: DataFrame, group: str, order: list[str], sums: list[str]) -> DataFrame:
-    """df of ranged(), by group and order, with sums as running totals within group. A group may fill any number of
-    ranges: each range has two groups at most that others share, whose totals are carried on."""
-    within = Window.partitionBy("part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = df.groupBy("part").agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
-    # A row or two for each range, here and below: broadcasts of a size bounded by the number of ranges.
-    spans = df.join(F.broadcast(edges), "part").where((F.col(group) == F.col("lo")) | (F.col(group) == F.col("hi"))).groupBy(group, "part").agg(*(F.sum(c).alias(c) for c in sums))
-    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select(group, "part", *(F.sum(c).over(before).alias(f"carried_{c}") for c in sums)).where(f"carried_{sums[0]} is not null")
-    wide = df.withColumns({f"within_{c}": F.sum(c).over(within) for c in sums}).join(F.broadcast(carried), ["part", group], "left")
-    totals = [(F.col(f"within_{c}") + F.coalesce(f"carried_{c}", F.lit(0))).alias(f"total_{c}") for c in sums]
-    return wide.select(*df.columns, *totals)
-
-
 def turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, said (digest of role and text), bytes of text."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
@@ -146,7 +121,7 @@ def _hashed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ends(members: DataFrame, rows: int = ROWS) -> DataFrame:
     """key, ends_sha256 from key, conv_id (a written table)."""
-    chunks = members.repartitionByRange(_parts(members, rows), "key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(_joined_ids, "key binary, first long, ids binary")
+    chunks = members.repartitionByRange(parts(members, rows), "key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(_joined_ids, "key binary, first long, ids binary")
     return staged(chunks, "chunks").repartition(shuffle_partitions(members.sparkSession), "key").sortWithinPartitions("key", "first").select("key", "ids").mapInArrow(_hashed_ids, "key binary, ends_sha256 string")
 
 
@@ -267,7 +242,7 @@ def list_ranked(segments: DataFrame, rest: int = REST) -> DataFrame:
 def toured(trie: DataFrame, rows: int = ROWS, rest: int = REST) -> DataFrame:
     """trie's nodes with n_leaves, saved_tokens and the places of both arcs in the tour."""
     linked = staged(with_siblings(trie, rows), "linked")
-    arcs = linked.repartitionByRange(_parts(linked, rows), "conv_id", "depth").sortWithinPartitions("conv_id", "depth").mapInArrow(_contracted, _CONTRACTED)
+    arcs = linked.repartitionByRange(parts(linked, rows), "conv_id", "depth").sortWithinPartitions("conv_id", "depth").mapInArrow(_contracted, _CONTRACTED)
     arcs = staged(arcs, "arcs")
     kept = {"enter_conv": "conv", "enter_code": "code", "exit_conv": "next_conv", "exit_code": "next_code", "enter_arcs": "arcs", "enter_leaves": "leaves", "enter_saved": "saved"}
     ranks = list_ranked(arcs.where("conv_id is null").select(*(F.col(c).alias(a) for c, a in kept.items())), rest)

@@ -4,14 +4,14 @@ A line's quote level is the number of '>' that it begins with (a blank may stand
 a run of lines of one level without a blank line between. Passages, and their single lines and sentences (up to
 a ., ! or ? before a blank) for those that quote a part, re-wrapped or not, are normalised (A-Z lower-cased,
 white space and line ends run to one blank, trimmed) and hashed; within a conversation, each is joined to its
-original: the first message that holds it unquoted, if that is an earlier one. The message that most of a
+original: the latest message before that holds it unquoted. The message that most of a
 message's level-one passages, lines and sentences come from (the later one of equals) is its parent; deeper levels are linked and counted likewise. Following parents by
 pointer doubling gives each message its thread and depth, and (conv_id, thread, depth, turn) orders a
 conversation by replies. The body is the message without quoted lines and without an "On ... wrote:" line that
 stands before one, a blank line between them or not.
 
-Originals are one row for each distinct passage or line of a conversation, by partial minimum, so one that
-is repeated without end, or a conversation that holds a third of all messages, is no group of one task.
+Originals are found by running maxima over ranges of (passage, turn), so a passage that is repeated without end, or a
+conversation that holds a third of all messages, is no group of one task, and no passage meets all its holders.
 
 Defined cases: null text is an empty message; blank quoted lines are counted in no level; a null conv_id
 or turn links with nothing; repeated rows give a row each and are one message for linking; an empty table
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
+from .scan import ranged, running
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX = r"^(?:[ \t]?>)+"
@@ -81,9 +82,15 @@ def links(conversations: DataFrame) -> DataFrame:
     Conversations without quotes are left out at once."""
     quoting = conversations.where(F.exists(_lines(), lambda x: x.rlike(PREFIX))).select("conv_id").distinct()
     every = staged(passages(conversations.join(quoting, "conv_id", "left_semi")), "passages")
-    first = every.where("level = 0").groupBy("conv_id", "h", "g").agg(F.min("turn").alias("origin"))
-    asked = every.where("level > 0")
-    return asked.join(first, ["conv_id", "h", "g"]).where("origin < turn").groupBy("conv_id", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("passages"))
+    who = F.struct("conv_id", "h", "g").alias("who")
+    asked = every.where("level > 0 and turn is not null").select(who, "turn", "level", F.lit(None).cast("long").alias("held"))
+    holders = every.where("level = 0 and turn is not null").select(who, "turn", F.lit(-1).cast("long").alias("level"), F.col("turn").alias("held"))
+    holders = holders.join(asked.select("who").distinct(), "who", "left_semi")
+    # In a turn, those who ask come before those who hold.
+    rows = staged(asked.unionByName(holders).withColumn("last", (F.col("level") < 0).cast("int")), "held")
+    found = running(ranged(rows, ["who", "turn", "last"], "holders"), "who", ["turn", "last"], ["held"], F.max)
+    found = found.where("level > 0 and total_held is not null").select("who.conv_id", "turn", "level", F.col("total_held").alias("origin"))
+    return found.groupBy("conv_id", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("passages"))
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -147,9 +154,9 @@ with recursive m as (
   select conv_id, turn, level, norm from r0 where norm <> '' union select * from b union
   select conv_id, turn, level, unnest(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) from b
 ), o as (
-  select conv_id, norm, min(turn) as origin from u where level = 0 group by all
+  select u.conv_id, u.turn, u.level, u.norm, max(o.turn) as origin from u join u o on o.conv_id = u.conv_id and o.norm = u.norm and o.level = 0 and o.turn < u.turn where u.level > 0 group by all
 ), k as (
-  select u.conv_id, u.turn, u.level, o.origin, count(*) as lines from u join o using (conv_id, norm) where u.level > 0 and o.origin < u.turn group by all
+  select conv_id, turn, level, origin, count(*) as lines from o group by all
 ), p as (
   select conv_id, turn, arg_max(origin, lines * 1000000 + origin) as parent from k where level = 1 group by all
 ), t as (

@@ -10,7 +10,7 @@ import re
 import duckdb
 import pytest
 
-from lumenvec.llm import queries, quotes, url_tree, warc
+from lumenvec.llm import queries, quotes, scan, url_tree, warc
 from lumenvec.llm.common import shared_dir
 
 PAGES = [(1, "http://a.org/x", "p" * 120), (2, "http://a.org/y", "p" * 120), (0, None, "p" * 120), (3, "no scheme", "short"), (4, "x://h?q", "short"), (5, "http://b", None), (None, "http://c d\n", "p" * 120), (6, "http://e", ""), (7, "http://f", "\r\n\r\nWARC/1.1" * 20), (0, None, "p" * 120), (8, "http://g", "é" * 60)]
@@ -266,6 +266,30 @@ def test_op9_sql_on_planted(spark):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=str) == sorted((tuple(plain(None if str(x) in ("nan", "<NA>") else x) for x in r) for r in want[columns].itertuples(index=False)), key=str)
 
 
+REPLIES = [(8, 0, "a", "Yes, please."), (8, 1, "b", "Which one?"), (8, 2, "a", "Yes, please."), (8, 3, "b", "> Yes, please.\nThen so."), (8, 4, "a", "> Yes, please.\nYes, please."), (8, 5, "b", "> Then so.\n>> Yes, please.\nGood.")]
+
+
+def test_op9_the_latest_holder_is_the_origin(spark, monkeypatch):
+    """A short line that is said again and again, also where its group fills several ranges; a message's own line does not count."""
+    monkeypatch.setattr(quotes, "ranged", lambda df, keys, name: scan.ranged(df, keys, name, rows=2))
+    df = spark.createDataFrame([*REPLIES, *TALK], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.parent_turn, r.thread, r.depth, r.n_linked) for r in quotes.reply_ordered(df).where("conv_id = 8").collect()}
+    assert got[3][0] == 2 and got[4][0] == 2 and got[5][0] == 3 and got[3][1:3] == (2, 1)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    want = {r[0]: r[1:] for r in con.execute(f"select turn, parent_turn, thread, depth, n_linked from ({quotes.OP9_SQL}) where conv_id = 8").fetchall()}
+    assert got == want
+
+
+def test_op9_a_long_message(spark):
+    """A message of a megabyte, quoted whole."""
+    lines = [f"Line number {i} of a very long message says so." for i in range(22_000)]
+    rows = [(1, 0, "a", "\n".join(lines)), (1, 1, "b", "\n".join(f"> {x}" for x in lines) + "\nI see.")]
+    assert len(rows[0][3]) > 1_000_000
+    got = {r.turn: r for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].parent_turn, got[1].n_quoted, got[1].body) == (0, 22_000, "I see.") and got[0].n_linked == 0
+
+
 def test_op9_repeated_rows_and_nulls(spark):
     rows = [*TALK, TALK[1], (None, 1, "a", "> Hello there"), (1, None, "a", "> Hello there")]
     assert quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count() == len(rows)
