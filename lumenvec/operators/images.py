@@ -55,17 +55,19 @@ def dct_hash(x: np.ndarray) -> str:
 
 
 def image_features(images: DataFrame) -> DataFrame:
-    """Origin, brightness, blur_var, phash; an empty image has nulls and an empty hash."""
+    """Origin, height, width, channels, brightness, blur_var, phash; an empty image has nulls and an empty hash."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = []
             for r in pdf.itertuples(index=False):
                 x = grey(r.data, r.height, r.width, r.nChannels) if r.height > 0 and r.width > 0 else None
-                rows.append((r.origin, None, None, "") if x is None else (r.origin, float(x.mean()), laplacian_variance(x), dct_hash(x)))
-            yield pd.DataFrame(rows, columns=["origin", "brightness", "blur_var", "phash"])
+                told = (None, None, "") if x is None else (float(x.mean()), laplacian_variance(x), dct_hash(x))
+                rows.append((r.origin, r.height, r.width, r.nChannels, *told))
+            yield pd.DataFrame(rows, columns=["origin", "height", "width", "channels", "brightness", "blur_var", "phash"])
 
-    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, "origin string, brightness double, blur_var double, phash string")
+    schema = "origin string, height int, width int, channels int, brightness double, blur_var double, phash string"
+    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, schema)
 
 
 def audit(images: DataFrame, most_bits: int = 5) -> DataFrame:

@@ -222,10 +222,8 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     root = shared_dir(spark, "images")
     p = F.col("image")
     write_images(_pictures(spark, d).select(p["origin"].alias("name"), p["height"].alias("height"), p["width"].alias("width"), p["nChannels"].alias("nChannels"), p["data"].alias("data")), root)
-    read = read_images(spark, root)
-    sizes = read.select(p["origin"].alias("origin"), p["height"].alias("height"), p["width"].alias("width"), p["nChannels"].alias("channels"))
     sums = F.round(F.col("brightness") * F.col("height") * F.col("width")).cast("long").alias("grey_sum")
-    return sizes.join(images.image_features(read), "origin").select(F.regexp_extract("origin", r"-([^-/]*)\.png$", 1).alias("name"), "height", "width", "channels", sums)
+    return images.image_features(read_images(spark, root)).select(F.regexp_extract("origin", r"-([^-/]*)\.png$", 1).alias("name"), "height", "width", "channels", sums)
 
 
 @query("w7_similar_images")
