@@ -59,8 +59,8 @@ ADDED = 0.1
 END = " end"
 LONG = 32
 #: (word, n) rows that a task holds before it sums them up.
-HELD = 1 << 19
-SLICE = 4 << 20
+HELD = 1 << 18
+SLICE = 2 << 20
 
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -355,6 +355,8 @@ def tail_classes(rows: DataFrame, m: np.ndarray) -> DataFrame:
 def scored(docs: DataFrame, head: float = HEAD, k: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark, texts = docs.sparkSession, _documents(docs)
+    # Lists of neighbours are gathered in order of words, a few words at a time, instead of 128 at once.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4")
     known = vocabulary(texts, head)
     classes, m, _ = exchanged(head_pairs(texts, known), len(known.head), k, rounds)
     read = staged(read_documents(texts, known, classes, m), "read")
