@@ -42,7 +42,7 @@ def build(rows: DataFrame, key: str, column: str, path: str | None = None) -> In
     """The index of a column, written to path: a row for each trigram of each row, in order of trigrams."""
     spark: SparkSession = rows.sparkSession
     path = path or shared_dir(spark, "trigrams")
-    found = rows.select(F.col(key).alias("id"), F.explode(grams(F.col(column))).alias("gram")).distinct().withColumn("bucket", _bucket(F.col("gram")))
+    found = rows.select(F.col(key).alias("id"), F.explode(grams(F.col(column))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
     # Ranges of (bucket, gram, id): a trigram that most rows hold fills several tasks.
     found.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(path)
     return Index(spark.read.schema(found.schema).parquet(path), key, column)
@@ -62,7 +62,7 @@ def candidates(index: Index, needle: str) -> DataFrame | None:
     if len(asked) == 1:
         return first
     others = held.where(F.col("gram") != rarest).join(first, "id", "left_semi")
-    return others.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(asked) - 1).select("id")
+    return others.groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(asked) - 1).select("id")
 
 
 def search_indexed(index: Index, rows: DataFrame, needle: str, limit: int | None = None, shortest: int = 0) -> DataFrame:
