@@ -126,7 +126,7 @@ def k2(spark: SparkSession, d: str) -> DataFrame:
     g, path = face_group(spark, d).select("movie_id", "group_id", "face_count"), sinks.shared_dir(spark, "groups")
     sinks.upsert_groups(g, path)
     sinks.upsert_groups(g.where("movie_id % 2 = 0").withColumn("face_count", F.col("face_count") + 1000), path)
-    return spark.read.parquet(path).select(F.col("movie_id").cast("long").alias("movie_id"), "group_id", "face_count")
+    return sinks.read_groups(spark, path, g.schema).select("movie_id", "group_id", "face_count")
 
 
 @query("k3_kept_report", f"with {CURVE} select threshold, round(tpr, 6) as tpr, round(far, 6) as far, true as kept from curve")

@@ -20,6 +20,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -136,9 +137,30 @@ def read_gallery(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(held[max(held) if version is None else version])
 
 
+#: Folders of a table of groups: a movie's rows lie in that of its hash.
+BUCKETS = 32
+
+
 def upsert_groups(stats: DataFrame, path: str) -> None:
-    """K2: replace the rows of the movies in stats; other movies' stay."""
-    stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("movie_id").parquet(path)
+    """K2: replace the rows of the movies in stats; other movies' stay. Movies lie in folders by their hash, so there are
+    as many folders and files however many movies there are; those that stats has movies of are written anew, each by
+    a task, and take the place of the old ones when the job commits."""
+    spark = stats.sparkSession
+    fresh = staged(stats.withColumn("bucket", F.pmod(F.xxhash64("movie_id"), F.lit(BUCKETS)).cast("int")), "upsert")
+    store, at = _files(spark, path)
+    rows = fresh
+    if store.exists(at):
+        buckets = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        held = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(buckets))
+        movies = fresh.select(F.col("movie_id").alias("_movie")).distinct()
+        kept = held.join(movies, F.col("movie_id").eqNullSafe(F.col("_movie")), "left_anti")
+        rows = staged(fresh.unionByName(kept), "upserted")  # a folder is not written while it is read
+    rows.repartition(F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_groups(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """K2: all movies' rows."""
+    return spark.read.schema(StructType([*schema, StructField("bucket", IntegerType())])).parquet(path).drop("bucket")
 
 
 def kept_report(spark: SparkSession, root: str, parameters: dict[str, object], make: Callable[[], dict[str, DataFrame]], age_s: float = 3600.0, now: Callable[[], float] = time.time) -> tuple[dict[str, DataFrame], bool]:
