@@ -25,6 +25,8 @@ from ..sources.sinks import staged
 from .similarity import BLOCK, best_of_tile, matrix, ranked, sides
 
 PIVOTS = 1024
+#: Rows that are held against all pivots at once; a row may be asked of every cell.
+SLICE = 128
 #: Share of |q| times the longest vector by which rounding may move a product.
 ROUNDING = 1e-9
 
@@ -41,6 +43,13 @@ class Search:
     size: int
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most: some matrices of rows by pivots are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def nearest_in_cells(probes: DataFrame, gallery: DataFrame, k: int, per_vector: bool = True, own: str | None = None, pivots: int = PIVOTS) -> Search:
     """As similarity.nearest."""
     left, right = sides(probes, gallery, own)
@@ -53,7 +62,7 @@ def nearest_in_cells(probes: DataFrame, gallery: DataFrame, k: int, per_vector:
     squares = (p * p).sum(axis=1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             if batch.num_rows:
                 x = matrix(pa.chunked_array([batch.column("embedding")]))
                 cell = (squares[None, :] - 2 * x @ p.T).argmin(axis=1)
@@ -98,7 +107,7 @@ def nearest_in_cells(probes: DataFrame, gallery: DataFrame, k: int, per_vector:
         return np.where(total[:, -1] >= enough, reached, -np.inf)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             if not batch.num_rows or not len(p):
                 continue
             q = matrix(pa.chunked_array([batch.column("embedding")]))
