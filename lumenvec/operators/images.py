@@ -80,10 +80,10 @@ def audit(images: DataFrame, most_bits: int = 5) -> DataFrame:
     # Numbers that ascend with origin over all ranges of a sort; they are fixed by being written.
     placed = staged(f.select("origin", "phash").orderBy("origin").withColumn("id", F.monotonically_increasing_id()), "placed")
     first = staged(placed.where("phash <> ''").groupBy("phash").agg(F.min("id").alias("id")), "first")
-    stays = greedy_keep(first, hamming_join(first, most_bits).where("distance > 0"))
-    goes = placed.where("phash <> ''").join(stays, "id", "left_anti").select("origin", F.lit(True).alias("repeats")).distinct()
+    stays = greedy_keep(first, hamming_join(first, most_bits, [255 << 8 * k for k in range(8)]).where("distance > 0"))
+    goes = placed.where("phash <> ''").join(stays.hint("merge"), "id", "left_anti").select("origin", F.lit(True).alias("repeats")).distinct()
     scores = {"blur_score": F.coalesce(blur_score(F.col("blur_var")), F.lit(0.0)), "brightness_score": F.coalesce(brightness_score(F.col("brightness")), F.lit(0.0))}
-    return f.withColumns(scores).join(goes, "origin", "left").withColumn("repeats", F.coalesce("repeats", F.lit(False)))
+    return f.withColumns(scores).join(goes.hint("merge"), "origin", "left").withColumn("repeats", F.coalesce("repeats", F.lit(False)))
 
 
 def drop_similar_images(images: DataFrame, group: str, threshold: float = 0.92) -> DataFrame:

@@ -34,13 +34,14 @@ def drop_repeats(faces: DataFrame, key: list[str], threshold: float = 0.95) -> D
 
 def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids that a greedy pass in order of id keeps: an id goes if a kept smaller one is joined to it by edges
-    (a < b). Rounds decide all ids whose smaller neighbours are decided; each is a written table."""
+    (a < b). Rounds decide all ids whose smaller neighbours are decided; each is a written table. Joins are by sort: files of ids are so small against their rows that Spark would
+    take tables of millions of ids for ones to broadcast through the driver, anew in each round."""
     state = staged(nodes.select("id", F.lit(None).cast("boolean").alias("kept")), "greedy")
     e = staged(edges.select("a", "b").distinct(), "greedy-edges")
     while state.where("kept is null").limit(1).count():
-        told = e.join(state.select(F.col("id").alias("a"), "kept"), "a").groupBy(F.col("b").alias("id")).agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("_hit"), F.bool_or(F.col("kept").isNull()).alias("_open"))
+        told = e.join(state.select(F.col("id").alias("a"), "kept").hint("merge"), "a").groupBy(F.col("b").alias("id")).agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("_hit"), F.bool_or(F.col("kept").isNull()).alias("_open"))
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("_hit", F.lit(False)), False).when(F.coalesce("_open", F.lit(False)), None).otherwise(True)
-        state = staged(state.join(told, "id", "left").select("id", now.alias("kept")), "greedy")
+        state = staged(state.join(told.hint("merge"), "id", "left").select("id", now.alias("kept")), "greedy")
     return state.where("kept").select("id")
 
 
@@ -49,7 +50,7 @@ def dedupe(rows: DataFrame, most_bits: int = 5, alike: float = 0.85) -> DataFram
     within an identity; the earlier one stays."""
     first = rows.groupBy(F.lower("phash").alias("phash")).agg(F.min("id").alias("id"))
     by_hash = greedy_keep(first, hamming_join(first, most_bits).where("distance > 0"))
-    left = rows.join(by_hash, "id", "left_semi").select("identity", F.col("id").alias("pos"), "embedding")
+    left = rows.join(by_hash.hint("merge"), "id", "left_semi").select("identity", F.col("id").alias("pos"), "embedding")
     pairs = within_pairs(left, alike).where(F.col("sim") > alike).select(F.col("i").alias("a"), F.col("j").alias("b"))
     return greedy_keep(by_hash, pairs)
 
