@@ -99,12 +99,15 @@ def m8(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("m9_promote_guests", f"""with {CATALOGUE}, {GALLERY} select 'gallery' as name, identity || ':' || file as key from gallery
-union all (select 'cast', movie_id || ':' || actor_id from movie_cast union select 'cast', vec_id || ':1' from gallery where vec_id % 20 = 0)""")
+union all select 'gallery', identity || ':' || file || '_g' from gallery where vec_id % 2 = 1
+union all (select 'cast', movie_id || ':' || actor_id from movie_cast union select 'cast', vec_id || ':1' from gallery)""")
 def m9(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector is a guest against the whole gallery: those of even ids come with a listed file, others with a new one."""
     g = gallery(spark, d)
-    guests = g.where("vec_id % 20 = 0").select(F.col("vec_id").alias("session"), F.lit("Misafir-1").alias("name"), "file", "embedding", "identity")
+    file = F.when(F.col("vec_id") % 2 == 1, F.concat("file", F.lit("_g"))).otherwise(F.col("file"))
+    guests = g.select(F.col("vec_id").alias("session"), F.lit("Misafir-1").alias("name"), file.alias("file"), "embedding", "identity")
     names = guests.select("session", "name", "identity", F.lit(1).cast("long").alias("actor_id"), F.col("session").alias("movie_id"))
-    grown, links = m.promote_guests(guests.drop("identity"), names, g.where("vec_id % 20 <> 0"), movie_cast(spark, d))
+    grown, links = m.promote_guests(guests.drop("identity"), names, g, movie_cast(spark, d))
     return _keys(grown, "gallery", "identity", "file").union(_keys(links, "cast", "movie_id", "actor_id"))
 
 
