@@ -235,6 +235,50 @@ def png(data: bytes, height: int, width: int, channels: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
+def pixels(data: bytes) -> tuple[int, int, int, bytes]:
+    """height, width, channels, BGR bytes of a PNG as png makes them; one that is damaged or of another make is an error."""
+    at, body = 8, {}
+    while at < len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        body[kind] = data[at + 8 : at + 8 + n]
+        if struct.unpack_from(">I", data, at + 8 + n)[0] != zlib.crc32(kind + body[kind]):
+            raise ValueError("a damaged picture")
+        at += n + 12
+    width, height, depth, colour, *rest = struct.unpack(">IIBBBBB", body[b"IHDR"])
+    channels = 1 if colour == 0 else 3
+    lines = np.frombuffer(zlib.decompress(body[b"IDAT"]), np.uint8).reshape(height, 1 + width * channels)
+    if depth != 8 or colour not in (0, 2) or any(rest) or lines[:, 0].any():
+        raise ValueError("a picture of another make")
+    return height, width, channels, lines[:, 1:].reshape(height, width, channels)[:, :, ::-1].tobytes()
+
+
+#: Rows of a table of files that a task reads.
+FILES = 2_000
+
+
+def read_written_images(written: DataFrame, root: str) -> DataFrame:
+    """Spark's image struct of the files that write_images told of (name, path), with the name. Tasks take shares of
+    that table and open the files themselves: no folder is listed, and a task reads as many files at any size. (Spark's
+    image source, read_images, lists every file on the driver, gives a task 32, and makes an encoder for each.)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(k, 256), []
+                for path in part.column("path").to_pylist():
+                    with store.open_input_stream(path) as held:
+                        height, width, channels, data = pixels(held.read())
+                    rows.append({"origin": path, "height": height, "width": width, "nChannels": channels, "mode": 0 if channels == 1 else 16, "data": data})
+                yield pa.RecordBatch.from_arrays([part.column("name"), pa.array(rows, kind)], ["name", "image"])
+
+    kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+    spark = written.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-written.count() // FILES))
+    image = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    return written.repartition(parts).mapInArrow(run, f"name string, image {image}")
+
+
 def progress_sink(path: str) -> Callable[[DataFrame, int], None]:
     """K4: a foreachBatch function that writes each batch's counts, sorted, with the batch's number."""
 
