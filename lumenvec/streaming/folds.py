@@ -117,12 +117,6 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _run(fold: object, rows: pd.DataFrame) -> list[tuple]:
-    ordered = rows.sort_values(["frame", "det_id"])
-    ordered = ordered.assign(embedding=[np.asarray(e, np.float64) for e in ordered["embedding"]])
-    return [fold.step(r) for r in ordered.to_dict("records")]
-
-
 def fold_batch(rows: DataFrame, key: str, make: Callable[[], object]) -> DataFrame:
     """Each key's rows folded in frame order. Rows come to a task sorted and are read as they come: what is held is
     a batch and the state of one key, however many rows the key has."""
@@ -142,33 +136,60 @@ def fold_batch(rows: DataFrame, key: str, make: Callable[[], object]) -> DataFra
     return ordered.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
 
 
-def fold_stream(rows: DataFrame, key: str, make: Callable[[], object], idle_ms: int | None = None) -> DataFrame:
+class _Session:
+    """One key's fold within a batch: the last frame of earlier batches, rows that came late, until when it is kept."""
+
+    def __init__(self, fold: object, last: int | None = None, late: int = 0):
+        self.fold, self.last, self.late, self.now, self.ms, self.out = fold, last, late, last, None, []
+
+    def take(self, row: dict) -> None:
+        if self.last is not None and row["frame"] <= self.last:
+            self.late += 1
+            return
+        self.out.append(self.fold.step(row))
+        self.now = int(row["frame"])
+        self.ms = max(row["ms"], self.ms or row["ms"]) if "ms" in row else None
+
+    def kept(self) -> bytes:
+        return pickle.dumps((self.fold, self.now, self.late))
+
+
+def fold_stream(rows: DataFrame, key: str, make: Callable[[], object], idle_ms: int | None = None, buckets: int = 4096) -> DataFrame:
     """The same over a stream. A batch's last row of a key tells the late rows dropped so far in late. With idle_ms,
     rows have an event time ts, and the state of a key whose last ts lies more than idle_ms before the watermark
-    (the latest ts of all keys) is dropped: the key starts anew (X6)."""
+    (the latest ts of all keys) is dropped: the key starts anew (X6).
+
+    Keys of one hash share a state, a table of theirs, as calls for a key each cost far more than its few rows: a batch
+    makes buckets calls at most, however many keys it has. Only keys that a batch has rows of are unpacked. A
+    checkpoint holds the number of buckets that it began with."""
     schema = make().schema
     kind = rows.schema[key].dataType.simpleString()
+    columns = [key, *_names(schema), "late"]
 
     def run(names: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held: dict[object, tuple[int | None, bytes]] = pickle.loads(state.get[0]) if state.exists else {}
+        live: dict[object, _Session] = {}
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(parts)).sort_values(["frame", "det_id"])
+            pdf = pdf.assign(embedding=[np.asarray(e, np.float64) for e in pdf["embedding"]])
+            for value, r in zip([None] * len(pdf) if names[0] < 0 else pdf[key].tolist(), pdf.to_dict("records"), strict=True):
+                if value not in live:
+                    live[value] = _Session(*pickle.loads(held[value][1])) if value in held else _Session(make())
+                live[value].take(r)
+        mark = None if idle_ms is None else state.getCurrentWatermarkMs()
+        if mark is not None:
+            held = {value: k for value, k in held.items() if value in live or k[0] >= mark}
+        for value, s in live.items():
+            held[value] = (None if mark is None else max((mark if s.ms is None else s.ms) + idle_ms, mark + 1), s.kept())
+        if not held:
             state.remove()
-            return
-        fold, last, late = pickle.loads(state.get[0]) if state.exists else (make(), None, 0)
-        pdf = pd.concat(list(parts))
-        if last is not None:
-            late += int((pdf["frame"] <= last).sum())
-            pdf = pdf[pdf["frame"] > last]
-        out = pd.DataFrame(_run(fold, pdf), columns=_names(schema))
-        if len(pdf):
-            last = int(pdf["frame"].max())
-        state.update((pickle.dumps((fold, last, late)),))
-        if idle_ms is not None:
-            until = (int(pdf["ms"].max()) if len(pdf) else state.getCurrentWatermarkMs()) + idle_ms
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        out.insert(0, key, names[0])
-        out["late"] = late
-        yield out
+        else:
+            state.update((pickle.dumps(held),))
+            if mark is not None:
+                state.setTimeoutTimestamp(max(min(until for until, _ in held.values()), mark + 1))
+        yield pd.DataFrame([(value, *row, s.late) for value, s in live.items() for row in s.out], columns=columns)
 
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
     timed = rows if idle_ms is None else rows.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", "0 seconds")
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}, late long", "state binary", "append", timeout)
+    dealt = timed.withColumn("_bucket", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int"))
+    return dealt.groupBy("_bucket").applyInPandasWithState(run, f"{key} {kind}, {schema}, late long", "state binary", "append", timeout)

@@ -518,6 +518,27 @@ def test_stream_equals_batch(spark, make):
     assert got == want
 
 
+def test_stream_state_is_shared_by_keys(spark):
+    """200 keys, one of them null, in 4 states at most, with the rows of the batch form; idle keys end for themselves."""
+    r = np.random.RandomState(5)
+    v = r.randn(400, 3)
+    rows = [(None if i % 200 == 7 else i % 200, i // 200 + (i >= 200) * 3, i, BOX, x.tolist()) for i, x in enumerate(v / np.linalg.norm(v, axis=1)[:, None])]
+    df = spark.createDataFrame(rows, "session long, frame long, det_id long, bbox array<double>, embedding array<double>")
+    want = folds.fold_batch(df, "session", folds.Grouping).orderBy("det_id").collect()
+    feed = jobs.Feed(df, "cuts", slices=2)
+    stream, state = folds.fold_stream(feed.stream, "session", folds.Grouping, buckets=3), sinks.shared_dir(spark, "state")
+    assert jobs.drain(stream, sinks.shared_dir(spark, "out"), state, feed=feed).drop("late").orderBy("det_id").collect() == want
+    held = spark.read.format("statestore").load(state)
+    assert held.count() <= 4
+
+    path = sinks.shared_dir(spark, "idle")
+    for k, (session, minute) in enumerate([(1, 0), (2, 0), (2, 50), (2, 120), (2, 121), (1, 122)]):
+        faces_of(spark, [(k, BOX, [1.0, 0.0])]).withColumns({"session": F.lit(session).cast("long"), "det_id": F.lit(k).cast("long"), "ts": F.timestamp_seconds(F.lit(60 * minute + 1))}).coalesce(1).write.mode("append").parquet(path)
+    timed = spark.readStream.schema("session long, frame long, det_id long, bbox array<double>, embedding array<double>, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    got = jobs.drain(folds.fold_stream(timed, "session", folds.Tracking, idle_ms=3_600_000, buckets=1), sinks.shared_dir(spark, "out"), sinks.shared_dir(spark, "state"))
+    assert {x.det_id: x.score > 0 for x in got.collect()} == {0: False, 1: False, 2: True, 3: True, 4: True, 5: False}
+
+
 def test_late_rows_are_counted(spark):
     df = faces_of(spark, [(0, BOX, [1.0, 0.0]), (5, BOX, [1.0, 0.0])])
     late = faces_of(spark, [(3, BOX, [1.0, 0.0]), (9, BOX, [1.0, 0.0])]).withColumn("det_id", F.col("det_id") + 10)
