@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -136,6 +136,20 @@ def fold_batch(rows: DataFrame, key: str, make: Callable[[], object]) -> DataFra
     return ordered.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
 
 
+#: Column of the number that keys which share a state have in common.
+BUCKET = "_bucket"
+
+
+def bucket(key: str, buckets: int) -> Column:
+    """0 to buckets - 1 by a key's hash; -1 for null alone."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+
+
+def keys_of(pdf: pd.DataFrame, key: str, number: int) -> list:
+    """A bucket's keys, row after row."""
+    return [None] * len(pdf) if number < 0 else pdf[key].tolist()
+
+
 class _Session:
     """One key's fold within a batch: the last frame of earlier batches, rows that came late, until when it is kept."""
 
@@ -172,7 +186,7 @@ def fold_stream(rows: DataFrame, key: str, make: Callable[[], object], idle_ms:
         if not state.hasTimedOut:
             pdf = pd.concat(list(parts)).sort_values(["frame", "det_id"])
             pdf = pdf.assign(embedding=[np.asarray(e, np.float64) for e in pdf["embedding"]])
-            for value, r in zip([None] * len(pdf) if names[0] < 0 else pdf[key].tolist(), pdf.to_dict("records"), strict=True):
+            for value, r in zip(keys_of(pdf, key, names[0]), pdf.to_dict("records"), strict=True):
                 if value not in live:
                     live[value] = _Session(*pickle.loads(held[value][1])) if value in held else _Session(make())
                 live[value].take(r)
@@ -191,5 +205,4 @@ def fold_stream(rows: DataFrame, key: str, make: Callable[[], object], idle_ms:
 
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
     timed = rows if idle_ms is None else rows.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", "0 seconds")
-    dealt = timed.withColumn("_bucket", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int"))
-    return dealt.groupBy("_bucket").applyInPandasWithState(run, f"{key} {kind}, {schema}, late long", "state binary", "append", timeout)
+    return timed.withColumn(BUCKET, bucket(key, buckets)).groupBy(BUCKET).applyInPandasWithState(run, f"{key} {kind}, {schema}, late long", "state binary", "append", timeout)

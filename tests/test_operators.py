@@ -616,6 +616,25 @@ def test_idle_sessions_end_by_timer(spark):
     assert again.score == 0.0 and got.where("det_id = 2").first().score > 0.3 and got.where("det_id = 6").first().score > 0.3
 
 
+def test_sessions_share_calls(spark):
+    """150 sessions, one of them null, in two buckets and that of null: the fold's rows, idle sessions ending for
+    themselves, and state that keeps tracks apart."""
+    r = np.random.RandomState(7)
+    v = r.randn(600, 3)
+    rows = [(None if i % 150 == 3 else i % 150, i // 150 * 25, i, BOX, x.tolist()) for i, x in enumerate(v / np.linalg.norm(v, axis=1)[:, None])]
+    df = spark.createDataFrame(rows, "session long, frame long, det_id long, bbox array<double>, embedding array<double>")
+    want = folds.fold_batch(df, "session", lambda: folds.Tracking(buffer=2)).orderBy("det_id").collect()
+    got, late = streamed_tracks(spark, [df.where("frame < 50"), df.where("frame >= 50")], buffer=2, buckets=2)
+    names = ["session", "det_id", "frame", "track", "score", "smoothed"]
+    assert [tuple(r[c] for c in names) for r in got.orderBy("det_id").collect()] == [tuple(w[c] for c in names) for w in want] and not late.count()
+
+    at = lambda k, session, minute: (session, k, k, BOX, [1.0, 0.0], minute * 60 + 1)
+    timed = [[at(0, 1, 0), at(1, 2, 0)], [at(2, 2, 50)], [at(3, 2, 120)], [at(4, 1, 121), at(5, 2, 121)]]
+    schema = "session long, frame long, det_id long, bbox array<double>, embedding array<double>, ts long"
+    got, _ = streamed_tracks(spark, [spark.createDataFrame(x, schema).withColumn("ts", F.timestamp_seconds("ts")) for x in timed], idle_ms=3_600_000, buckets=1)
+    assert {x.det_id: x.score > 0 for x in got.collect()} == {0: False, 1: False, 2: True, 3: True, 4: False, 5: True}
+
+
 def png(path, x: np.ndarray) -> None:
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     rows = b"".join(b"\0" + r.astype(np.uint8).tobytes() for r in x)
