@@ -10,7 +10,7 @@ from ..operators import similarity
 from ..sources import sinks
 from .evaluation import CURVE
 from .registry import query
-from .tables import CATALOGUE, DETECTION, FACE_GROUP, GALLERY, actor, detection, face_group, gallery, hashes, movie, movie_cast, with_vectors
+from .tables import CATALOGUE, DETECTION, FACE_GROUP, GALLERY, actor, dealt, detection, face_group, gallery, hashes, movie, movie_cast, table, with_vectors
 
 
 @query("w3_drop_repeats")
@@ -51,7 +51,8 @@ union all select 'group', movie_id || ':' || group_id from face_group where movi
 union all select case when session % 4 = 0 and session in (select id from movie) then 'loose' else 'held' end, det_id::varchar from detection""")
 def m2(spark: SparkSession, d: str) -> DataFrame:
     faces = detection(spark, d).select(F.col("session").alias("movie_id"), F.col("event_type").alias("group_id"), "det_id")
-    a, c, g, f = m.delete_movies(movie(spark, d), movie_cast(spark, d), face_group(spark, d), faces, movie(spark, d).where("id % 4 = 0"))
+    movies = dealt(movie(spark, d), table(spark, d, "orders"), "id")
+    a, c, g, f = m.delete_movies(movies, movie_cast(spark, d), face_group(spark, d), faces, movie(spark, d).where("id % 4 = 0"))
     loose = f.select(F.when(F.col("group_id").isNull(), "loose").otherwise("held").alias("name"), F.col("det_id").cast("string").alias("key"))
     return _keys(a, "movie", "id").union(_keys(c, "cast", "movie_id", "actor_id")).union(_keys(g, "group", "movie_id", "group_id")).union(loose)
 

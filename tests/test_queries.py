@@ -18,6 +18,19 @@ def test_query(spark, sf, name):
         assert rows
 
 
+def test_parts_grow_with_rows(spark, sf, monkeypatch):
+    """Links and faces are dealt in parts of so many rows, whatever Spark would join; m2's rows are the same."""
+    from lumenvec.plans import tables
+
+    few = tables.movie_cast(spark, sf).rdd.getNumPartitions()
+    monkeypatch.setattr(tables, "TASK_ROWS", 150)
+    rows = tables.table(spark, sf, "lineitem").count()
+    assert tables.movie_cast(spark, sf).rdd.getNumPartitions() == -(-rows // 150) > few
+    assert tables.detection(spark, sf).rdd.getNumPartitions() == -(-tables.table(spark, sf, "events").count() // 150)
+    df = catalog.QUERIES["m2_delete_movies"](spark, sf)
+    assert spark_rows(df) == sql_rows(catalog.ORACLE_SQL["m2_delete_movies"], sf, sorted(df.columns))
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
