@@ -66,12 +66,13 @@ def read_table(spark: SparkSession, name: str, url: str | None = None, bounds: t
     return reader.load()
 
 
-def inventory(paths: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
-    """Kind, owner, group_id, file of paths kind/owner[/group]/file with these extensions, in any case."""
+def inventory(paths: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Kind, owner, group_id, file of paths kind/owner[/group]/file with these extensions, in any case, and the
+    columns to keep."""
     parts = F.split("path", "/")
     n = F.size(parts)
     kept = paths.where(F.col("path").rlike(r"(?i)\.(" + "|".join(extensions) + ")$") & (n >= 3))
-    return kept.select(F.get(parts, F.lit(0)).alias("kind"), F.get(parts, F.lit(1)).alias("owner"), F.when(n > 3, F.get(parts, F.lit(2))).alias("group_id"), F.element_at(parts, -1).alias("file"))
+    return kept.select(F.get(parts, F.lit(0)).alias("kind"), F.get(parts, F.lit(1)).alias("owner"), F.when(n > 3, F.get(parts, F.lit(2))).alias("group_id"), F.element_at(parts, -1).alias("file"), *keep)
 
 
 def read_inventory(spark: SparkSession, root: str, **options: object) -> DataFrame:

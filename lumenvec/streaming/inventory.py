@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalogue import sync
 from ..sources.readers import inventory
 from ..sources.sinks import staged
 
@@ -27,9 +26,9 @@ def _bucket(key: list[str]) -> Column:
 
 def grouped_changes(feed: DataFrame, key: list[str]) -> DataFrame:
     """key (owner, group_id) and face_count: files that came less files that went, of a feed of (path, removed)."""
-    files = inventory(feed.where("not coalesce(removed, false)").select("path")).withColumn("one", F.lit(1).cast("long"))
-    gone = inventory(feed.where("removed").select("path")).withColumn("one", F.lit(-1).cast("long"))
-    return files.unionByName(gone).where(F.col("group_id").isNotNull()).groupBy(*key).agg(F.sum("one").alias("change"))
+    change = F.when(F.coalesce("removed", F.lit(False)), -1).otherwise(1).cast("long").alias("change")
+    files = inventory(feed.select("path", change), keep=("change",))
+    return files.where(F.col("group_id").isNotNull()).groupBy(*key).agg(F.sum("change").alias("change"))
 
 
 def counts(spark: SparkSession, state: str, key: list[str], schema: str, before: int | None = None) -> DataFrame:
@@ -55,14 +54,15 @@ def sync_batches(rows: Callable[[], DataFrame], key: list[str], schema: str, sta
         touched = changes.select("bucket").distinct()  # BUCKETS rows at most
         old = counts(spark, state, key, schema, number).join(F.broadcast(touched), "bucket", "left_semi")
         both = old.join(changes.drop("bucket"), key, "full_outer")
-        new = both.select(*key, F.greatest(F.coalesce("face_count", F.lit(0)) + F.coalesce("change", F.lit(0)), F.lit(0)).alias("face_count"), _bucket(key).alias("bucket"))
-        new = staged(new, "counts")
-        new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(state)
-        of_batch = changes.select(*key)
-        now = new.where("face_count > 0").join(of_batch, key, "left_semi").select(*key, "face_count")
-        told = sync(now, rows().join(of_batch, key, "left_semi").select(*key, "face_count"), key)
-        neither = of_batch.join(told, key, "left_anti").select(*key, F.lit(0).cast("long").alias("face_count"), F.lit(None).cast("string").alias("risk_level"), F.lit("none").alias("action"))
-        told.unionByName(neither).write.mode("overwrite").parquet(f"{actions}/batch={number}")
+        count = F.greatest(F.coalesce("face_count", F.lit(0)) + F.coalesce("change", F.lit(0)), F.lit(0)).alias("face_count")
+        new = staged(both.select(*key, count, _bucket(key).alias("bucket"), F.col("change").isNotNull().alias("told")), "counts")
+        new.drop("told").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(state)
+        now = new.where("told").select(*key, F.when(F.col("face_count") > 0, F.col("face_count")).alias("folder_count"))
+        held = now.join(rows().select(*key, F.col("face_count").alias("row_count")), key, "left")
+        folder, row = F.col("folder_count").isNotNull(), F.col("row_count").isNotNull()
+        action = F.when(folder & row, "keep").when(folder, "insert").when(row, "delete").otherwise("none")  # as sync has them, of touched groups
+        count = F.coalesce("folder_count", "row_count", F.lit(0).cast("long"))
+        held.select(*key, count.alias("face_count"), F.when(action == "insert", "HIGH").alias("risk_level"), action.alias("action")).write.mode("overwrite").parquet(f"{actions}/batch={number}")
 
     return write
 

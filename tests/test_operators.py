@@ -178,6 +178,26 @@ def test_sync_reads_new_files_only(spark):
     assert run() == full and len(seen) == 2
 
 
+def test_sync_reads_a_batch_and_its_rows_once(spark):
+    """Changes are added up in one pass; a batch's actions take one read of the rows."""
+    path, state, actions = (sinks.shared_dir(spark, x) for x in ("feed", "counts", "actions"))
+    spark.createDataFrame([("k/a/g/1.jpg", None), ("k/a/g/2.jpg", True), ("k/b/g/1.jpg", False), ("k/c/g/1.jpg", True)], "path string, removed boolean").write.parquet(path)
+    feed, asked = spark.read.parquet(path), []
+    assert inventory.grouped_changes(feed, ["owner", "group_id"])._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(n):
+        reads.add(1)
+        return n
+
+    table = spark.createDataFrame([("a", "g", 5), ("b", "g", 6), ("c", "g", 7)], "owner string, group_id string, face_count long").withColumn("face_count", counted("face_count"))
+    inventory.sync_batches(lambda: asked.append(1) or table, ["owner", "group_id"], "owner string, group_id string", state, actions)(feed, 0)
+    got = {r.owner: (r.action, r.face_count, r.risk_level) for r in spark.read.parquet(actions).collect()}
+    assert got == {"a": ("delete", 5, None), "b": ("keep", 1, None), "c": ("delete", 7, None)}
+    assert len(asked) == 1 and reads.value == 3
+
+
 def test_search(spark):
     rows = spark.createDataFrame([("henry_fonda",), ("Jane Fonda",), ("x",)], "name string")
     assert [r[0] for r in gates.search(rows, "name", "Y F", 5).collect()] == ["henry_fonda"]
