@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..sources.sinks import staged
-from .similarity import hamming_join, matrix, most_similar, within_pairs
+from .similarity import alike_rows, hamming_join, matrix, most_similar
+
+#: Vectors of an identity that one task decides in order at most, and the bits of a range's rows by which they are counted.
+SEGMENT, RANGE_BITS = 8192, 10
 
 
 def drop_repeats(faces: DataFrame, key: list[str], threshold: float = 0.95) -> DataFrame:
@@ -45,20 +49,61 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return state.where("kept").select("id")
 
 
+def keep_apart(rows: DataFrame, alike: float) -> DataFrame:
+    """Ids of rows (identity, id, embedding) that a greedy pass in order of id keeps: a row goes if its product with a
+    kept smaller one of its identity is over alike. No pair is stored: identities are cut into segments in order of id;
+    of two halves, the first is decided, what is like a kept row of it goes from the second by tiles, and what is left
+    is decided in turn. A segment, or what is left of many, is decided by one task for each identity. Rows without
+    identity or vector stay."""
+    ordered = rows.select("identity", "id", "embedding").orderBy("identity", "id")
+    every = staged(ordered.withColumn("_range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)), "ordered")  # numbers in order
+    pairable = F.col("identity").isNotNull() & F.col("embedding").isNotNull()
+    held = every.where(pairable)
+    before = F.sum("n").over(Window.partitionBy("identity").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = held.groupBy("identity", "_range").agg(F.count(F.lit(1)).alias("n"))
+    place = F.floor(F.coalesce(before, F.lit(0)) / (SEGMENT - (1 << RANGE_BITS)))
+    segments = staged(sizes.select("identity", "_range", place.alias("_part")), "segments")
+    parts = (segments.agg(F.max("_part")).first()[0] or 0) + 1
+
+    def first(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        x, kept = matrix(t.column("embedding")), np.zeros(0, int)
+        for low in range(0, len(x), 256):
+            some = x[low : low + 256]
+            free, near = ~(some @ x[kept].T > alike).any(axis=1), some @ some.T > alike
+            for i in range(len(some)):
+                if free[i]:
+                    free[i + 1 :] &= ~near[i, i + 1 :]
+            kept = np.append(kept, low + np.flatnonzero(free))
+        return t.take(pa.array(kept))
+
+    def decide(left: DataFrame, low: int, high: int, known: bool) -> DataFrame:
+        """Kept rows of the segments low to high, none of which is like a row kept of those before."""
+        largest = None if known or high - low == 1 else left.groupBy("identity").count().agg(F.max("count")).first()[0] or 0
+        if high - low == 1 or (largest is not None and largest <= SEGMENT):
+            return staged(left.groupBy("identity").applyInArrow(first, left.schema), "kept")
+        middle = (low + high) // 2
+        kept = decide(left.where(F.col("_part") < middle), low, middle, known)
+        rest = left.where(F.col("_part") >= middle)
+        gone = alike_rows(rest, kept, "identity", "id", alike)
+        return kept.union(decide(staged(rest.join(gone.hint("merge"), ["identity", "id"], "left_anti"), "left"), middle, high, False))
+
+    kept = decide(held.join(segments, ["identity", "_range"]).drop("_range"), 0, parts, True)
+    return kept.select("id").union(every.where(~pairable).select("id"))
+
+
 def dedupe(rows: DataFrame, most_bits: int = 5, alike: float = 0.85) -> DataFrame:
     """Ids kept of rows (id, identity, phash, embedding): by hash first, then, of what is left, by vectors
     within an identity; the earlier one stays."""
-    first = rows.groupBy(F.lower("phash").alias("phash")).agg(F.min("id").alias("id"))
+    first = staged(rows.groupBy(F.lower("phash").alias("phash")).agg(F.min("id").alias("id")), "first")
     by_hash = greedy_keep(first, hamming_join(first, most_bits).where("distance > 0"))
-    left = rows.join(by_hash.hint("merge"), "id", "left_semi").select("identity", F.col("id").alias("pos"), "embedding")
-    pairs = within_pairs(left, alike).where(F.col("sim") > alike).select(F.col("i").alias("a"), F.col("j").alias("b"))
-    return greedy_keep(by_hash, pairs)
+    return keep_apart(rows.join(by_hash.hint("merge"), "id", "left_semi"), alike)
 
 
 def merge_galleries(target: DataFrame, source: DataFrame, same: float = 0.9999) -> DataFrame:
     """Identity, embedding, added: the target and those source vectors that no vector of their identity,
     earlier added ones included, equals by more than same. New identities come whole. What the target holds is found
-    by tiles; of what is left, equal copies are one, and pairs over same decide in order, in rounds."""
+    by tiles; of what is left, equal copies are one, and rows are decided in order (keep_apart)."""
     t = target.select("identity", "embedding")
     names = t.select("identity").distinct()
     s = staged(source.select("identity", "pos", "embedding").orderBy("identity", "pos").withColumn("id", F.monotonically_increasing_id()), "source")  # numbers in order
@@ -69,9 +114,7 @@ def merge_galleries(target: DataFrame, source: DataFrame, same: float = 0.9999)
     itself = dot(F.col("embedding"), F.col("embedding")) > same
     first = F.row_number().over(Window.partitionBy("identity", "embedding").orderBy("id"))
     nodes = staged(left.withColumn("_n", first).where((F.col("_n") == 1) | ~itself).drop("_n"), "nodes")
-    pairs = within_pairs(nodes.select("identity", F.col("id").alias("pos"), "embedding"), same).where(F.col("sim") > same)
-    kept = greedy_keep(nodes, pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    added = fresh.unionByName(nodes.join(kept, "id", "left_semi").select(fresh.columns))
+    added = fresh.unionByName(nodes.join(keep_apart(nodes, same), "id", "left_semi").select(fresh.columns))
     return t.withColumn("added", F.lit(False)).unionByName(added.select("identity", "embedding").withColumn("added", F.lit(True)))
 
 
