@@ -85,8 +85,10 @@ def keep_apart(rows: DataFrame, alike: float) -> DataFrame:
         middle = (low + high) // 2
         kept = decide(left.where(F.col("_part") < middle), low, middle, known)
         rest = left.where(F.col("_part") >= middle)
-        gone = alike_rows(rest, kept, "identity", "id", alike)
-        return kept.union(decide(staged(rest.join(gone.hint("merge"), ["identity", "id"], "left_anti"), "left"), middle, high, False))
+        gone = alike_rows(rest, kept, "identity", "id", alike).withColumn("_gone", F.lit(True)).hint("merge")
+        # Marked and filtered: an anti join would be moved below the join with segments and shuffle the first half, too.
+        stays = rest.join(gone, ["identity", "id"], "left").where("_gone is null").drop("_gone")
+        return kept.union(decide(staged(stays, "left"), middle, high, False))
 
     kept = decide(held.join(segments, ["identity", "_range"]).drop("_range"), 0, parts, True)
     return kept.select("id").union(every.where(~pairable).select("id"))
